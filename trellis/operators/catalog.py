@@ -25,21 +25,32 @@ def search_limit(limit) -> int:
     return max(1, min(n or DEFAULT_LIMIT, MAX_LIMIT))
 
 
+def _grams(c, size: int):
+    """Distinct substrings of a fixed length."""
+    spots = F.when(F.length(c) >= size, F.sequence(F.lit(1), F.length(c) - (size - 1)))
+    spots = F.coalesce(spots, F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(spots, lambda i: F.substring(c, i, F.lit(size))))
+
+
 def search(courses: DataFrame, queries: DataFrame, limit=None) -> DataFrame:
     """Top matches per query: exact code first, then code prefix, then any hit in code or title.
 
-    ``queries(query)``.  Queries are few and short; the course side is scanned once.  The rank limit
-    is applied per task before the shuffle, so a query that hits everything stays cheap.
+    ``queries(query)``.  A course that contains the query contains its first three characters, so
+    queries meet courses in an equi join on short substrings and the hit is verified after it.  The
+    rank limit is applied per task before the shuffle, so a query that hits everything stays cheap.
     """
     cleaned = F.upper(T.clean_text("query"))
-    wanted = queries.select("query", F.coalesce(T.strict_code(cleaned), cleaned).alias("_q"))
+    wanted = queries.select("query", F.coalesce(T.strict_code(cleaned), cleaned).alias("_q")).distinct()
+    wanted = wanted.withColumn("_gram", F.left("_q", F.lit(3)))
     code, title = F.upper("code"), F.upper(T._text("title"))
+    both = F.array(code, title)
+    grams = F.array_union(F.array(F.lit("")), F.array_distinct(F.flatten(F.transform(both, lambda c: F.flatten(F.array(*[_grams(c, n) for n in (1, 2, 3)]))))))
     hit = code.contains(F.col("_q")) | title.contains(F.col("_q"))
     rank = F.when(F.col("code") == F.col("_q"), 0).when(F.col("code").startswith(F.col("_q")), 1).otherwise(2)
-    hits = courses.join(wanted, hit).withColumn("rank", rank)
+    hits = courses.withColumn("_gram", F.explode(grams)).join(wanted, "_gram").where(hit).withColumn("rank", rank)
     best = Window.partitionBy("query").orderBy("rank", "code")
     top = hits.withColumn("position", F.row_number().over(best)).where(F.col("position") <= search_limit(limit))
-    return top.drop("_q")
+    return top.drop("_q", "_gram")
 
 
 def lookup(courses: DataFrame, parsed: DataFrame, codes: DataFrame) -> DataFrame:

@@ -109,10 +109,15 @@ def _transitions(edges: DataFrame, judged: DataFrame, key: str) -> DataFrame:
     return moves.select(key, "id", "mark", "to", entered.alias("to_mark")).distinct()
 
 
-def forward_seeds(edges: DataFrame, roots: DataFrame, key: str) -> DataFrame:
-    """Everything reachable from the roots along requirement edges, through junctions and courses."""
-    up = stage(edges.select(key, F.col("child").alias("id"), F.col("parent").alias("to")).distinct())
-    return grow(roots.select(key, "id").distinct(), [key, "id"], lambda front, _: front.join(up, [key, "id"]).select(key, F.col("to").alias("id")).distinct())
+def _climbs(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """Moves up from the roots through junctions and courses; every course on the way is considered."""
+    kinds = nodes.select(key, F.col("id").alias("parent"), "type")
+    up = edges.select(key, "child", "parent").distinct().join(kinds, [key, "parent"], "left")
+    onward = up.select(key, F.col("child").alias("id"), F.lit("climb").alias("mark"), F.col("parent").alias("to"), F.lit("climb").alias("to_mark"))
+    courses = up.where(F.col("type") == "course").select(
+        key, F.col("child").alias("id"), F.lit("climb").alias("mark"), F.col("parent").alias("to"), F.lit("consider").alias("to_mark")
+    )
+    return onward.unionByName(courses)
 
 
 def hidden_nodes(nodes: DataFrame, edges: DataFrame, credited: DataFrame, roots: DataFrame, backward_only: bool = False, key: str = "graph") -> DataFrame:
@@ -126,18 +131,21 @@ def hidden_nodes(nodes: DataFrame, edges: DataFrame, credited: DataFrame, roots:
         key, F.col("target").alias("parent"), F.col("source").alias("child"), "relation"
     ).distinct())
     judged = judge_nodes(nodes, links, credited, key)
-    moves = stage(_transitions(links, judged, key))
+    moves = _transitions(links, judged, key)
+    if not backward_only:
+        moves = moves.unionByName(_climbs(links, nodes, key))
+    moves = stage(moves)
     wanted = roots.select(key, F.concat(F.lit("course:"), T.valid_code("code")).alias("id"))
     seeds = nodes.select(key, "id").join(wanted, [key, "id"], "left_semi")
-    if not backward_only:
-        courses = nodes.where(F.col("type") == "course").select(key, "id")
-        seeds = seeds.unionByName(forward_seeds(links, seeds, key).join(courses, [key, "id"], "left_semi"))
     start = seeds.distinct().withColumn("mark", F.lit("consider"))
+    if not backward_only:
+        start = start.unionByName(start.withColumn("mark", F.lit("climb")))
 
     def step(front, _):
         return front.join(moves, [key, "id", "mark"]).select(key, F.col("to").alias("id"), F.col("to_mark").alias("mark")).distinct()
 
     marks = grow(start, [key, "id", "mark"], step)
+    marks = marks.where(F.col("mark") != "climb")
     dropped = marks.groupBy(key, "id").agg(F.bool_and(F.col("mark") == "drop").alias("redundant")).where("redundant")
     finished = judged.where((F.col("type") == "course") & F.col("done")).select(key, "id")
     return dropped.select(key, "id").join(finished, [key, "id"], "left_anti")

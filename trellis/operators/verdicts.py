@@ -126,12 +126,13 @@ def junction_satisfied(leaves: DataFrame, roots: DataFrame, completions: DataFra
     are left out of their junctions; a junction with nothing left is not satisfied.  ``leaves`` has
     ``keys + student, path, above, kind, code``; ``roots(student, code)``.
     """
-    others = leaves.join(roots.select("student", "code").withColumn("_root", F.lit(True)), ["student", "code"], "left")
-    others = others.where(F.col("_root").isNull()).drop("_root")
     done = completions.select("student", "code").withColumn("_done", F.lit(True))
-    judged = others.join(done, ["student", "code"], "left").withColumn(
-        "satisfied", F.coalesce((F.col("kind") == "course") & F.col("_done"), F.lit(False))
-    )
-    folded = fold(judged, keys, "satisfied", F.bool_or("satisfied"), F.bool_and("satisfied"), depth).drop("path")
-    everything = leaves.select(*keys).distinct()
-    return everything.join(folded, keys, "left").select(*keys, F.coalesce("satisfied", F.lit(False)).alias("satisfied"))
+    viewed = roots.select("student", "code").withColumn("_root", F.lit(True))
+    judged = leaves.join(viewed, ["student", "code"], "left").join(done, ["student", "code"], "left")
+    held = F.coalesce((F.col("kind") == "course") & F.col("_done"), F.lit(False))
+    judged = judged.withColumn("satisfied", F.when(F.col("_root").isNull(), held))
+    # NULL marks a leaf that is left out; a junction of such leaves only is not satisfied.
+    some = F.coalesce(F.bool_or("satisfied"), F.lit(False))
+    every = F.coalesce(F.bool_and("satisfied"), F.lit(False))
+    folded = fold(judged, keys, "satisfied", some, every, depth)
+    return folded.select(*keys, F.coalesce("satisfied", F.lit(False)).alias("satisfied"))
