@@ -87,16 +87,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def _trim(edges: DataFrame) -> DataFrame:
     """Drop edges whose ends cannot lie on a cycle, until none is left to drop."""
-    while True:
-        before = edges.count()
-        if not before:
-            return edges
-        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        kept = kept.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        kept = stage(kept.select("src", "dst"))
-        if kept.count() == before:
-            return kept
-        edges = kept
+    store = Staged(edges.sparkSession)
+    before, now = -1, store.append(edges.select("src", "dst"))["rows"]
+    while now and now != before:
+        edges = store.last()
+        entered = edges.select(F.col("dst").alias("src")).distinct()
+        left = edges.select(F.col("src").alias("dst")).distinct()
+        kept = edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi")
+        before, now = now, store.append(kept.select("src", "dst"))["rows"]
+    return store.last()
 
 
 def _colour(edges: DataFrame) -> DataFrame:
@@ -137,25 +136,28 @@ def dependency_levels(courses: DataFrame, req_nodes: DataFrame) -> tuple[DataFra
 
     done = Staged(spark)
     first = components.select("component").distinct().join(waits.select(F.col("src").alias("component")), "component", "left_anti")
-    settled = done.append(_settle(first, owners, leaves, None, depth))["rows"]
-    cyclic = None
-    while True:
-        while settled:
-            open_waits = stage(waits.join(done.all().select(F.col("component").alias("src")), "src", "left_anti"))
-            blocked = open_waits.join(done.all().select(F.col("component").alias("dst")), "dst", "left_anti")
-            ready = open_waits.select(F.col("src").alias("component")).distinct().join(
-                blocked.select(F.col("src").alias("component")), "component", "left_anti"
-            )
-            settled = done.append(_settle(ready, owners, leaves, done.all(), depth))["rows"]
-        if cyclic is not None:
-            break
-        # Stalled: what is left lies on cycles or behind them.
-        stalled = waits.join(done.all().select(F.col("component").alias("src")), "src", "left_anti")
-        stalled = stalled.join(done.all().select(F.col("component").alias("dst")), "dst", "left_anti")
-        cyclic = strong_components(stalled)
-        settled = done.append(cyclic.select(F.col("vertex").alias("component"), F.lit(None).cast("int").alias("level")))["rows"]
-        if not settled:
-            break
+    done.append(_settle(first, owners, leaves, None, depth))
+
+    def release() -> None:
+        """Settle the components whose last open reference was settled in the round before."""
+        found = 1
+        while found:
+            settled = done.all().select(F.col("component").alias("dst"))
+            fresh = done.last().select(F.col("component").alias("dst"))
+            touched = waits.join(fresh, "dst", "left_semi").select("src").distinct()
+            touched = touched.join(settled.select(F.col("dst").alias("src")), "src", "left_anti")
+            blocked = waits.join(touched, "src", "left_semi").join(settled, "dst", "left_anti").select("src").distinct()
+            ready = touched.join(blocked, "src", "left_anti").select(F.col("src").alias("component"))
+            found = done.append(_settle(ready, owners, leaves, done.all(), depth))["rows"]
+
+    release()
+    # What is left lies on cycles or behind them.
+    stalled = waits.join(done.all().select(F.col("component").alias("src")), "src", "left_anti")
+    stalled = stalled.join(done.all().select(F.col("component").alias("dst")), "dst", "left_anti")
+    cyclic = strong_components(stalled)
+    unknown = cyclic.select(F.col("vertex").alias("component"), F.lit(None).cast("int").alias("level"))
+    if done.append(unknown)["rows"]:
+        release()
     levels = components.join(done.all(), "component", "left").select("code", "level")
     return stage(levels), _cycle_rows(cyclic, leaves)
 

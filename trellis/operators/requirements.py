@@ -12,6 +12,8 @@ same as integers, which sorts in document order; ``kinds`` lists the junction ki
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,13 +140,11 @@ def _single_qualifier(c: Column) -> Column:
     return F.nullif(F.concat_ws("; ", F.nullif(remainder, F.lit("")), F.nullif(dated, F.lit(""))), F.lit(""))
 
 
-def _decide(frontier: DataFrame) -> DataFrame:
-    """Kind, arms and leaf fields of every fragment in the frontier."""
+@functools.lru_cache(maxsize=4)
+def _decision(app: str) -> tuple[list[dict[str, Column]], list[Column]]:
+    """Columns that decide a fragment, built once per application and reused every round."""
     marked, text = F.col("marked"), F.col("body")
     connectors = {"by_or": "(?i:or)", "by_and": "(?i:and)", "by_slash": "/", "by_comma": "[,;]"}
-    body = frontier.withColumn("bare", _strip(F.col("fragment")))
-    body = body.withColumn("body", _peel(F.col("bare"))).withColumn("marked", _mark_connectors(text))
-    body = body.withColumns({k: F.when(marked.contains(MARK), _arms(marked, c)) for k, c in connectors.items()})
     # OR binds loosest, then AND, then "/" (only between courses), then "," and ";".  A connector
     # splits if it leaves at least two non-empty arms.
     split = F.coalesce(
@@ -153,26 +153,40 @@ def _decide(frontier: DataFrame) -> DataFrame:
         _junction("any", "by_slash", (F.size("by_slash") > 1) & F.forall("by_slash", T.has_course)),
         _junction("all", "by_comma", F.size("by_comma") > 1),
     )
-    is_pattern = text.rlike(PATTERN)
-    refs = T.course_refs(text)
-    decided = body.withColumn("split", split).withColumn("refs", F.when(F.col("split").isNull() & ~is_pattern, refs))
-    many = F.size("refs") > 1
-    return decided.select(
-        "text_key", "raw_path", "above", "kinds", "mandatory",
+    is_pattern = F.col("is_pattern")
+    steps = [
+        {"bare": _strip(F.col("fragment"))},
+        {"body": _peel(F.col("bare"))},
+        {"marked": _mark_connectors(text)},
+        {k: F.when(marked.contains(MARK), _arms(marked, c)) for k, c in connectors.items()},
+        {"split": split, "is_pattern": text.rlike(PATTERN)},
+        {"refs": F.when(F.col("split").isNull() & ~is_pattern, T.course_refs(text))},
+    ]
+    many, one = F.size("refs") > 1, F.size("refs") == 1
+    decided = [
         F.when(F.col("bare") == "", "condition")
         .when(F.col("split").isNotNull(), F.col("split.kind"))
         .when(is_pattern, "coursePattern")
-        .when(F.size("refs") == 1, "course")
+        .when(one, "course")
         .when(many, "all")
         .otherwise("condition").alias("kind"),
         F.when(F.col("split").isNotNull(), F.col("split.arms")).when(many, F.col("refs")).alias("arms"),
-        F.when(F.size("refs") == 1, F.element_at("refs", 1)).alias("code"),
-        F.when(F.size("refs") == 1, _single_qualifier(text)).alias("qualifier"),
+        F.when(one, F.element_at("refs", 1)).alias("code"),
+        F.when(one, _single_qualifier(text)).alias("qualifier"),
         F.when(is_pattern, F.upper(F.regexp_extract(text, PATTERN, 1))).alias("pat_subject"),
         F.when(is_pattern, F.regexp_extract(text, PATTERN, 2).try_cast("int")).alias("pat_min_level"),
         F.when(F.col("bare") == "", UNSPECIFIED).otherwise(text).alias("text"),
         F.when(F.col("bare") == "", WARN_EMPTY).when(many, WARN_CONNECTOR).alias("warning"),
-    )
+    ]
+    return steps, decided
+
+
+def _decide(frontier: DataFrame) -> DataFrame:
+    """Kind, arms and leaf fields of every fragment in the frontier."""
+    steps, decided = _decision(frontier.sparkSession.sparkContext.applicationId)
+    for step in steps:
+        frontier = frontier.withColumns(step)
+    return frontier.select("text_key", "raw_path", "above", "kinds", "mandatory", *decided)
 
 
 def _junction(kind: str, arms: str, splits: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from trellis.functions import text as T
 from trellis.operators.requirements import WARN_CONNECTOR, WARN_GROUPING
 from trellis.plans import fixtures
-from trellis.plans.queries import BROKEN, CREDITS, NOTES, RAW_CODES, TITLES
+from trellis.plans.queries import BROKEN, CREDITS, NOTES, RAW_CODES, REFERRING, TITLES
 from trellis.plans.workspace import COURSES, PROGRAM_VIEWS, YEAR
 
 _WS = "[" + T.SPACE_CHARS.replace(r"\x0B", r"\v") + "]"
@@ -126,10 +126,11 @@ def _add(name: str, body: str) -> None:
 # ---- text functions -------------------------------------------------------------------------
 _add("b_clean_text", f"SELECT doc_id, CAST(length(t) AS BIGINT) AS n, sha256(t) AS clean FROM (SELECT doc_id, {_clean('text')} AS t FROM documents)")
 _add("b_course_refs", f"""
-SELECT doc_id, CAST(i - 1 AS BIGINT) AS position, upper(regexp_replace(hits[i], '^([A-Za-z]{{4}})(?:{_WS}|[-_])*([0-9]{{4}}[A-Za-z]?)$', '\\1 \\2')) AS ref
-FROM (SELECT doc_id, hits, unnest(range(1, len(hits) + 1)) AS i FROM (
-  SELECT doc_id, regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9])', '\\1\\1', 'g'),
-    '(?:^|[^A-Za-z0-9])([A-Za-z]{{4}}{_WS}*(?:--|__)?{_WS}*[0-9]{{4}}[A-Za-z]?)(?:$|[^A-Za-z0-9])', 1) AS hits FROM documents) a) b""")
+WITH d AS ({REFERRING})
+SELECT id, CAST(i - 1 AS BIGINT) AS position, upper(regexp_replace(hits[i], '^([A-Za-z]{{4}})(?:{_WS}|[-_])*([0-9]{{4}}[A-Za-z]?)$', '\\1 \\2')) AS ref
+FROM (SELECT id, hits, unnest(range(1, len(hits) + 1)) AS i FROM (
+  SELECT id, regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9])', '\\1\\1', 'g'),
+    '(?:^|[^A-Za-z0-9])([A-Za-z]{{4}}{_WS}*(?:--|__)?{_WS}*[0-9]{{4}}[A-Za-z]?)(?:$|[^A-Za-z0-9])', 1) AS hits FROM d) a) b""")
 _KIND = "CASE k % 6 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN 3 THEN {3} WHEN 4 THEN {4} ELSE {5} END"
 _LOOSE = _KIND.format("code", "replace(code, ' ', '-')", "code", "code || 'H'", "substr(code, 2)", "'NOT ' || code")
 _VALID = _KIND.format("code", "NULL", "code", "code || 'H'", "substr(code, 2)", "NULL")

@@ -25,6 +25,10 @@ TITLES = "SELECT k, 'Required ' || title || ' Course(s)' AS title, 'pick ' || CA
 RAW_CODES = "SELECT k, code, CASE k % 6 WHEN 0 THEN lower(code) WHEN 1 THEN replace(code, ' ', '-') WHEN 2 THEN '  ' || replace(code, ' ', '') || ' ' WHEN 3 THEN code || 'h' WHEN 4 THEN substr(code, 2) ELSE 'not ' || code END AS raw FROM fx_courses"
 CREDITS = "SELECT k, CASE k % 4 WHEN 0 THEN '3' WHEN 1 THEN '3-6' WHEN 2 THEN ' 1.5-4 ' ELSE 'n/a' END AS raw FROM fx_courses"
 BROKEN = "SELECT owner, relation, CASE WHEN substr(owner, 6, 1) IN ('1', '2', '3') THEN replace(raw, ')', '') WHEN substr(owner, 6, 1) IN ('4', '5') THEN replace(raw, ')', ']') ELSE raw END AS raw FROM fx_req_text"
+REFERRING = """SELECT 'd' || CAST(doc_id AS STRING) AS id, text FROM documents
+UNION ALL
+SELECT 'k' || CAST(k AS STRING), 'see ' || lower(a) || ', ' || b || '/' || replace(c, ' ', '-') || ' but not X' || a || ' or ' || b || '12; then ' || replace(a, ' ', ' _ ') || 'a' || ' ' || c
+FROM fx_shape_codes"""
 NOTES = """SELECT k, CASE shape
  WHEN 1 THEN 'Note: ' || a
  WHEN 2 THEN 'Note: [' || a || ' OR ' || b || ']'
@@ -50,8 +54,8 @@ def b_clean_text(w: Workspace) -> DataFrame:
 
 @query
 def b_course_refs(w: Workspace) -> DataFrame:
-    refs = w.table("documents").select("doc_id", F.posexplode(T.course_refs("text")).alias("position", "ref"))
-    return refs.select("doc_id", F.col("position").cast("bigint").alias("position"), "ref")
+    refs = w.sql(REFERRING).select("id", F.posexplode(T.course_refs("text")).alias("position", "ref"))
+    return refs.select("id", F.col("position").cast("bigint").alias("position"), "ref")
 
 
 @query
