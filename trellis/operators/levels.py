@@ -10,6 +10,7 @@ from trellis.operators.trees import fold, leaf_rows, tree_depth
 from trellis.session import Staged, grow, stage
 
 # ---- fixed values ---------------------------------------------------------------------------
+OPEN = 1 << 30
 CYCLE_MESSAGE = "Prerequisite cycle prevents authoritative level calculation"
 # ---------------------------------------------------------------------------------------------
 
@@ -130,25 +131,30 @@ def dependency_levels(courses: DataFrame, req_nodes: DataFrame) -> tuple[DataFra
     )
     depth = tree_depth(trees)
     target = components.select(F.col("code"), F.col("component").alias("needs"))
-    leaves = stage(leaf_rows(trees, "owner", "component", "kind", "code").join(target, "code", "left"))
-    owners = stage(components.join(trees.select(F.col("owner").alias("code")).distinct().withColumn("has_tree", F.lit(True)), "code", "left"))
+    leaves = leaf_rows(trees, "owner", "component", "kind", "code").join(target, "code", "left")
+    # A member without prerequisites counts like one with a lone prose leaf: level 1.
+    none = F.lit(None).cast("string")
+    bare = components.join(trees.select(F.col("owner").alias("code")).distinct(), "code", "left_anti").select(
+        none.alias("code"), F.col("code").alias("owner"), "component", F.lit("condition").alias("kind"),
+        F.lit("0").alias("path"), F.lit("").alias("above"), none.alias("needs"),
+    )
+    leaves = stage(leaves.unionByName(bare))
     waits = stage(leaves.where(F.col("needs").isNotNull()).select(F.col("component").alias("src"), F.col("needs").alias("dst")).distinct())
 
     done = Staged(spark)
     first = components.select("component").distinct().join(waits.select(F.col("src").alias("component")), "component", "left_anti")
-    done.append(_settle(first, owners, leaves, None, depth))
+    nothing = first.limit(0).withColumn("level", F.lit(None).cast("int"))
+    done.append(_settle(first, leaves, nothing, depth))
 
     def release() -> None:
         """Settle the components whose last open reference was settled in the round before."""
         found = 1
         while found:
-            settled = done.all().select(F.col("component").alias("dst"))
+            settled = done.all()
             fresh = done.last().select(F.col("component").alias("dst"))
-            touched = waits.join(fresh, "dst", "left_semi").select("src").distinct()
-            touched = touched.join(settled.select(F.col("dst").alias("src")), "src", "left_anti")
-            blocked = waits.join(touched, "src", "left_semi").join(settled, "dst", "left_anti").select("src").distinct()
-            ready = touched.join(blocked, "src", "left_anti").select(F.col("src").alias("component"))
-            found = done.append(_settle(ready, owners, leaves, done.all(), depth))["rows"]
+            touched = waits.join(fresh, "dst", "left_semi").select(F.col("src").alias("component")).distinct()
+            touched = touched.join(settled.select("component"), "component", "left_anti")
+            found = done.append(_settle(touched, leaves, settled, depth))["rows"]
 
     release()
     # What is left lies on cycles or behind them.
@@ -162,22 +168,23 @@ def dependency_levels(courses: DataFrame, req_nodes: DataFrame) -> tuple[DataFra
     return stage(levels), _cycle_rows(cyclic, leaves)
 
 
-def _settle(ready: DataFrame, owners: DataFrame, leaves: DataFrame, done: DataFrame | None, depth: int) -> DataFrame:
-    members = owners.join(ready, "component", "left_semi")
-    mine = leaves.join(ready, "component", "left_semi")
-    if done is None:
-        mine = mine.withColumn("level", F.lit(None).cast("int"))
-    else:
-        mine = mine.join(done.select(F.col("component").alias("needs"), "level"), "needs", "left")
-    rank = F.when(F.col("kind") == "course", F.col("level")).otherwise(0)
+def _settle(touched: DataFrame, leaves: DataFrame, done: DataFrame, depth: int) -> DataFrame:
+    """Levels of those touched components that no open reference can change any more.
+
+    A reference that is not settled yet ranks as OPEN, above every level, and so wins every maximum;
+    where an unknown arm already makes the result NULL, it does so whatever the open ones will be.
+    """
+    mine = leaves.join(touched, "component", "left_semi").join(
+        done.select(F.col("component").alias("needs"), "level", F.lit(True).alias("known")), "needs", "left"
+    )
+    course = F.when(F.col("needs").isNull(), F.lit(None)).when(F.col("known").isNull(), OPEN).otherwise(F.col("level"))
+    rank = F.when(F.col("kind") == "course", course).otherwise(0)
     ranked = mine.select("component", "owner", "path", "above", rank.alias("rank"))
-    known = F.max("rank")
     every = F.when(F.count("rank") == F.count(F.lit(1)), F.max("rank"))
-    trees = fold(ranked, ["component", "owner"], "rank", known, every, depth).drop("path")
-    per_member = members.join(trees.withColumnRenamed("owner", "code"), ["component", "code"], "left")
-    own = F.when(F.col("has_tree"), 1 + F.col("rank")).otherwise(1)
-    level = F.when(F.count(own) == F.count(F.lit(1)), F.max(own))
-    return per_member.groupBy("component").agg(level.cast("int").alias("level"))
+    trees = fold(ranked, ["component", "owner"], "rank", F.max("rank"), every, depth, ["component"])
+    level = F.when(F.count("rank") == F.count(F.lit(1)), 1 + F.max("rank"))
+    found = trees.groupBy("component").agg(level.cast("int").alias("level"))
+    return found.where(F.col("level").isNull() | (F.col("level") < OPEN))
 
 
 def _cycle_rows(cyclic: DataFrame, leaves: DataFrame) -> DataFrame:

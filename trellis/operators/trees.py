@@ -23,14 +23,15 @@ def leaf_rows(nodes: DataFrame, *columns: str) -> DataFrame:
     return nodes.where(~F.col("kind").isin(*JUNCTIONS)).select(*columns, "path", above().alias("above"))
 
 
-def fold(leaves: DataFrame, keys: list[str], value: str, any_of: Column, all_of: Column, depth: int) -> DataFrame:
+def fold(leaves: DataFrame, keys: list[str], value: str, any_of: Column, all_of: Column, depth: int, placed_by: list[str] | None = None) -> DataFrame:
     """Combine leaf values up to the roots: ``(keys..., path, value)``, one row per tree root.
 
     Level by level, leaves below a junction are grouped under the junction's path; shallower leaves
     pass through as groups of one.  All groupings refine ``keys``, so one shuffle on ``keys`` serves
-    every level.  Duplicate leaf rows change nothing.
+    every level (on ``placed_by``, a part of ``keys``, if the caller groups by that next).  Duplicate
+    leaf rows change nothing.
     """
-    rows = leaves.select(*keys, "path", "above", value).repartition(*keys)
+    rows = leaves.select(*keys, "path", "above", value).repartition(*(placed_by or keys))
     for level in range(depth, 0, -1):
         deep = F.length("above") >= level
         up = rows.select(

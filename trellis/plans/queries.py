@@ -451,8 +451,7 @@ def e_components(w: Workspace) -> DataFrame:
 
 @query
 def e_levels(w: Workspace) -> DataFrame:
-    found, _ = levels.dependency_levels(w.courses.select("code"), w.nodes)
-    return found.select("code", F.col("level").cast("bigint").alias("level"))
+    return w.levels.select("code", F.col("level").cast("bigint").alias("level"))
 
 
 @query
