@@ -221,8 +221,7 @@ def section_trees(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = kids.select(*section, F.col("owner_at").alias("line_no"), F.col("line_no").alias("member_at"), "code").join(
         plain.select(*section, "line_no", "text"), [*section, "line_no"]
     )
-    place = Window.partitionBy(*section, "line_no").orderBy("member_at")
-    members = stage(members.withColumn("n", F.row_number().over(place) - 1))
+    members = stage(running_total(members, [*section, "line_no"], "member_at", F.lit(1), "n").withColumn("n", F.col("n").cast("int")))
     choice_leaves = item(members, zero, F.array("n"), F.array(F.lit("or")), F.lit("course"), F.col("code"), blank)
     choices = members.where("n = 0").withColumn("note", F.col("text"))
     choice_nodes = item(choices, zero, none, no_kinds, F.lit("or"), blank, F.col("note"))

@@ -314,6 +314,45 @@ SELECT student, code AS owner, CASE shape WHEN 2 THEN coalesce(va, false) OR coa
   WHEN 4 THEN coalesce(va, true) AND (coalesce(vb, false) OR coalesce(vc, false)) WHEN 7 THEN false ELSE coalesce(va, false) END AS satisfied
 FROM v WHERE shape IN (2, 3, 4, 5, 7, 8)""")
 
+_PRUNED = """
+WITH RECURSIVE vals AS (
+  SELECT DISTINCT t.student AS student, i.id AS id, i.kind AS kind,
+    CASE i.kind WHEN 'course' THEN d.code IS NOT NULL WHEN 'coursePattern' THEN h.has_p WHEN 'condition' THEN false
+      ELSE CASE WHEN i.path = '0.1' THEN h.has_b OR h.has_c WHEN h.shape IN (2, 5) THEN h.has_a OR h.has_b WHEN h.shape = 3 THEN h.has_a AND h.has_b
+        WHEN h.shape = 4 THEN h.has_a AND (h.has_b OR h.has_c) WHEN h.shape = 8 THEN h.has_a ELSE false END END AS met,
+    CASE i.kind WHEN 'course' THEN d.code IS NOT NULL WHEN 'coursePattern' THEN false WHEN 'condition' THEN false
+      ELSE CASE WHEN i.path = '0.1' THEN h.has_b OR h.has_c WHEN h.shape IN (2, 3, 5) THEN h.has_a OR h.has_b WHEN h.shape = 4 THEN h.has_a OR h.has_b OR h.has_c ELSE h.has_a END END AS done
+  FROM fx_targets t JOIN ox_ids i ON i.owner = t.code LEFT JOIN ox_has h ON h.student = t.student AND h.code = t.code
+  LEFT JOIN fx_completed d ON d.student = t.student AND d.code = i.code
+  UNION SELECT t.student, 'course:' || t.code, 'course', d.code IS NOT NULL, d.code IS NOT NULL FROM fx_targets t LEFT JOIN fx_completed d ON d.student = t.student AND d.code = t.code),
+links AS (
+  SELECT DISTINCT t.student AS student, e.target AS parent, e.source AS child, e.relation AS relation FROM fx_targets t JOIN ox_edges e ON e.owner = t.code AND e.relation <> 'exclusion'),
+wide AS (
+  SELECT l.*, p.kind AS p_kind, p.met AS p_met, p.done AS p_done, c.kind AS c_kind, c.met AS met, c.done AS done, bool_or(c.met) OVER (PARTITION BY l.student, l.parent, l.relation) AS some_met
+  FROM links l JOIN vals p ON p.student = l.student AND p.id = l.parent JOIN vals c ON c.student = l.student AND c.id = l.child),
+moves AS (
+  SELECT student, parent, child, c_kind, met, done, 'consider' AS mark, CASE WHEN met THEN 'sat' WHEN some_met THEN 'drop' ELSE 'need' END AS raw FROM wide WHERE p_kind = 'course'
+  UNION ALL SELECT student, parent, child, c_kind, met, done, 'sat', CASE WHEN met THEN 'sat' WHEN p_kind = 'all' THEN 'need' ELSE 'drop' END FROM wide WHERE p_kind IN ('all', 'any')
+  UNION ALL SELECT student, parent, child, c_kind, met, done, 'need', 'need' FROM wide WHERE p_kind IN ('all', 'any') AND NOT p_met
+  UNION ALL SELECT student, parent, child, c_kind, met, done, 'paths', CASE WHEN done THEN 'paths' ELSE 'drop' END FROM wide WHERE p_kind IN ('all', 'any')
+  UNION ALL SELECT student, parent, child, c_kind, met, done, 'drop', 'drop' FROM wide WHERE NOT p_done),
+entered AS (
+  SELECT student, parent, mark, child, CASE WHEN c_kind = 'course' AND (raw IN ('need', 'sat', 'paths') OR (raw = 'drop' AND done)) THEN 'consider'
+    WHEN raw = 'need' AND met AND c_kind IN ('all', 'any') THEN 'sat' WHEN raw = 'drop' AND done THEN 'paths' ELSE raw END AS to_mark FROM moves),
+marks AS (
+  SELECT DISTINCT student, 'course:' || code AS id, 'consider' AS mark FROM fx_targets
+  UNION SELECT m.student, e.child, e.to_mark FROM marks m JOIN entered e ON e.student = m.student AND e.parent = m.id AND e.mark = m.mark),
+hidden AS (
+  SELECT m.student AS student, m.id AS id FROM marks m JOIN vals v ON v.student = m.student AND v.id = m.id GROUP BY m.student, m.id
+  HAVING bool_and(m.mark = 'drop') AND NOT bool_or(v.kind = 'course' AND v.done))
+"""
+_add("f_prune", _PRUNED + "SELECT student, id FROM hidden")
+_add("f_active", _PRUNED + """, all_links AS (SELECT DISTINCT t.student AS student, e.source AS source, e.target AS target, e.relation AS relation FROM fx_targets t JOIN ox_edges e ON e.owner = t.code),
+kept AS (SELECT v.student AS student, count(*) AS nodes FROM vals v LEFT JOIN hidden h ON h.student = v.student AND h.id = v.id WHERE h.id IS NULL GROUP BY v.student),
+tied AS (SELECT l.student AS student, count(*) AS edges FROM all_links l LEFT JOIN hidden a ON a.student = l.student AND a.id = l.source LEFT JOIN hidden b ON b.student = l.student AND b.id = l.target
+  WHERE a.id IS NULL AND b.id IS NULL GROUP BY l.student)
+SELECT k.student AS student, k.nodes AS nodes, coalesce(t.edges, 0) AS edges FROM kept k LEFT JOIN tied t ON t.student = k.student""")
+
 # ---- programs -------------------------------------------------------------------------------
 _add("g_bounds", "SELECT DISTINCT program, CAST(1 AS BIGINT) AS start, CAST(800 AS BIGINT) AS stop, CAST(900 AS BIGINT) AS finish FROM fx_owned")
 _NOTE = "'Note: ' || p.code || ' OR ' || q.code"

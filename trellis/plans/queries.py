@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions import text as T
 from trellis.operators import catalog, graph, levels, notes, program_sync, program_text, prune, refresh, requirements, students, verdicts
+from trellis.operators.ordered import running_total
 from trellis.operators.trees import leaf_rows, tree_depth
 from trellis.plans.workspace import YEAR, Workspace
 from trellis.session import Staged, stage
@@ -795,8 +796,8 @@ def h_requirement_fingerprint(w: Workspace) -> DataFrame:
 @query
 def h_stamp_changed(w: Workspace) -> DataFrame:
     loads = w.sql("SELECT user_id AS program, event_id AS at_id, event_type AS generated_at FROM events")
-    rank = F.row_number().over(Window.partitionBy("program").orderBy("at_id"))
-    found = refresh.stamp_changed(loads.withColumn("load_no", rank), "program", "at_id")
+    numbered = running_total(loads, ["program"], "at_id", F.lit(1), "load_no")
+    found = refresh.stamp_changed(numbered, "program", "at_id")
     return found.select("program", "at_id", "changed")
 
 
