@@ -273,6 +273,15 @@ def diagnose(nodes: DataFrame, cycles: DataFrame, cut: DataFrame | None, max_nod
     return rows
 
 
+def visible_diagnostics(diagnostics: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Diagnostics without courses, and those that name a course among the shown ``nodes(root, code)``."""
+    columns = diagnostics.columns
+    general = diagnostics.where(F.col("courses").isNull())
+    shown = nodes.select("root", "code").where(F.col("code").isNotNull())
+    named = diagnostics.withColumn("code", F.explode("courses")).join(shown, ["root", "code"], "left_semi")
+    return general.unionByName(named.select(*columns).distinct())
+
+
 def node_score() -> Column:
     """How much a node tells: real beats placeholder, then level, title, url."""
     titled = F.col("title").isNotNull() & ~F.col("title").isin("", NO_DETAILS)
@@ -421,8 +430,7 @@ def requirement_groups(nodes: DataFrame, edges: DataFrame, owners: DataFrame, ma
 
     limit = None if max_depth is None else max(1, int(max_depth)) - 1
     found = grow(first, [key, "owner", "arm", "id"], onward, limit)
-    numbers = found.select(key, "owner", "arm").distinct()
-    return found.join(numbers, [key, "owner", "arm"], "left_semi").select(key, "owner", "arm", "id", "hops")
+    return found.select(key, "owner", "arm", "id", "hops")
 
 
 def neighborhood(edges: DataFrame, starts: DataFrame, parents: DataFrame, key: str = "root") -> DataFrame:

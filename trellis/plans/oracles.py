@@ -177,7 +177,8 @@ SELECT doc_id AS program, CAST(len(string_split(t, chr(10))) AS BIGINT) AS lines
 FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents)""")
 _add("a_catalog_trees", "SELECT owner, relation, path, parent_path, kind, code, qualifier, pat_subject, pat_min_level, text, mandatory FROM ox_nodes")
 _add("a_catalog_files", """
-SELECT c.code, c.title, c.credits, CAST(3 AS BIGINT) AS slots, count(r.owner) AS stated FROM ox_courses c LEFT JOIN fx_requirements r ON r.owner = c.code GROUP BY c.code, c.title, c.credits""")
+SELECT c.code AS code, c.title AS title, c.credits AS credits, coalesce(r.n, 0) AS stated, coalesce(m.n, 0) AS nodes FROM ox_courses c
+LEFT JOIN (SELECT owner, count(*) AS n FROM fx_requirements GROUP BY owner) r ON r.owner = c.code LEFT JOIN (SELECT owner, count(*) AS n FROM ox_nodes GROUP BY owner) m ON m.owner = c.code""")
 _add("a_snapshots", f"SELECT student, '{YEAR}' AS year, 'completed' AS kind, code FROM fx_completed UNION ALL SELECT student, '{YEAR}', 'targets', code FROM fx_targets")
 _add("a_snapshot_checks", """
 SELECT c_custkey AS student, v.outcome AS outcome FROM customer JOIN (VALUES (0, 'not valid JSON'), (1, 'not a snapshot'), (2, 'exported by another application'), (3, 'no usable data'),
@@ -270,6 +271,11 @@ SELECT owner AS root, CASE WHEN relation = 'exclusion' THEN 'course:' || owner E
 _add("e_projection", _PROJECTED)
 _add("e_leaf_projection", f"SELECT DISTINCT source, target, relation, qualifier, mutual FROM ({_PROJECTED} AND kind = 'course') t")
 _add("e_visible", "SELECT DISTINCT owner AS root, id FROM ox_ids WHERE relation <> 'exclusion' AND kind NOT IN ('any', 'all') UNION SELECT code, 'course:' || code FROM fx_courses")
+_add("e_visible_diagnostics", """
+SELECT DISTINCT owner AS root, 'unresolved' AS type, 'ZZZZ 9999' AS courses FROM ox_ids WHERE code = 'ZZZZ 9999'
+UNION ALL
+SELECT DISTINCT n.root, 'cycle', (SELECT min(code) || ',' || max(code) FROM fx_courses WHERE k IN (7, 8))
+FROM (SELECT owner AS root, code FROM ox_ids WHERE kind = 'course' AND relation <> 'exclusion' UNION SELECT code, code FROM fx_courses) n JOIN fx_courses c ON c.code = n.code WHERE c.k IN (7, 8)""")
 _add("e_direct_dependents", "SELECT p.ref AS root, 'course:' || p.owner AS id FROM ox_pre p JOIN fx_courses c ON c.code = p.ref")
 _add("e_groups", """
 SELECT DISTINCT i.owner AS root, CASE WHEN s.shape IN (3, 7) THEN i.id WHEN s.shape = 4 THEN CASE WHEN i.path = '0.0' THEN i.id ELSE 'bool:' || i.owner || ':prerequisite:0.1' END ELSE '' END AS arm, i.id AS id

@@ -210,9 +210,12 @@ def a_catalog_files(w: Workspace) -> DataFrame:
     subjects = courses.select("year", F.col("subject").alias("code")).distinct().select("*", F.col("code").alias("name"), F.lit("").alias("source_url"), F.lit(True).alias("fetched"))
     path = Staged(w.spark).base
     documents.write_catalog(path, courses.drop("k"), subjects, parsed, nodes, "derived", "2026-01-01T00:00:00Z")
-    back = w.spark.read.schema(f"code string, subject string, number string, title string, credits string, requirements map<string,{documents.REQUIREMENT}>, year string").json(f"{path}/courses")
-    stated = F.map_filter("requirements", lambda _, r: r.isNotNull())
-    return back.select("code", "title", "credits", F.size("requirements").cast("bigint").alias("slots"), F.size(stated).cast("bigint").alias("stated"))
+    back = documents.read_catalog_tables(w.spark, path)
+    stated = back["requirements"].groupBy(F.col("owner").alias("code")).agg(F.count(F.lit(1)).alias("stated"))
+    sized = back["req_nodes"].groupBy(F.col("owner").alias("code")).agg(F.count(F.lit(1)).alias("nodes"))
+    listed = back["courses"].join(stated, "code", "left").join(sized, "code", "left")
+    zero = F.lit(0)
+    return listed.select("code", "title", "credits", F.coalesce("stated", zero).alias("stated"), F.coalesce("nodes", zero).alias("nodes"))
 
 
 def _student_codes(w: Workspace) -> DataFrame:
@@ -413,6 +416,14 @@ def e_visible(w: Workspace) -> DataFrame:
     return nodes.select("root", "id")
 
 
+@query
+def e_visible_diagnostics(w: Workspace) -> DataFrame:
+    g = w.one_hop
+    ids = graph.visible_ids(stage(graph.project_edges(g.nodes, g.edges)), _root_ids(w))
+    shown = g.nodes.join(ids, ["root", "id"], "left_semi")
+    return graph.visible_diagnostics(g.diagnostics, shown).select("root", "type", F.array_join("courses", ",").alias("courses"))
+
+
 @query
 def e_direct_dependents(w: Workspace) -> DataFrame:
     g = w.graph("forward", 1)

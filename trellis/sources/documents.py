@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.operators.refresh import table_fingerprint
@@ -104,18 +104,32 @@ def read_catalog(spark: SparkSession, path: str, fallback: str | None = None) ->
         return read_catalog(spark, fallback)
     good = docs.where(usable).select("d.*")
     courses = good.select("year", F.explode("courses").alias("code", "c"))
-    flat = courses.select(
-        F.coalesce("c.year", "year").alias("year"), "code", "c.subject", "c.number", "c.title", "c.credits", "c.description", "c.source_url"
+    courses = courses.select(
+        F.coalesce("c.year", "year").alias("year"), "code", "c.subject", "c.number", "c.title", "c.credits", "c.description", "c.source_url",
+        "c.requirements",
     )
-    stated = courses.select("year", F.col("code").alias("owner"), F.explode("c.requirements").alias("relation", "r")).where(F.col("r").isNotNull())
+    subjects = good.select("year", F.inline("subjects"))
+    meta = good.select("year", F.col("generatedAt").alias("generated_at"), "source", F.col("sourceHash").alias("source_hash"))
+    rejected = docs.where(~usable).select("file", F.lit("catalog has no courses").alias("reason"))
+    return dict(subjects=subjects, meta=meta, rejected=rejected, **_catalog_parts(courses))
+
+
+def _catalog_parts(courses: DataFrame) -> dict[str, DataFrame]:
+    stated = courses.select("year", F.col("code").alias("owner"), F.explode("requirements").alias("relation", "r")).where(F.col("r").isNotNull())
     requirements = stated.select(
         "year", "owner", "relation", "r.raw", "r.status", F.coalesce("r.warnings", F.array().cast("array<string>")).alias("warnings")
     )
     nodes = tree_rows(stated.select("year", "owner", "relation", "r.expression"), ["year", "owner", "relation"], "expression").drop("note")
-    subjects = good.select("year", F.inline("subjects"))
-    meta = good.select("year", F.col("generatedAt").alias("generated_at"), "source", F.col("sourceHash").alias("source_hash"))
-    rejected = docs.where(~usable).select("file", F.lit("catalog has no courses").alias("reason"))
-    return dict(subjects=subjects, courses=flat, requirements=requirements, req_nodes=nodes, meta=meta, rejected=rejected)
+    return dict(courses=courses.drop("requirements"), requirements=requirements, req_nodes=nodes)
+
+
+def read_catalog_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Read back what :func:`write_catalog` wrote; any number of tasks share the courses of a year."""
+    record = f"code string, subject string, number string, title string, credits string, description string, source_url string, requirements map<string,{REQUIREMENT}>, year string"
+    courses = spark.read.schema(record).json(f"{path}/courses")
+    subjects = spark.read.schema("code string, name string, source_url string, fetched boolean, year string").json(f"{path}/subjects")
+    meta = spark.read.schema("year string, generated_at string, source string, source_hash string").json(f"{path}/meta")
+    return dict(subjects=subjects, meta=meta, **_catalog_parts(courses))
 
 
 def catalog_records(courses: DataFrame, requirements: DataFrame, req_nodes: DataFrame) -> DataFrame:
