@@ -5,7 +5,7 @@ import json
 from conftest import rows
 from pyspark.sql import functions as F
 
-from trellis.operators import ordered, program_sync, refresh, requirements, students, verdicts
+from trellis.operators import ordered, program_sync, refresh, requirements, students
 from trellis.sources import documents, pages, snapshots
 from trellis.streaming import toggles
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from trellis.functions import text as T
 from trellis.operators.requirements import WARN_CONNECTOR, WARN_GROUPING
 from trellis.plans import fixtures
-from trellis.plans.queries import BROKEN, CREDITS, NOTES, RAW_CODES, REFERRING, TITLES
+from trellis.plans.queries import BROKEN, RAW_CODES, REFERRING, TITLES
 from trellis.plans.workspace import COURSES, PROGRAM_VIEWS, YEAR
 
 _WS = "[" + T.SPACE_CHARS.replace(r"\x0B", r"\v") + "]"
