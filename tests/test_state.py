@@ -114,7 +114,6 @@ def test_toggle_stream_is_idempotent(spark, tmp_path):
     nodes = nodes.persist()
     courses = spark.createDataFrame([("COMP 2011",), ("COMP 1021",)], "code string")
     targets = spark.createDataFrame([(1, "COMP 2011"), (2, "COMP 2011")], "student bigint, code string")
-    schema = toggles.TOGGLE_SCHEMA
 
     def batch(*events):
         return spark.createDataFrame(list(events), "student bigint, code string, done boolean, ts string, event_id bigint").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -127,4 +126,9 @@ def test_toggle_stream_is_idempotent(spark, tmp_path):
     for _ in range(2):  # a replay changes nothing
         toggles.apply_batch(tables, late, 1, targets, courses, nodes)
         assert rows(tables.statuses()) == [(1, "COMP 2011", "met"), (2, "COMP 2011", "unmet")]
-    assert tables.toggles().count() == 2 and schema
+    for n in (2, 3, 4):
+        toggles.apply_batch(tables, batch((2, "COMP 1021", n % 2 == 0, f"2026-02-0{n}", 10 + n)), n, targets, courses, nodes)
+    assert rows(tables.statuses()) == [(1, "COMP 2011", "met"), (2, "COMP 2011", "met")]
+    assert tables.toggles().count() == 2
+    kept = [p for p in (tmp_path / "t" / "statuses").glob("batch=*/bucket=*")]
+    assert len(kept) <= 4

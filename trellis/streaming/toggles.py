@@ -50,6 +50,24 @@ class ToggleTables:
         placed = rows.withColumn("bucket", self.bucket()).repartition("bucket")
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.base}/{name}/batch={batch}")
 
+    def drop_superseded(self, name: str, batch: int) -> None:
+        """Remove versions no replay can need: of each bucket's versions before ``batch``, all but the newest.
+
+        Walks directory names only, at most three per bucket.
+        """
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}/batch=*/bucket=*")
+        fs = pattern.getFileSystem(conf)
+        versions: dict[str, list] = {}
+        for status in fs.globStatus(pattern) or []:
+            path = status.getPath()
+            at = int(path.getParent().getName().split("=")[1])
+            if at < batch:
+                versions.setdefault(path.getName(), []).append((at, path))
+        for found in versions.values():
+            for _, path in sorted(found, key=lambda v: v[0])[:-1]:
+                fs.delete(path, True)
+
     def toggles(self, before: int | None = None) -> DataFrame:
         return self.read("toggles", TOGGLE_SCHEMA, before)
 
@@ -70,6 +88,8 @@ def apply_batch(tables: ToggleTables, events: DataFrame, batch: int, targets: Da
     old_status = tables.statuses(before=batch).withColumn("bucket", tables.bucket())
     kept = old_status.join(buckets, "bucket", "left_semi").drop("bucket").join(touched, "student", "left_anti")
     tables.write("statuses", kept.unionByName(fresh), batch)
+    for name in ("toggles", "statuses"):
+        tables.drop_superseded(name, batch)
 
 
 def start(stream: DataFrame, tables: ToggleTables, checkpoint: str, targets: DataFrame, courses: DataFrame, req_nodes: DataFrame, **trigger) -> StreamingQuery:
