@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-import public_tokenizers
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +18,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm.token_counts import count_tokens
 
-    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm.exact_dedup import dedup
+
+    return dedup(_table(spark, sf_dir, "documents")).drop("historical")
 
 
 QUERIES = {
+    "op7_exact_dedup": op7_exact_dedup,
     "op9_token_counts": op9_token_counts,
 }

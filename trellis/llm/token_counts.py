@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from trellis.llm.pieces import WINDOW, Pieces, windows
+from trellis.llm.shipping import ship
 
 
 def batch_counter(path: str) -> Callable[[list[str]], list[int]]:
@@ -71,6 +72,7 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text", limit: int =
                 names=[*keep, "n_bytes", "n_tokens", "over_limit"],
             )
 
+    ship(docs.sparkSession)
     picked = docs.select(*keep, text)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
     return picked.mapInArrow(run, f"{fields}, n_bytes long, n_tokens long, over_limit boolean")
