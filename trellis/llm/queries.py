@@ -27,7 +27,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(_table(spark, sf_dir, "documents")).drop("historical")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm.token_files import read_token_files, write_token_files
+
+    return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
+
+
 QUERIES = {
+    "op6_token_files": op6_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_token_counts": op9_token_counts,
 }
