@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _vocabulary(name: str) -> str:
@@ -27,6 +28,22 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(_table(spark, sf_dir, "documents")).drop("historical")
 
 
+def encoded_and_decoded(docs: DataFrame, path: str) -> DataFrame:
+    """Digests of the ids of every text and of the text that they decode to."""
+    from trellis.llm.transducer import decode, encode
+
+    encoded = encode(docs, path).select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+    )
+    decoded = decode(encoded, path, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_and_decoded(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm.token_files import read_token_files, write_token_files
 
@@ -34,6 +51,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_bpe_round_trip": op3_bpe_round_trip,
     "op6_token_files": op6_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_token_counts": op9_token_counts,

@@ -12,8 +12,12 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand the package's sources (a zip of some 100 KB) to the executors, once per application."""
+    """Hand the package's sources (a zip of some 100 KB) to the executors, once per application.
+
+    Batches for Python are bounded by bytes too, so that long texts do not fill a worker.
+    """
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
