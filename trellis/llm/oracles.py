@@ -3,6 +3,20 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {
+    "op4_line_dedup": r"""
+WITH split AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+           unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no
+    FROM documents),
+keyed AS (
+    SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM split),
+owners AS (SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10 GROUP BY key),
+judged AS (SELECT k.*, coalesce(o.owner < k.doc_id, false) AS gone FROM keyed k LEFT JOIN owners o ON k.key = o.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id""",
     "op7_exact_dedup": r"""
 WITH d AS (
     SELECT doc_id, length(coalesce(text, '')) AS chars,

@@ -44,6 +44,13 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_and_decoded(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm.token_files import read_token_files, write_token_files
 
@@ -52,6 +59,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_line_dedup": op4_line_dedup,
     "op6_token_files": op6_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_token_counts": op9_token_counts,
