@@ -57,10 +57,19 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm.warc import archive_folder, read_pages, write_pages
+
+    folder = archive_folder(spark)
+    write_pages(_table(spark, sf_dir, "pages"), folder)
+    return read_pages(spark, folder)
+
+
 QUERIES = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_line_dedup": op4_line_dedup,
     "op6_token_files": op6_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_warc": op10_warc,
 }
