@@ -68,9 +68,9 @@ class Pieces:
 
     def _learn(self, parts: set[str]) -> None:
         """Make the values of ``parts``, none of them known, known."""
-        again = parts.intersection(self.older)
-        self.known.update({p: self.older[p] for p in again})
-        new = parts - again
+        again = {p: self.older[p] for p in parts if p in self.older}
+        self.known.update(again)
+        new = parts.difference(again)
         clean = [p for p in new if _clean(p)]
         self.known.update(dict.fromkeys(new))
         self.known.update(zip(clean, self._encoded([f" {p}" for p in clean])))
