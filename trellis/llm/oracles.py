@@ -17,6 +17,29 @@ judged AS (SELECT k.*, coalesce(o.owner < k.doc_id, false) AS gone FROM keyed k
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
+    "op5_decontamination": r"""
+WITH fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper, 'abcdefghijklmnopqrstuvwxyz' AS low),
+dw AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), upper, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents, fold),
+iw AS (
+    SELECT CAST(item_id AS VARCHAR) AS item,
+           regexp_extract_all(translate(coalesce(text, ''), upper, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark, fold),
+starts AS (SELECT item, least(10, len(w)) AS n, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM iw WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[s : s + n - 1], ' ') AS k FROM starts),
+places AS (
+    SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS s
+    FROM dw, (SELECT DISTINCT n FROM windows) AS lengths WHERE len(w) >= n),
+grams AS (SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS k FROM places),
+met AS (SELECT doc_id, g.n AS n, s, item FROM grams g JOIN windows x ON g.n = x.n AND g.k = x.k),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM met) GROUP BY doc_id),
+items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+    FROM (SELECT DISTINCT doc_id, item FROM met) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op7_exact_dedup": r"""
 WITH d AS (
     SELECT doc_id, length(coalesce(text, '')) AS chars,
