@@ -51,6 +51,28 @@ SELECT doc_id,
        doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS kept,
        text_sha256
 FROM d""",
+    "op8_near_duplicates": r"""
+WITH RECURSIVE dw AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+sets AS (
+    SELECT doc_id, list_sort(list_distinct(list_transform(
+               range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i : i + least(5, len(w)) - 1], ' ')))) AS s
+    FROM dw WHERE len(w) > 0),
+reps AS (SELECT md5(array_to_string(s, '|')) AS digest, min(doc_id) AS rep, count(*) AS n_copies, any_value(s) AS s FROM sets GROUP BY 1),
+grams AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM reps),
+common AS (
+    SELECT x.rep AS a, y.rep AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS c
+    FROM grams x JOIN grams y ON x.g = y.g AND x.rep <> y.rep GROUP BY x.rep, y.rep),
+links AS (SELECT a, b FROM common WHERE c * 5 >= (n + m - c) * 4),
+reach AS (SELECT DISTINCT a AS rep, a AS other FROM links UNION SELECT r.rep, l.b FROM reach r JOIN links l ON r.other = l.a),
+classes AS (SELECT rep, min(other) AS class_id FROM reach GROUP BY rep),
+counts AS (SELECT a AS rep, count(*) AS n_links FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(r.rep, d.doc_id) AS copy_of, coalesce(r.n_copies, 1) AS n_copies,
+       coalesce(c.class_id, r.rep, d.doc_id) AS class_id, coalesce(k.n_links, 0) AS n_links
+FROM documents d LEFT JOIN sets s ON s.doc_id = d.doc_id LEFT JOIN reps r ON r.digest = md5(array_to_string(s.s, '|'))
+LEFT JOIN classes c ON c.rep = r.rep LEFT JOIN counts k ON k.rep = r.rep""",
     "op10_warc": r"""
 WITH p AS (
     SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
