@@ -34,6 +34,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(_table(spark, sf_dir, "documents")).drop("historical")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm.toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def encoded_and_decoded(docs: DataFrame, path: str) -> DataFrame:
     """Digests of the ids of every text and of the text that they decode to."""
     from trellis.llm.transducer import decode, encode
@@ -82,6 +88,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
