@@ -150,7 +150,7 @@ def _document_counts(docs: DataFrame, block) -> dict:
             [pa.array([place[s] for s in found], pa.int64()), pa.array(found.values(), pa.int64())], names=["shingle", "held"]
         )
 
-    counts = docs.select("text").mapInArrow(run, "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held"))
+    counts = docs.select("_text").mapInArrow(run, "shingle long, held long").groupBy("shingle").agg(F.sum("held").alias("held"))
     return {block.value.shingles[r.shingle]: r.held for r in counts.collect()}  # at most the block's shingles
 
 
@@ -191,11 +191,11 @@ def contamination(
     windows = stage(item_windows(benchmark, item_text, item_id, window))
     size = windows.agg(F.sum(F.octet_length("window") + F.octet_length(F.concat_ws(",", "items")) + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    picked = docs.select(*keep, F.col(text).alias("text"))
+    picked = docs.select(*keep, F.col(text).alias("_text"))
     key = list(keep)
     if blocks > 1:  # results of several blocks meet by row
         key = [*keep, "_row"]
-        picked = picked.select(*keep, F.sha2(F.coalesce("text", F.lit("")), 256).alias("_row"), "text")
+        picked = picked.select(*keep, F.sha2(F.coalesce("_text", F.lit("")), 256).alias("_row"), "_text")
     parts = []
     for k in range(blocks):
         rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).collect()  # at most about block_bytes

@@ -6,38 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm.near_dup import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm.token_counts import count_tokens
 
-    return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm.exact_dedup import dedup
 
-    return dedup(_table(spark, sf_dir, "documents")).drop("historical")
+    return dedup(table(spark, sf_dir, "documents")).drop("historical")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm.toxicity import score_toxicity
 
-    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def encoded_and_decoded(docs: DataFrame, path: str) -> DataFrame:
@@ -53,20 +53,20 @@ def encoded_and_decoded(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded_and_decoded(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return encoded_and_decoded(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm.line_dedup import dedup_lines
 
-    kept = dedup_lines(_table(spark, sf_dir, "documents"))
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm.decontamination import contamination
 
-    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
@@ -76,14 +76,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm.token_files import read_token_files, write_token_files
 
-    return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json")))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm.warc import archive_folder, read_pages, write_pages
 
     folder = archive_folder(spark)
-    write_pages(_table(spark, sf_dir, "pages"), folder)
+    write_pages(table(spark, sf_dir, "pages"), folder)
     return read_pages(spark, folder)
 
 

@@ -269,10 +269,10 @@ def features(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataF
         for batch in batches:
             pairs = [shared.value.features(v.as_py() or "") for v in batch.column(len(keep))]
             made = [pa.array([p[k] for p in pairs], pa.float64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, "expression", "document"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, "_expression", "_document"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
-    return picked.mapInArrow(run, f"{fields}, expression double, document double")
+    return picked.mapInArrow(run, f"{fields}, _expression double, _document double")
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -291,8 +291,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted (1 from ``threshold`` on) of every row of ``docs``.
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep`` columns, held_out, score (0 to 1) and predicted (1 from ``threshold`` on) of every row of ``docs``.
 
     Labels are learnt from rows of ``labels`` whose fold is not held out; ids that repeat there count once, toxic if
     any row says so; null labels and ids are ignored.  Of these, folds 3 and 7 of 16 fit the curve and the others are
@@ -306,9 +306,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", do
     counted = known.where(~_for_calibration("_id"))
     own = docs.where(~held_out(doc_id) & ~_for_calibration(doc_id)).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
     model = train(own.join(counted, "_id").select("text", "toxic"))
-    scored = stage(features(docs, model, text, [doc_id]))
-    fitted = scored.join(known.where(_for_calibration("_id")), scored[doc_id] == F.col("_id"))
-    rows = fitted.select("expression", "document", "toxic").orderBy(F.xxhash64("_id")).limit(CALIBRATION_ROWS).toArrow()
-    a, b, c = fit_curve(np.column_stack([rows["expression"].to_numpy(), rows["document"].to_numpy()]), rows["toxic"].to_numpy().astype(float)).tolist()
-    score = 1 / (1 + F.exp(-(a * F.col("expression") + b * F.col("document") + c)))
-    return scored.select(doc_id, held_out(doc_id).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "expression", "document")
+    scored = stage(features(docs, model, text, [doc_id, *keep]))
+    fitted = scored.select(F.col(doc_id).alias("_id"), "_expression", "_document").join(known.where(_for_calibration("_id")), "_id")
+    rows = fitted.select("_expression", "_document", "toxic").orderBy(F.xxhash64("_id")).limit(CALIBRATION_ROWS).toArrow()
+    x, y = np.column_stack([rows[c].to_numpy() for c in ("_expression", "_document")]), rows["toxic"].to_numpy()
+    a, b, c = fit_curve(x, y.astype(float)).tolist()
+    score = 1 / (1 + F.exp(-(a * F.col("_expression") + b * F.col("_document") + c)))
+    return scored.select(doc_id, *keep, held_out(doc_id).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
