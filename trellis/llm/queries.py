@@ -34,6 +34,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).drop("historical")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm.pii import surrogates
+
+    return surrogates(table(spark, sf_dir, "documents"), b"a key for tests, not for production")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.llm.toxicity import score_toxicity
 
@@ -88,6 +94,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_toxicity": op2_toxicity,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_line_dedup": op4_line_dedup,
