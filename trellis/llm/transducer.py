@@ -19,9 +19,11 @@ import functools
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -30,6 +32,8 @@ from trellis.llm.shipping import ship
 
 #: Symbols of a word that are merged at once, besides the lookahead.
 BLOCK = 512
+#: Pieces that a worker remembers.
+REMEMBERED = 800_000
 #: Ids of a row that are decoded at once.
 DECODE_IDS = 1 << 16
 
@@ -108,25 +112,29 @@ class Decoder:
 
     def __init__(self, tokens: dict[int, str], byte_of: dict[str, int] | None):
         """``byte_of`` maps the characters of byte-level spellings; None: spellings are joined by spaces."""
-        self.bytes = {k: _to_bytes(t, byte_of) for k, t in tokens.items()} if byte_of else None
-        self.spelling = tokens
+        self.as_bytes = byte_of is not None
+        self.table = np.full(max(tokens, default=-1) + 2, None, object)  # the last entry stands for unknown ids
+        for k, t in tokens.items():
+            self.table[k] = _to_bytes(t, byte_of) if byte_of else t
         self.begin()
 
     def begin(self) -> None:
         self.pending = codecs.getincrementaldecoder("utf-8")("replace")
         self.first = True
 
-    def feed(self, ids: list[int]) -> str:
-        if self.bytes is not None:
-            return self.pending.decode(b"".join([self.bytes[i] for i in ids if i in self.bytes]))
-        known = [self.spelling[i] for i in ids if i in self.spelling]
+    def feed(self, ids: np.ndarray) -> str:
+        known = self.table[np.where((ids >= 0) & (ids < len(self.table)), ids, -1)].tolist()
+        if None in known:
+            known = [t for t in known if t is not None]
+        if self.as_bytes:
+            return self.pending.decode(b"".join(known))
         text = ("" if self.first or not known else " ") + " ".join(known)
         self.first = self.first and not known
         return text
 
     def finish(self) -> str:
         """What is left, and back to the start."""
-        text = self.pending.decode(b"", True) if self.bytes is not None else ""
+        text = self.pending.decode(b"", True) if self.as_bytes else ""
         self.begin()
         return text
 
@@ -164,49 +172,48 @@ class Vocabulary:
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         spellings = {i: t for t, i in (self.ids | self.special).items()}
         self.decoder = Decoder(spellings, {c: b for b, c in byte_letters().items()} if spec["decoder"] else None)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces = Pieces(lambda texts: [self.encode_piece(t) for t in texts])
+        self.words: dict[str, bytes] = {}
+        self.pieces = Pieces(lambda texts: [self.encode_piece(t) for t in texts], REMEMBERED)
 
     def _width(self, token: str) -> int:
         return len(token.removesuffix(self.suffix)) if self.suffix else len(token)
 
-    def _symbols(self, word: str) -> Iterator[str]:
-        yield from word[:-1]
-        yield word[-1] + self.suffix
+    def _symbols(self, word: str) -> list[str]:
+        return [*word[:-1], word[-1] + self.suffix]
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _ids(self, tokens: Iterable[str]) -> bytes:
+        return array("i", [self.ids[t] for t in tokens if t in self.ids]).tobytes()
+
+    def _word(self, word: str) -> bytes:
         if len(word) > self.encoder.block:
-            return tuple(self.ids[t] for t in self.encoder.stream(self._symbols(word), self._width) if t in self.ids)
+            return self._ids(self.encoder.stream(self._symbols(word), self._width))
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= 200_000:
+            if len(self.words) >= REMEMBERED // 4:
                 self.words.clear()
-            found = self.words[word] = tuple(self.ids[t] for t in self.encoder.merge(list(self._symbols(word))) if t in self.ids)
+            found = self.words[word] = self._ids(self.encoder.merge(self._symbols(word)))
         return found
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of a piece of text that no word crosses."""
-        out: list[int] = []
+    def encode_piece(self, piece: str) -> bytes:
+        """Ids (32-bit) of a piece of text that no word crosses."""
+        out = []
         for k, part in enumerate(self.special_pattern.split(piece) if self.special_pattern else [piece]):
             if k % 2:
-                out.append(self.special[part])
+                out.append(array("i", [self.special[part]]).tobytes())
             elif part:
                 plain = self.normalizer.normalize_str(part) if self.normalizer else part
-                for word, _ in self.splitter.pre_tokenize_str(plain):
-                    if word:
-                        out += self._word(word)
-        return tuple(out)
+                out += [self._word(word) for word, _ in self.splitter.pre_tokenize_str(plain) if word]
+        return b"".join(out)
 
-    def encode(self, text: str) -> Iterator[list[int]]:
+    def encode(self, text: str) -> Iterator[np.ndarray]:
         """Ids of a text, window by window."""
         for values in self.pieces.values(text):
-            yield list(chain.from_iterable(values))
+            yield np.frombuffer(b"".join(values), np.int32)
 
-    def decode(self, ids: Iterable[int]) -> Iterator[str]:
+    def decode(self, ids: np.ndarray) -> Iterator[str]:
         """Text of ids, piece by piece."""
-        source = iter(ids)
-        while some := list(islice(source, DECODE_IDS)):
-            yield self.decoder.feed(some)
+        for at in range(0, len(ids), DECODE_IDS):
+            yield self.decoder.feed(ids[at : at + DECODE_IDS])
         yield self.decoder.finish()
 
 
@@ -221,13 +228,12 @@ def _mapped(rows: DataFrame, column: str, kind: str, run) -> DataFrame:
     ship(rows.sparkSession)
     at = rows.columns.index(column)
     fields = ", ".join(f"`{f.name}` {kind if i == at else f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields))
-    arrow = {"array<int>": pa.list_(pa.int32()), "string": pa.string()}[kind]
     names = rows.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = batch.columns
-            columns[at] = pa.array(run(columns[at]), arrow)
+            columns[at] = run(columns[at])
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(each, fields)
@@ -240,10 +246,15 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", keep: tuple[str, .
     columns are ignored; an empty table gives an empty result.
     """
 
-    def run(texts: pa.Array) -> Iterator:
-        vocab = vocabulary(path)
+    def run(texts: pa.Array) -> pa.Array:
+        vocab, windows, ends = vocabulary(path), [np.zeros(0, np.int32)], [0]
         for value in texts:
-            yield list(chain.from_iterable(vocab.encode(value.as_py() or "")))
+            end = ends[-1]
+            for window in vocab.encode(value.as_py() or ""):
+                windows.append(window)
+                end += len(window)
+            ends.append(end)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(windows)))
 
     return _mapped(docs.select(*keep, docs[text].alias(ids)), ids, "array<int>", run)
 
@@ -251,10 +262,9 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", keep: tuple[str, .
 def decode(encoded: DataFrame, path: str, *, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns and the text of every array of ids, special tokens included; null arrays have an empty text."""
 
-    def run(arrays: pa.Array) -> Iterator:
-        vocab = vocabulary(path)
-        for value in arrays:
-            numbers = value.values.to_pylist() if value.is_valid else []
-            yield "".join(vocab.decode(numbers))
+    def run(arrays: pa.Array) -> pa.Array:
+        vocab, none = vocabulary(path), np.zeros(0, np.int32)
+        numbers = (value.values.to_numpy(zero_copy_only=False) if value.is_valid else none for value in arrays)
+        return pa.array(("".join(vocab.decode(ids)) for ids in numbers), pa.string())
 
     return _mapped(encoded.select(*keep, encoded[ids].alias(text)), text, "string", run)
