@@ -6,7 +6,7 @@ columns of ``documents``; ``n_chars`` follows the text where a stage changes it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm.decontamination import contamination
@@ -17,32 +17,37 @@ from trellis.llm.toxicity import score_toxicity
 from trellis.session import stage
 
 
-def _others(docs: DataFrame, *names: str) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c not in names)
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns, whatever their names, in one."""
+    return docs.select("doc_id", "text", F.struct(F.lit(True).alias("_"), *(docs[f"`{c}`"] for c in docs.columns if c not in ("doc_id", "text"))).alias("_rest"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs``, of packed rows; ``changed`` ones only if they are there."""
+    return rows.select(*(c if c in ("doc_id", "text") else changed.get(c, F.col("_rest")[c]).alias(c) for c in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), keep=_others(docs, "doc_id"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = score_toxicity(_packed(docs), table(spark, sf_dir, "labels"), keep=("text", "_rest"))
+    return _unpacked(scored.where("predicted = 0"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that a document of a smaller id holds too."""
-    kept = dedup_lines(docs, keep=_others(docs, "doc_id", "text"))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return _unpacked(dedup_lines(_packed(docs), keep=("_rest",)), docs, n_chars=F.length("text").cast("long"))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the document of the smallest id."""
     others = near_duplicates(docs).where("class_id <> doc_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(others, "doc_id", "left_anti").select(*(docs[f"`{c}`"] for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where("n_hit = 0").select(*docs.columns)
+    found = contamination(_packed(docs), table(spark, sf_dir, "benchmark"), keep=("doc_id", "text", "_rest"))
+    return _unpacked(found.where("n_hit = 0"), docs)
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,3 +227,19 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(expected)
     one = corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert one.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages_handle_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "one text of some words"), (1, "one text of some words"), (2, None), (None, "no id"), (3, "")]
+    extra = "n_chars long, predicted int, n_hit int, _rest string, `a b.c` string, class_id long, _text string"
+    docs = spark.createDataFrame([(*r, 5, 1, 1, "r", "q", None, "t") for r in rows], f"doc_id long, text string, {extra}")
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert sorted((r[0], r[1] or "", *r[3:]) for r in out.collect() if r[0]) == sorted((r[0], r[1] or "", *r[3:]) for r in docs.collect() if r[0])
+        assert step(spark, docs.limit(0), str(tmp_path)).collect() == []
+    assert len(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()) == 5

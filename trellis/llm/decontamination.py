@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.llm.schema import extended
 from trellis.llm.shipping import ship
 from trellis.session import stage
 
@@ -172,8 +173,7 @@ def _scan(docs: DataFrame, names: list[str], block, everything: bool) -> DataFra
             made = [pa.array(totals, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*kept, *made], names=[*names, "n_words", "spans", "items"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(names)])
-    return docs.mapInArrow(run, f"{fields}, n_words long, spans array<struct<start: long, end: long>>, items array<string>")
+    return docs.mapInArrow(run, extended(docs.schema.fields[: len(names)], "n_words long, spans array<struct<start: long, end: long>>, items array<string>"))
 
 
 def contamination(

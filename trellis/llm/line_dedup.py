@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from trellis.llm.schema import extended
 from trellis.llm.shipping import ship
 from trellis.session import Staged, stage, staging_root
 
@@ -168,5 +169,4 @@ def dedup_lines(
             new = [pa.array(totals, pa.int64()), pa.array(losses, pa.int64()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *new], names=[*names, "n_lines", "n_dropped", text])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(names)])
-    return joined.mapInArrow(rewrite, f"{fields}, n_lines long, n_dropped long, `{text}` string")
+    return joined.mapInArrow(rewrite, extended(picked.schema.fields[: len(names)], f"n_lines long, n_dropped long, `{text}` string"))

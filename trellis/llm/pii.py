@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.llm.schema import extended
 from trellis.llm.shipping import ship
 from trellis.session import Staged, stage
 
@@ -316,8 +317,8 @@ def surrogates(docs: DataFrame, key: bytes, *, text: str = "text", keep: tuple[s
             made = [pa.array(texts, pa.string()), pa.array(map(len, lists), pa.int64()), pa.array(lists, pa.list_(kind))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=[*names, text, "n_entities", "entities"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(names)])
-    return picked.mapInArrow(run, f"{fields}, `{text}` string, n_entities long, entities array<struct<kind: string, start: long, end: long, surrogate: string>>")
+    made = f"`{text}` string, n_entities long, entities array<struct<kind: string, start: long, end: long, surrogate: string>>"
+    return picked.mapInArrow(run, extended(picked.schema.fields[: len(names)], made))
 
 
 def _with_redrawn(picked: DataFrame, names: list[str], again: DataFrame) -> DataFrame:

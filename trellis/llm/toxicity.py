@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm.decontamination import word_chunks
+from trellis.llm.schema import extended
 from trellis.llm.shipping import ship
 from trellis.session import stage
 
@@ -271,8 +272,7 @@ def features(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataF
             made = [pa.array([p[k] for p in pairs], pa.float64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, "_expression", "_document"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
-    return picked.mapInArrow(run, f"{fields}, _expression double, _document double")
+    return picked.mapInArrow(run, extended(picked.schema.fields[: len(keep)], "_expression double, _document double"))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
