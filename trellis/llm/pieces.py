@@ -44,17 +44,24 @@ def windows(text: str, size: int = WINDOW) -> Iterator[str]:
     yield text[start:]
 
 
+#: Signs that, after ASCII letters, are a word of their own for every pre-tokeniser.
+SIGNS = frozenset(".,;:!?")
+UNCLEAN = "unclean"
+
+
 class Pieces:
     """Values of texts, put together from the values of their distinct pieces.
 
-    ``encode`` gives one value for each of a list of strings.  ``values`` gives, for each text, the list
-    of its pieces' values in order.
+    ``encode`` gives one value for each of a list of strings; values of neighbours add up with ``+``.
+    ``values`` gives, for each text, the list of its pieces' values in order.
     """
 
     def __init__(self, encode: Callable[[list[str]], list], remembered: int = REMEMBERED):
         self.encode, self.remembered = encode, remembered
-        self.known: dict[str, object] = {}  # by the piece without its leading space; None: not a piece of its own
+        self.known: dict[str, object] = {}  # by the piece without its leading space; UNCLEAN: not a piece of its own
         self.older: dict[str, object] = {}  # known before the newer half was begun
+        self.lines: dict[str, object] = {}  # words after a line feed, with it
+        self.signs = dict(zip(sorted(SIGNS), encode(sorted(SIGNS))))
 
     def _encoded(self, pieces: list[str]) -> list:
         out, batch, size = [], [], 0
@@ -67,23 +74,59 @@ class Pieces:
         return out + (self.encode(batch) if batch else [])
 
     def _learn(self, parts: set[str]) -> None:
-        """Make the values of ``parts``, none of them known, known."""
-        again = {p: self.older[p] for p in parts if p in self.older}
-        self.known.update(again)
-        new = parts.difference(again)
-        clean = [p for p in new if _clean(p)]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(clean, self._encoded([f" {p}" for p in clean])))
+        """Make the values of ``parts``, none of them known, known.
+
+        A part is put together from smaller ones where that is safe: at single line feeds between visible
+        characters, and before a sign that follows ASCII letters.
+        """
+        known, older, lines = self.known, self.older, self.lines
+        if 8 * len(lines) > self.remembered:
+            lines.clear()
+        joined, signed, new = [], [], {" ": set(), "\n": set()}
+
+        def need(table: dict, separator: str, word: str) -> None:
+            if word in table:
+                return
+            if word[-1] in SIGNS and (stem := word[:-1]).isalpha() and stem.isascii():
+                signed.append((table, word))
+                need(table, separator, stem)
+            elif separator == " " and word in older:
+                table[word] = older[word]
+            else:
+                new[separator].add(word)
+
+        for p in parts:
+            if p in older:
+                known[p] = older[p]
+            elif not _clean(p):
+                known[p] = UNCLEAN
+            elif "\n" in p and all(map(_clean, rows := p.split("\n"))):
+                joined.append((p, rows))
+                need(known, " ", rows[0])
+                for row in rows[1:]:
+                    need(lines, "\n", row)
+            else:
+                need(known, " ", p)
+        for separator, table in ((" ", known), ("\n", lines)):
+            todo = list(new[separator])
+            table.update(zip(todo, self._encoded([separator + w for w in todo])))
+        for table, word in signed:
+            table[word] = table[word[:-1]] + self.signs[word[-1]]
+        for p, rows in joined:
+            value = known[rows[0]]
+            for row in rows[1:]:
+                value = value + lines[row]
+            known[p] = value
 
     def _window(self, window: str) -> list:
         head, *rest = window.split(" ")  # only the first window of a text can have a head
         if 2 * len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
-        unknown = set(rest).difference(self.known)
-        if unknown:
-            self._learn(unknown)
-        values = list(map(self.known.__getitem__, rest))
-        if None in values or head and rest and not _visible(head[-1]):
+        values = list(map(self.known.get, rest))
+        if None in values:
+            self._learn({p for p, v in zip(rest, values) if v is None})
+            values = list(map(self.known.get, rest))
+        if UNCLEAN in values or head and rest and not _visible(head[-1]):
             return self._encoded(self._joined(head, rest))
         return (self._encoded([head]) if head else []) + values
 

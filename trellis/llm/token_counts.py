@@ -9,13 +9,14 @@ narrow projection: no shuffle, no driver state, and a lost task is simply run ag
 from __future__ import annotations
 
 import functools
-import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from trellis.llm.library import encoder
 from trellis.llm.pieces import WINDOW, Pieces, windows
+from trellis.llm.schema import extended
 from trellis.llm.shipping import ship
 
 
@@ -26,13 +27,8 @@ def batch_counter(path: str) -> Callable[[list[str]], list[int]]:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return lambda texts: [len(e) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids = encoder(path)
+    return lambda texts: [len(i) for i in ids(texts)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -74,5 +70,4 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text", limit: int =
 
     ship(docs.sparkSession)
     picked = docs.select(*keep, text)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)])
-    return picked.mapInArrow(run, f"{fields}, n_bytes long, n_tokens long, over_limit boolean")
+    return picked.mapInArrow(run, extended(picked.schema.fields[: len(keep)], "n_bytes long, n_tokens long, over_limit boolean"))

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import os
 import struct
 import uuid
 import zlib
@@ -35,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellis.llm.library import encoder, tokenizer
 from trellis.llm.pieces import Pieces
 from trellis.llm.shipping import ship
 from trellis.session import stage, staging_root
@@ -49,29 +49,14 @@ DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
-
-
 def id_width(path: str) -> int:
-    return 2 if _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+    return 2 if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
 @functools.lru_cache(maxsize=2)
 def _serializer(path: str, width: int) -> Callable[[str], bytes]:
-    tokenizer, code = _tokenizer(path), {2: "H", 4: "I"}[width]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        return [array(code, e.ids).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    pieces = Pieces(encode)
+    ids, code = encoder(path), {2: "H", 4: "I"}[width]
+    pieces = Pieces(lambda texts: [array(code, i).tobytes() for i in ids(texts)])
     return lambda text: b"".join(map(b"".join, pieces.values(text)))
 
 
