@@ -17,7 +17,7 @@ def ship(spark: SparkSession) -> None:
     Batches for Python are bounded by bytes too, so that long texts do not fill a worker.
     """
     context = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]

@@ -26,14 +26,18 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from trellis.llm.pieces import Pieces
+from trellis.llm.schema import extended
 from trellis.llm.shipping import ship
 
 #: Symbols of a word that are merged at once, besides the lookahead.
 BLOCK = 512
 #: Pieces that a worker remembers.
 REMEMBERED = 800_000
+#: A space and letters that every normaliser leaves alone or lower-cases.
+PLAIN = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Ids of a row that are decoded at once.
 DECODE_IDS = 1 << 16
 
@@ -172,6 +176,9 @@ class Vocabulary:
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         spellings = {i: t for t, i in (self.ids | self.special).items()}
         self.decoder = Decoder(spellings, {c: b for b, c in byte_letters().items()} if spec["decoder"] else None)
+        # what the library makes of a space and plain letters: the lower-cased word, or the word with the space's sign
+        self.plain_words = {("ab",): True, ("ĠaB",): False}.get(tuple(w for w, _ in self._split(" aB")))
+        self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
         self.pieces = Pieces(lambda texts: [self.encode_piece(t) for t in texts], REMEMBERED)
 
@@ -194,15 +201,21 @@ class Vocabulary:
             found = self.words[word] = self._ids(self.encoder.merge(self._symbols(word)))
         return found
 
+    def _split(self, text: str) -> list:
+        return self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text) if self.normalizer else text)
+
     def encode_piece(self, piece: str) -> bytes:
         """Ids (32-bit) of a piece of text that no word crosses."""
+        if self.plain_words is not None and PLAIN.fullmatch(piece):
+            word = piece[1:].lower() if self.plain_words else piece[1:]
+            word = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            return self._word(word if self.plain_words else "Ġ" + word)
         out = []
         for k, part in enumerate(self.special_pattern.split(piece) if self.special_pattern else [piece]):
             if k % 2:
                 out.append(array("i", [self.special[part]]).tobytes())
             elif part:
-                plain = self.normalizer.normalize_str(part) if self.normalizer else part
-                out += [self._word(word) for word, _ in self.splitter.pre_tokenize_str(plain) if word]
+                out += [self._word(word) for word, _ in self._split(part) if word]
         return b"".join(out)
 
     def encode(self, text: str) -> Iterator[np.ndarray]:
@@ -227,7 +240,8 @@ def _mapped(rows: DataFrame, column: str, kind: str, run) -> DataFrame:
     """``rows`` with its column ``column`` turned into one of type ``kind`` by ``run``, value by value; nothing moves."""
     ship(rows.sparkSession)
     at = rows.columns.index(column)
-    fields = ", ".join(f"`{f.name}` {kind if i == at else f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields))
+    fields = rows.schema.fields
+    schema = StructType([*fields[:at], *extended([], f"`{column}` {kind}").fields, *fields[at + 1 :]])
     names = rows.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +250,7 @@ def _mapped(rows: DataFrame, column: str, kind: str, run) -> DataFrame:
             columns[at] = run(columns[at])
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(each, fields)
+    return rows.mapInArrow(each, schema)
 
 
 def encode(docs: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
