@@ -20,13 +20,12 @@ def tokenizer(path: str):
     return loaded
 
 
-def _plain(piece: str) -> bool:
-    """A space or line feed and letters up to U+024F: one word, or a line feed and a word, for a byte-level splitter."""
-    return piece[0] in " \n" and piece[1:].isalpha() and (piece.isascii() or max(piece) <= "\u024f")
-
-
 def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of each text.  A single word of a byte-level vocabulary goes straight to the library's model."""
+    """Ids of each text.
+
+    A space or line feed and letters up to U+024F are one word, or a line feed and a word, for a byte-level
+    splitter, and go straight to the library's model.
+    """
     loaded = tokenizer(path)
     model = loaded.model
     letters = byte_letters()
@@ -39,10 +38,13 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
             return [e.ids for e in loaded.encode_batch(texts, add_special_tokens=False)]
         out: list = [None] * len(texts)
         rest = []
+        tokenize = model.tokenize
         for k, text in enumerate(texts):
-            if _plain(text):
-                word = text[1:] if text.isascii() else "".join([letters[b] for b in text[1:].encode()])
-                out[k] = [t.id for t in model.tokenize("Ġ" + word)] if text[0] == " " else feed + [t.id for t in model.tokenize(word)]
+            word = text[1:]
+            if word.isalpha() and text[0] in " \n" and (word.isascii() or max(word) <= "\u024f"):
+                if not word.isascii():
+                    word = "".join([letters[b] for b in word.encode()])
+                out[k] = [t.id for t in tokenize("Ġ" + word)] if text[0] == " " else feed + [t.id for t in tokenize(word)]
             else:
                 rest.append(k)
         for k, e in zip(rest, loaded.encode_batch([texts[k] for k in rest], add_special_tokens=False) if rest else []):

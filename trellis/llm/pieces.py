@@ -95,9 +95,12 @@ class Pieces:
             else:
                 new[separator].add(word)
 
+        plain = new[" "]
         for p in parts:
             if p in older:
                 known[p] = older[p]
+            elif p.isalpha():
+                plain.add(p)
             elif not _clean(p):
                 known[p] = UNCLEAN
             elif "\n" in p and all(map(_clean, rows := p.split("\n"))):
