@@ -28,12 +28,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trellis.llm.files import open_folder
 from trellis.llm.library import encoder, tokenizer
 from trellis.llm.pieces import Pieces
 from trellis.llm.shipping import ship
@@ -73,15 +73,11 @@ def _compression(dictionary: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(dictionary)
 
 
-def _open(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-
-
 class FileWriter:
     """One token-id file being written."""
 
     def __init__(self, folder: str, name: str, dictionary: bytes, width: int, id_type: pa.DataType):
-        fs, base = _open(folder)
+        fs, base = open_folder(folder)
         self.name, self.id_type = name, id_type
         self.out = fs.open_output_stream(f"{base}/{name}")
         self.out.write(HEADER.pack(MAGIC, hashlib.sha256(dictionary).digest(), width))
@@ -114,7 +110,7 @@ class FileReader:
     """Random access to the documents of one token-id file."""
 
     def __init__(self, folder: str, name: str, dictionary: bytes):
-        fs, base = _open(folder)
+        fs, base = open_folder(folder)
         self.file = fs.open_input_file(f"{base}/{name}")
         magic, digest, self.width = HEADER.unpack(self.file.read_at(HEADER.size, 0))
         size = self.file.size()
@@ -162,7 +158,7 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int | None = 0, tex
     spark = docs.sparkSession
     ship(spark)
     folder = folder or f"{staging_root(spark)}/token-files-{uuid.uuid4().hex}"
-    fs, base = _open(folder)
+    fs, base = open_folder(folder)
     fs.create_dir(base, recursive=True)
     width = id_width(path)
     serialize = _serializer(path, width)

@@ -27,6 +27,7 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage,
 )
 
+from trellis.llm.files import open_folder
 from trellis.llm.shipping import ship
 from trellis.session import stage, staging_root
 
@@ -176,10 +177,6 @@ class Archive:
 
 # ---- data source ------------------------------------------------------------------------------
 
-def _open(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
-
-
 @dataclass
 class FilePartition(InputPartition):
     file: str
@@ -207,7 +204,7 @@ class WarcReader(DataSourceReader):
                 self.equal[name] = {None}
 
     def partitions(self) -> list[InputPartition]:
-        fs, base = _open(self.folder)
+        fs, base = open_folder(self.folder)
         if fs.get_file_info(f"{base}/{MANIFEST}").type != pyarrow.fs.FileType.NotFound:
             with fs.open_input_file(f"{base}/{MANIFEST}") as f:
                 names = json.loads(f.read())
@@ -219,7 +216,7 @@ class WarcReader(DataSourceReader):
         if partition is None:  # an archive without files
             return
         tests = [(name, values) for name, values in self.equal.items() if values]
-        fs, base = _open(self.folder)
+        fs, base = open_folder(self.folder)
         rows, size = [], 0
         with fs.open_input_file(f"{base}/{partition.file}") as file:
             for row in Archive(file).records(lambda r: all(r[name] in values and r[name] is not None for name, values in tests), self.blocks):
@@ -242,7 +239,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.folder, self.date = options["path"], options.get("date", "2024-01-01T00:00:00Z")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        fs, base = _open(self.folder)
+        fs, base = open_folder(self.folder)
         fs.create_dir(base, recursive=True)
         files, out, size = [], None, 0
         for batch in iterator:
@@ -262,13 +259,13 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages: list) -> None:
-        fs, base = _open(self.folder)
+        fs, base = open_folder(self.folder)
         fs.create_dir(base, recursive=True)
         with fs.open_output_stream(f"{base}/{MANIFEST}") as out:
             out.write(json.dumps(sorted(name for m in messages if m for name in m.files)).encode())
 
     def abort(self, messages: list) -> None:
-        fs, base = _open(self.folder)
+        fs, base = open_folder(self.folder)
         for name in (name for m in messages if m for name in m.files):
             fs.delete_file(f"{base}/{name}")
 
