@@ -166,7 +166,7 @@ def _verify(docs: DataFrame, members: DataFrame, threshold: tuple[int, int], blo
         lambda y: F.struct(F.col("component").alias("c"), F.least("block", y).alias("i"), F.greatest("block", y).alias("j")),
     )
     dealt = dealt.select("node", "id", "digest", "component", "block", F.when(F.col("blocks") == 1, one).otherwise(many).alias("tasks"))
-    texts = docs.join(dealt, "id")
+    texts = docs.join(dealt.hint("merge"), "id")  # the members grow with the corpus: texts are shuffled at any size
     names = ["node", "component", "block", "tasks"]
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
