@@ -305,7 +305,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", do
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("toxic"))
     counted = known.where(~_for_calibration("_id"))
     own = docs.where(~held_out(doc_id) & ~_for_calibration(doc_id)).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-    model = train(own.join(counted, "_id").select("text", "toxic"))
+    model = train(own.join(counted.hint("merge"), "_id").select("text", "toxic"))  # labels grow with the corpus: no broadcast
     scored = stage(features(docs, model, text, [doc_id, *keep]))
     fitted = scored.select(F.col(doc_id).alias("_id"), "_expression", "_document").join(known.where(_for_calibration("_id")), "_id")
     rows = fitted.select("_expression", "_document", "toxic").orderBy(F.xxhash64("_id")).limit(CALIBRATION_ROWS).toArrow()
