@@ -41,7 +41,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the document of the smallest id."""
     others = near_duplicates(docs).where("class_id <> doc_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*(docs[f"`{c}`"] for c in docs.columns))
+    return docs.join(others.hint("merge"), "doc_id", "left_anti").select(*(docs[f"`{c}`"] for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
