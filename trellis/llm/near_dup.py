@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm.decontamination import word_chunks
+from trellis.llm.memory import held
 from trellis.llm.shipping import ship
 from trellis.operators.levels import connected_components
 from trellis.session import stage
@@ -37,7 +38,7 @@ THRESHOLD = (4, 5)
 TREES, DEPTH, RECALL = 32, 8, 0.999
 #: Shingles of the sets that one block of a verification task holds.
 BLOCK_SHINGLES = 250_000
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 300_000
 
 
 def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -55,13 +56,13 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
 _TREE_MIX = np.random.default_rng(20240501).integers(1, 2**63, (2, TREES * DEPTH), dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct shingle hashes; fewer words than ``width`` are one shingle, no words are none."""
-    words = [np.fromiter(map(_HASHES.__getitem__, chunk), np.uint64, len(chunk)) for chunk in word_chunks(text)]
+    hashes = held(("word hashes",), _WordHashes)
+    words = [np.fromiter(map(hashes.__getitem__, chunk), np.uint64, len(chunk)) for chunk in word_chunks(text)]
     w = np.concatenate(words)
     width = min(width, len(w))
     if not width:

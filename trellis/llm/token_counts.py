@@ -8,13 +8,13 @@ narrow projection: no shuffle, no driver state, and a lost task is simply run ag
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from trellis.llm.library import encoder
+from trellis.llm.memory import held
 from trellis.llm.pieces import WINDOW, Pieces, windows
 from trellis.llm.schema import extended
 from trellis.llm.shipping import ship
@@ -31,9 +31,8 @@ def batch_counter(path: str) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(i) for i in ids(texts)]
 
 
-@functools.lru_cache(maxsize=2)
 def _counter(path: str) -> Callable[[str], int]:
-    """Counts one text; kept for the life of a worker process.
+    """Counts one text.
 
     Pieces between spaces are safe for the .json vocabularies.  A .model vocabulary may join pieces
     across spaces, so its texts are encoded whole.
@@ -53,7 +52,7 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text", limit: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(path)
+        count = held(("token counts", path), lambda: _counter(path))
         for batch in batches:
             texts = batch.column(len(keep))
             sizes, tokens = [], []

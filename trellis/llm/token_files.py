@@ -18,7 +18,6 @@ follows from the manifest alone.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import struct
 import uuid
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 
 from trellis.llm.files import open_folder
 from trellis.llm.library import encoder, tokenizer
+from trellis.llm.memory import held
 from trellis.llm.pieces import Pieces
 from trellis.llm.shipping import ship
 from trellis.session import stage, staging_root
@@ -53,7 +53,6 @@ def id_width(path: str) -> int:
     return 2 if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
-@functools.lru_cache(maxsize=2)
 def _serializer(path: str, width: int) -> Callable[[str], bytes]:
     ids, code = encoder(path), {2: "H", 4: "I"}[width]
     pieces = Pieces(lambda texts: [array(code, i).tobytes() for i in ids(texts)])
@@ -168,7 +167,7 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int | None = 0, tex
     end = b"" if end_id is None else end_id.to_bytes(width, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_bytes, part, seq, open_file, done = _serializer(path, width), TaskContext.get().partitionId(), 0, None, []
+        to_bytes, part, seq, open_file, done = held(("token files", path, width), lambda: _serializer(path, width)), TaskContext.get().partitionId(), 0, None, []
         for batch in batches:
             for key, value in zip(batch.column(0), batch.column(1)):
                 if open_file is None:

@@ -19,6 +19,7 @@ Only if there are more are the rarest dropped, as a count cutoff for n-grams.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from trellis.llm.decontamination import word_chunks
 from trellis.llm.schema import extended
+from trellis.llm.memory import held
 from trellis.llm.shipping import ship
 from trellis.session import stage
 
@@ -41,7 +43,7 @@ CALIBRATION_ROWS = 50_000
 PRIOR, STRENGTH = np.array([4.0, 0.0, -5.0]), 0.05
 THRESHOLD = 0.3
 START, END = b"^", b"$"  # no word has these bytes
-COUNTED_WORDS, REMEMBERED_WORDS = 300_000, 500_000
+COUNTED_WORDS, REMEMBERED_WORDS = 200_000, 300_000
 
 
 def fold(doc_id: str) -> Column:
@@ -63,6 +65,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     """(word, ordinary, toxic): occurrences in texts of either label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("word counts",), dict)  # other operators' memories go; the counts below are the task's own
         found = (Counter(), Counter())
 
         def flush() -> pa.RecordBatch:
@@ -171,12 +174,12 @@ def _bounded(rows: DataFrame, weight: Column, bound: int) -> DataFrame:
 class Model:
     """Log-likelihood differences by n-gram, and by context for n-grams that neither class has."""
 
-    def __init__(self, grams: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, grams: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray], name: str | None = None):
         self.grams, self.contexts = grams, contexts
-        self.known: dict[bytes, tuple[float, float]] = {}
+        self.name = name or uuid.uuid4().hex  # what workers remember of its words is held under it
 
     def __getstate__(self):
-        return self.grams, self.contexts
+        return self.grams, self.contexts, self.name
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -208,17 +211,16 @@ class Model:
 
     def features(self, text: str) -> tuple[float, float]:
         """Largest expression and whole document, both per byte; zeros without words."""
-        most, total, length = 0.0, 0.0, 0
+        most, total, length, known = 0.0, 0.0, 0, held(("toxicity", self.name), dict)
         for words in word_chunks(text):
             if not words:
                 continue
-            if len(self.known) > REMEMBERED_WORDS:
-                self.known.clear()
-            own = set(words)
-            new = [w for w in own if w not in self.known]
+            if len(known) > REMEMBERED_WORDS:
+                known.clear()
+            new = [w for w in set(words) if w not in known]
             if new:
-                self.known.update(zip(new, zip(*(a.tolist() for a in self.differences(new)))))
-            values = list(map(self.known.__getitem__, words))
+                known.update(zip(new, zip(*(a.tolist() for a in self.differences(new)))))
+            values = list(map(known.__getitem__, words))
             most = max(most, max(values)[0])
             total += sum(v[1] for v in values)
             length += sum(map(len, words)) + len(words)

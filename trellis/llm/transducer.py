@@ -15,7 +15,6 @@ state.  A vocabulary without a decoder gives its tokens' spellings joined by spa
 from __future__ import annotations
 
 import codecs
-import functools
 import json
 import os
 import re
@@ -28,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from trellis.llm.memory import held
 from trellis.llm.pieces import Pieces
 from trellis.llm.schema import extended
 from trellis.llm.shipping import ship
@@ -35,7 +35,7 @@ from trellis.llm.shipping import ship
 #: Symbols of a word that are merged at once, besides the lookahead.
 BLOCK = 512
 #: Pieces that a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 #: A space and letters that every normaliser leaves alone or lower-cases.
 PLAIN = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Ids of a row that are decoded at once.
@@ -230,10 +230,9 @@ class Vocabulary:
         yield self.decoder.finish()
 
 
-@functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    """The vocabulary at ``path``, with the pieces it remembers, for the life of a worker process."""
-    return Vocabulary(path)
+    """The vocabulary at ``path``, with the pieces it remembers."""
+    return held(("transducer", path), lambda: Vocabulary(path))
 
 
 def _mapped(rows: DataFrame, column: str, kind: str, run) -> DataFrame:
