@@ -103,6 +103,17 @@ def test_bounded_keeps_the_heaviest(spark):
     assert len(kept) <= 30 and kept[-1] == 100 and kept == list(range(kept[0], 101))
 
 
+def test_scores_do_not_depend_on_the_size_of_the_model(spark, monkeypatch):
+    _, _, frame, table = labelled_tables(spark)
+    rows = frame.unionByName(frame.limit(5)).unionByName(spark.createDataFrame([(None, "zonko " * 3 + "y" * 70, 0.5, 3)], frame.schema))
+    small = sorted((r.doc_id or -1, r.score, r.predicted) for r in toxicity.score_toxicity(rows, table).collect())
+    monkeypatch.setattr(toxicity, "MODEL_GRAMS", 40)
+    large = sorted((r.doc_id or -1, r.score, r.predicted) for r in toxicity.score_toxicity(rows, table).collect())
+    assert [r[0] for r in large] == [r[0] for r in small] and [r[2] for r in large] == [r[2] for r in small]
+    assert [r[1] for r in large] == pytest.approx([r[1] for r in small], abs=1e-5)
+    assert toxicity.score_toxicity(rows.limit(0), table).collect() == []
+
+
 # ---- private data ---------------------------------------------------------------------------------
 
 TEXT = (

@@ -12,13 +12,15 @@ log-likelihoods divided by its length; a document has the largest of them and it
 A logistic curve over these two, fitted on labelled rows that were not counted, gives the score.
 
 Scale.  Labelled texts are counted where the join leaves them, and word counts combine before they are shuffled; all
-model steps are joins and groupings of n-grams.  An n-gram of at most six bytes is packed in a number, so the
+model steps are joins and groupings of n-grams.  An n-gram of at most six bytes is packed in a number, so a
 model that scoring broadcasts is two sorted arrays: at most ``MODEL_GRAMS`` n-grams of 12 bytes and as many contexts.
-Only if there are more are the rarest dropped, as a count cutoff for n-grams.
+A larger model stays a table, whole: the corpus's distinct words are scored by joins of their n-grams with it, and
+texts meet the values of their words by a join.  Scores are the same either way, but for rounding.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +37,7 @@ from trellis.llm.shipping import ship
 from trellis.session import stage
 
 ORDER, DISCOUNT, PIECE = 6, 0.75, 32
-#: Bound of the broadcast model, in n-grams and in contexts.
+#: Largest model that is broadcast, in n-grams and in contexts; a larger one is joined.
 MODEL_GRAMS = 8_000_000
 #: Labelled rows that the logistic curve is fitted on at most.
 CALIBRATION_ROWS = 50_000
@@ -44,6 +46,8 @@ PRIOR, STRENGTH = np.array([4.0, 0.0, -5.0]), 0.05
 THRESHOLD = 0.3
 START, END = b"^", b"$"  # no word has these bytes
 COUNTED_WORDS, REMEMBERED_WORDS = 200_000, 300_000
+#: Bytes of words whose n-grams a task lists at once.
+LISTED_BYTES = 1 << 18
 
 
 def fold(doc_id: str) -> Column:
@@ -159,7 +163,7 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
 
 
 def _bounded(rows: DataFrame, weight: Column, bound: int) -> DataFrame:
-    """All rows, or the heaviest if there are more than ``bound``."""
+    """All rows, or the heaviest if there are more than ``bound``.  Scoring does not use it: a model is never cut."""
     if rows.count() <= bound:
         return rows
     steps = rows.groupBy(F.floor(F.log2(weight) * 8).alias("step")).count().orderBy(F.desc("step")).collect()
@@ -227,8 +231,8 @@ class Model:
         return most, total / length if length else 0.0
 
 
-def train(labelled: DataFrame) -> Model:
-    """Model of labelled rows (text, toxic 0 or 1)."""
+def model_tables(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The model of labelled rows (text, toxic 0 or 1): (key, value) of every n-gram and of every context."""
     words = stage(word_counts(labelled))
     grams = stage(gram_counts(words))
     per_context = grams.groupBy(_context(F.col("key")).alias("context")).agg(
@@ -249,19 +253,25 @@ def train(labelled: DataFrame) -> Model:
         suffix = F.when(size == n, _suffix(key, n)).otherwise(suffix)
     joined = grams.select("*", _context(key).alias("context"), suffix.alias("suffix")).join(per_context, "context")
     joined = joined.join(shared_backoff(grams).withColumnRenamed("key", "suffix"), "suffix")
-    valued = stage(joined.select("key", (F.col("ordinary") + F.col("toxic")).alias("n"), F.log(probability("toxic") / probability("ordinary")).cast("float").alias("value")))
-    spares = per_context.select(
-        F.col("context").alias("key"), (F.col("ordinary_total") + F.col("toxic_total")).alias("n"), F.log(spare("toxic") / spare("ordinary")).cast("float").alias("value")
-    )
+    valued = stage(joined.select("key", F.log(probability("toxic") / probability("ordinary")).cast("float").alias("value")))
+    return valued, per_context.select(F.col("context").alias("key"), F.log(spare("toxic") / spare("ordinary")).cast("float").alias("value"))
+
+
+def collected(valued: DataFrame, spares: DataFrame) -> Model:
     tables = []
     for rows in (valued, spares):
-        table = _bounded(rows, F.col("n"), MODEL_GRAMS).select("key", "value").toArrow()
+        table = rows.toArrow()
         keys, values = table["key"].to_numpy(), table["value"].to_numpy()
         order = np.argsort(keys)
         tables.append((keys[order], values[order]))
     return Model(*tables)
 
 
+def train(labelled: DataFrame) -> Model:
+    """Model of labelled rows (text, toxic 0 or 1), all of it in memory."""
+    return collected(*model_tables(labelled))
+
+
 # ---- scoring ------------------------------------------------------------------------------------
 
 def features(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
@@ -277,6 +287,89 @@ def features(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataF
     return picked.mapInArrow(run, extended(picked.schema.fields[: len(keep)], "_expression double, _document double"))
 
 
+def _digest(word: bytes) -> bytes:
+    return hashlib.blake2b(word, digest_size=16).digest()
+
+
+def _distinct_words(texts: DataFrame) -> DataFrame:
+    """(word): the distinct words of a column of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("distinct words",), dict)
+        found: set[bytes] = set()
+        for batch in batches:
+            for value in batch.column(0):
+                for words in word_chunks(value.as_py() or ""):
+                    found.update(words)
+                if len(found) > COUNTED_WORDS:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["word"])
+                    found.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["word"])
+
+    return texts.mapInArrow(run, "word binary").distinct()
+
+
+def _word_values(words: DataFrame, valued: DataFrame, spares: DataFrame) -> DataFrame:
+    """(word, most, whole) by digest of the word: what ``Model.differences`` gives, by joins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def listed(own: list[bytes]) -> pa.RecordBatch:
+            keys, word, place = packed(own)
+            digests = pa.array(map(_digest, own), pa.binary()).take(pa.array(word))
+            return pa.RecordBatch.from_arrays([digests, pa.array((place - 1) // PIECE), pa.array(keys)], names=["word", "piece", "key"])
+
+        for batch in batches:
+            own, size = [], 0
+            for value in batch.column(0):
+                own.append(value.as_py())
+                size += len(own[-1])
+                if size > LISTED_BYTES:
+                    yield listed(own)
+                    own, size = [], 0
+            if own:
+                yield listed(own)
+
+    marks = words.mapInArrow(run, "word binary, piece long, key long")
+    keys = marks.select("key").distinct().join(valued, "key", "left").withColumn("context", _context(F.col("key")))
+    keys = keys.join(spares.select(F.col("key").alias("context"), F.col("value").alias("spare")), "context", "left")
+    keys = keys.select("key", F.coalesce("value", "spare", F.lit(0.0)).cast("double").alias("value"))
+    pieces = marks.join(keys, "key").groupBy("word", "piece").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    return pieces.groupBy("word").agg(F.max(F.col("value") / F.col("n")).alias("most"), F.sum("value").alias("whole"))
+
+
+def joined_features(docs: DataFrame, valued: DataFrame, spares: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """What ``features`` gives, by a model of any size that stays a table.  Copies of a text are scored once."""
+    picked = docs.select(*keep, F.col(text).alias("_text")).withColumn("_digest", F.sha2(F.coalesce("_text", F.lit("")), 256))
+    values = _word_values(stage(_distinct_words(picked.select("_text"))), valued, spares)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_digest", "word", "n", "bytes"]
+        made: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = zip(*made) if made else ((), (), (), ())
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64(), pa.int64()))]
+            made.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        for batch in batches:
+            for digest, value in zip(batch.column(0), batch.column(1)):
+                counts: Counter = Counter()
+                for words in word_chunks(value.as_py() or ""):
+                    counts.update(words)
+                made += [(digest.as_py(), _digest(w), n, n * (len(w) + 1)) for w, n in counts.items()]
+                if len(made) > COUNTED_WORDS:
+                    yield flush()
+        yield flush()
+
+    mentions = picked.select("_digest", "_text").mapInArrow(run, "_digest string, word binary, n long, bytes long")
+    mentions = mentions.groupBy("_digest", "word").agg(F.any_value("n").alias("n"), F.any_value("bytes").alias("bytes"))
+    texts = mentions.join(values, "word").groupBy("_digest").agg(
+        F.greatest(F.max("most"), F.lit(0.0)).alias("_expression"), (F.sum(F.col("n") * F.col("whole")) / F.sum("bytes")).alias("_document")
+    )
+    return picked.join(texts, "_digest", "left").select(*keep, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("_expression", "_document")))
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic weights near ``PRIOR`` by Newton's method; rows of ``x`` are (expression, document)."""
     design = np.column_stack([x, np.ones(len(x))]) if len(x) else np.zeros((0, 3))
@@ -307,8 +400,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", do
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("toxic"))
     counted = known.where(~_for_calibration("_id"))
     own = docs.where(~held_out(doc_id) & ~_for_calibration(doc_id)).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-    model = train(own.join(counted.hint("merge"), "_id").select("text", "toxic"))  # labels grow with the corpus: no broadcast
-    scored = stage(features(docs, model, text, [doc_id, *keep]))
+    valued, spares = model_tables(own.join(counted.hint("merge"), "_id").select("text", "toxic"))  # labels grow with the corpus: no broadcast
+    if max(valued.count(), spares.count()) <= MODEL_GRAMS:
+        scored = stage(features(docs, collected(valued, spares), text, [doc_id, *keep]))
+    else:
+        scored = stage(joined_features(docs, valued, spares, text, [doc_id, *keep]))
     fitted = scored.select(F.col(doc_id).alias("_id"), "_expression", "_document").join(known.where(_for_calibration("_id")), "_id")
     rows = fitted.select("_expression", "_document", "toxic").orderBy(F.xxhash64("_id")).limit(CALIBRATION_ROWS).toArrow()
     x, y = np.column_stack([rows[c].to_numpy() for c in ("_expression", "_document")]), rows["toxic"].to_numpy()
