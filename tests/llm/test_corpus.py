@@ -38,6 +38,22 @@ def test_contamination(spark, block_bytes):
     assert rows == plain_contamination(docs, items)
 
 
+def test_copies_of_a_text_meet_once_per_block(spark, monkeypatch):
+    docs, items, frame, benchmark = contaminated_tables(spark)
+    copies = [(100 + k, f"{items[1][1]} {items[2][1]}", 1, "x") for k in range(60)]
+    met, plain = [], decontamination._of_texts
+
+    def seen(parts):
+        met.append((len(parts), plain(parts).groupBy("_row").count().agg(F.max("count")).first()[0]))
+        return plain(parts)
+
+    monkeypatch.setattr(decontamination, "_of_texts", seen)
+    found = decontamination.contamination(frame.unionByName(spark.createDataFrame(copies, frame.schema)), benchmark, block_bytes=4000)
+    rows = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found.collect()), key=repr)
+    assert rows == plain_contamination(docs + [c[:2] for c in copies], items)
+    assert len(met) == 1 and 1 < met[0][1] <= met[0][0]
+
+
 def test_contamination_of_and_by_nothing(spark):
     _, _, frame, benchmark = contaminated_tables(spark)
     assert decontamination.contamination(frame.limit(0), benchmark).collect() == []

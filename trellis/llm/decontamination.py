@@ -10,7 +10,7 @@ begin before the text or end after it, and otherwise compared word by word.
 Scale.  Documents are scanned where they lie: no document word is shuffled, and a passage that a third of all
 documents share costs each of them one comparison.  Windows are dealt into blocks of about ``BLOCK_BYTES``,
 however large the benchmark is; one block at a time is broadcast, counted and matched, and the blocks' results
-are put together per document.
+are put together per text, of whose copies each block gives one row only.
 """
 
 from __future__ import annotations
@@ -176,6 +176,15 @@ def _scan(docs: DataFrame, names: list[str], block, everything: bool) -> DataFra
     return docs.mapInArrow(run, extended(docs.schema.fields[: len(names)], "n_words long, spans array<struct<start: long, end: long>>, items array<string>"))
 
 
+def _of_texts(parts: list[DataFrame]) -> DataFrame:
+    """(_row, spans, items): the hits of every text in each block, once for all copies of the text."""
+    found = None
+    for k, part in enumerate(parts):
+        hits = part.where(F.size("spans") > 0).select("_row", F.lit(k).alias("_block"), "spans", "items")
+        found = hits if found is None else found.unionByName(hits)
+    return found.dropDuplicates(["_row", "_block"]).drop("_block")
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_text: str = "text", item_id: str = "item_id",
     window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
@@ -208,9 +217,7 @@ def contamination(
     found = parts[0]
     if blocks > 1:
         every = found.select(*key, "n_words")
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        found = found.where(F.size("spans") > 0).groupBy("_row").agg(
+        found = _of_texts(parts).groupBy("_row").agg(
             F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
         )
         found = every.join(found, "_row", "left").select(*keep, "n_words", _merged("spans").alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
