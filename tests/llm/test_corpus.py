@@ -169,6 +169,26 @@ def test_surrogates_are_distinct(spark, most):
     assert pii.surrogates(docs.limit(0), b"key").collect() == []
 
 
+def test_full_formats_are_assigned_and_widened(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{c}@x.org" for c in letters]  # as many as one-letter surrogates
+    armenian = [chr(k) for k in range(0x561, 0x587)]
+    names = [(x + y).title() for x in armenian for y in armenian]  # more than half of the two-letter surrogates
+    docs = spark.createDataFrame([(0, " , ".join(mails)), (1, " , ".join(f"Mr. {n}" for n in names))], "doc_id long, text string")
+    out = {r.doc_id: r.text.split(" , ") for r in pii.surrogates(docs, b"key").collect()}
+    assert sorted(m.partition("@")[0] for m in out[0]) == list(letters) and len({m.partition("@")[2] for m in out[0]}) == 1
+    assert len(set(out[1])) == len(names) and not set(out[1]) & {f"Mr. {n}" for n in names}
+
+
+def test_formats_have_distinct_values():
+    for kind, form in (("email", "a.b1@x.org"), ("ip", "192.168.3.4"), ("card", "4785380592391138"), ("iban", "DE89370400440532013000"), ("surname", "smith"), ("secret", "5197f4")):
+        for wider in (0, 1):
+            new = list(pii.values_at(b"key", kind, pii.slots(b"key", kind, form, wider), 0, 200))
+            assert len(set(new)) >= (200 if kind != "surname" else 190), kind
+            assert kind != "card" or all(map(pii.luhn, new))
+            assert kind != "iban" or all(map(pii.iban_valid, new))
+
+
 # ---- archives -------------------------------------------------------------------------------------
 
 def test_archives(spark):

@@ -7,8 +7,9 @@ entity and written in each mention's own format: separators, lengths, letter cas
 numbers stay valid if they were; given names keep the gender.
 
 Collisions.  The corpus's distinct entities combine before they are shuffled.  A surrogate that two entities of a
-kind drew, or that is itself an entity of the corpus, is drawn again with the next attempt number until all are
-distinct.  First draws need no table: a task computes them where the text lies.  Only the entities that needed
+kind drew, or that is itself an entity of the corpus, is drawn again with the next attempt number.  What is left after
+``RANDOM_ROUNDS`` gets free values of its format one to one, and of a wider format (one more character, another
+range of addresses) once its own has none left.  First draws need no table: a task computes them where the text lies.  Only the entities that needed
 another draw are looked up, from a broadcast up to ``MAX_REDRAWN`` of them and by a join per document beyond.
 """
 
@@ -17,18 +18,22 @@ from __future__ import annotations
 import functools
 import hashlib
 import hmac
+import json
+import math
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.llm.schema import extended
 from trellis.llm.shipping import ship
 from trellis.session import Staged, stage
 
-MAX_REDRAWN, MAX_ROUNDS = 200_000, 64
+MAX_REDRAWN, RANDOM_ROUNDS = 200_000, 8
+#: Values of a format that are tried at first, and that a task lists at once.
+TRIED, LISTED = 1024, 4096
 
 # ---- fixed values: titles and the syllables that names are made of ---------------------------------
 TITLES = {
@@ -213,14 +218,80 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
     return draw.like(form) if kind == "secret" else _name(draw, kind, form)
 
 
+def slots(key: bytes, kind: str, form: str, wider: int = 0) -> list:
+    """The choices whose combinations are all surrogates of an entity's format; ``wider`` steps beyond it."""
+    digits, lower, base32 = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+    def one(c: str) -> str:
+        if c.isdecimal():
+            return digits if c.isascii() else "".join(chr(ord(c) - int(c) + k) for k in range(10))
+        if not c.isalpha():
+            return c
+        return (lower if c.islower() else lower.upper()) if c.isascii() else "".join(_same_sort(ord(c) >> 8, c.islower(), c.isupper()))
+
+    def like(text: str) -> list:
+        if re.fullmatch(r"[0-9a-f]+", text) and not text.isdecimal() and not text.isalpha():
+            return ["0123456789abcdef"] * len(text)
+        return [one(c) for c in text]
+
+    if kind == "email":
+        return [*like(form.partition("@")[0]), *[lower] * wider, ["@" + surrogate(key, kind, form).partition("@")[2]]]
+    if kind == "ip":
+        first, second = form.split(".")[:2]
+        kept = form.split(".")[: {"10": 1, "192": 2 * (second == "168"), "127": 1}.get(first, 0)]
+        public = [str(n) for n in range(11, 224) if n not in (127, 172, 192)]
+        heads = [[[p] for p in kept] or [public], [["10"]], [public]]
+        if wider >= len(heads):
+            raise RuntimeError("no free address is left")
+        parts = [*heads[wider], *[[str(n) for n in range(1, 255)]] * (4 - len(heads[wider]))]
+        return [x for p in parts for x in (["."], p)][1:]
+    if kind == "card":
+        return [form[0], *[digits] * (len(form) - 2 + wider)]
+    if kind == "phone":
+        own = ["23456789", *[digits] * 9] if len(form) == 10 else [*form[: max(0, len(form) - 8)], *[digits] * min(8, len(form))]
+        return own + [digits] * wider
+    if kind == "ssn":
+        return ["12345678", *[digits] * (8 + wider)]
+    if kind == "iban":
+        return [[form[:2]], *like(form[4:]), *[digits] * wider]
+    if kind == "key":
+        return [[form[:4]], *[base32] * (len(form) - 4 + wider)]
+    script = None if kind == "secret" else _script(form)
+    if script is None:
+        return like(form) + [one(form[-1]) if form[-1].isalpha() else lower] * wider
+    onsets, vowels, endings = SYLLABLES[script]
+    return [*[onsets, vowels] * (2 + (kind == "surname") + wider), onsets, endings[kind[-1] if kind.startswith("given") else "n"]]
+
+
+def values_at(key: bytes, kind: str, choices: list, begin: int, end: int) -> Iterator[str]:
+    """Combinations of ``slots`` in a keyed order; each comes once."""
+    total = math.prod(map(len, choices))
+    draw = Draw(key, "format", kind, json.dumps(choices))
+    step, shift = (sum(draw.below(1 << 32) << 32 * k for k in range(total.bit_length() // 32 + 1)) for _ in range(2))
+    while math.gcd(step, total) != 1:
+        step += 1
+    for place in range(begin, end):
+        at, parts = (step * place + shift) % total, []
+        for options in reversed(choices):
+            at, k = divmod(at, len(options))
+            parts.append(options[k])
+        text = "".join(reversed(parts))
+        if kind == "card":
+            text = next(text + c for c in "0123456789" if luhn(text + c))
+        if kind == "iban":
+            rest = int("".join(str(int(c, 36)) for c in text[2:] + text[:2] + "00")) % 97
+            text = f"{text[:2]}{98 - rest:02d}{text[2:]}"
+        yield text
+
+
 def render(kind: str, mention: str, form: str) -> str:
     """A surrogate in the format of a mention."""
     if kind in ("card", "phone", "ssn"):
         fresh, skip = iter(form), len(_digits(mention)) - len(form)  # a country code that is not part of the form stays
-        return "".join(c if not c.isdecimal() or (skip := skip - 1) >= 0 else next(fresh) for c in mention)
+        return "".join(c if not c.isdecimal() or (skip := skip - 1) >= 0 else next(fresh) for c in mention) + "".join(fresh)
     if kind == "iban":
         fresh = iter(form)
-        return "".join(c if c == " " else next(fresh) for c in mention)
+        return "".join(c if c == " " else next(fresh) for c in mention) + "".join(fresh)
     if kind == "email" or kind.startswith(("given", "surname")):
         return form.upper() if mention.isupper() and len(mention) > 1 else form[0].upper() + form[1:] if mention[0].isupper() else form
     return form
@@ -264,7 +335,7 @@ def distinct_surrogates(found: DataFrame, key: bytes) -> list[DataFrame]:
     taken = found.select("kind", F.col("form").alias("surrogate"))
     rounds: list[DataFrame] = []
     left = found
-    for attempt in range(MAX_ROUNDS):
+    for attempt in range(RANDOM_ROUNDS):
         drawn = stage(_drawn(left, key, attempt))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("form").alias("form"))  # of several, the smallest keeps it
         for other in (taken, *(r.select("kind", "surrogate") for r in rounds)):
@@ -277,7 +348,54 @@ def distinct_surrogates(found: DataFrame, key: bytes) -> list[DataFrame]:
         if not n:
             return rounds
         left = store.last()
-    raise RuntimeError(f"{n} entities found no free surrogate")
+    return [*rounds, *_assigned(left, [taken, *(r.select("kind", "surrogate") for r in rounds)], key)]
+
+
+def _assigned(left: DataFrame, taken: list[DataFrame], key: bytes) -> list[DataFrame]:
+    """(kind, form, surrogate) by round: free values of each entity's format, rank to rank by keyed hashes.
+
+    A round tries the next values of a format, at least twice as many as it has entities and twice as many as the round
+    before; a format without further values becomes wider.
+    """
+
+    def formats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [slots(key, r["kind"], r["form"], r["wider"]) for r in batch.to_pylist()]
+            totals = [min(math.prod(map(len, x)), 1 << 62) for x in every]
+            marks = [hmac.new(key, "\x1f".join(("rank", r["kind"], r["form"])).encode(), hashlib.sha256).digest() for r in batch.to_pylist()]
+            made = [pa.array([hashlib.sha256(json.dumps(x).encode()).hexdigest() for x in every], pa.string()), pa.array(totals, pa.int64()), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=["kind", "form", "wider", "begin", "format", "total", "mark"])
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                choices = slots(key, r["kind"], r["like"]["form"], r["like"]["wider"])
+                new = list(values_at(key, r["kind"], choices, r["at"], min(r["at"] + LISTED, r["end"])))
+                marks = [hmac.new(key, f"free\x1f{x}".encode(), hashlib.sha256).digest() for x in new]
+                same = [pa.array([r[c]] * len(new), t) for c, t in (("kind", pa.string()), ("format", pa.string()), ("begin", pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(new, pa.string()), pa.array(marks, pa.binary())], names=["kind", "format", "begin", "surrogate", "mark"])
+
+    group, rounds = ["kind", "format", "begin"], []
+    left = left.select("kind", "form", F.lit(0).cast("long").alias("wider"), F.lit(0).cast("long").alias("begin"))
+    ranked = F.row_number().over(Window.partitionBy(*group).orderBy("mark"))
+    while True:
+        rows = stage(left.mapInArrow(formats, "kind string, form string, wider long, begin long, format string, total long, mark binary"))
+        tried = F.col("begin") + F.greatest(F.lit(TRIED), 2 * F.col("n")) * (1 << min(len(rounds), 40))
+        groups = stage(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("total"), F.min(F.struct("form", "wider")).alias("like")).select(*group, "total", "like", F.least("total", tried).alias("end")))
+        parts = groups.select(*group, "like", "end", F.explode(F.sequence("begin", F.col("end") - 1, F.lit(LISTED).cast("long"))).alias("at"))
+        free = parts.repartition("kind", "format", "at").mapInArrow(values, "kind string, format string, begin long, surrogate string, mark binary")
+        free = free.groupBy("kind", "surrogate").agg(F.min(F.struct("format", "begin", "mark")).alias("_of")).select("kind", "surrogate", "_of.*")
+        for other in (*taken, *(r.select("kind", "surrogate") for r in rounds)):
+            free = free.join(other, ["kind", "surrogate"], "left_anti")
+        free = free.withColumn("rank", ranked).select(*group, "rank", "surrogate")
+        rounds.append(stage(rows.withColumn("rank", ranked).join(free, [*group, "rank"]).select("kind", "form", "surrogate")))
+        rest = rows.drop("total").join(rounds[-1].select("kind", "form"), ["kind", "form"], "left_anti").join(groups.drop("like"), group)
+        done = F.col("end") >= F.col("total")
+        store = Staged(rows.sparkSession)
+        rest = rest.select("kind", "form", F.when(done, F.col("wider") + 1).otherwise(F.col("wider")).alias("wider"), F.when(done, 0).otherwise(F.col("end")).cast("long").alias("begin"))
+        if not store.append(rest)["rows"]:
+            return rounds
+        left = store.last()
 
 
 def surrogates(docs: DataFrame, key: bytes, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), max_redrawn: int = MAX_REDRAWN) -> DataFrame:
