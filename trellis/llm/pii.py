@@ -60,7 +60,8 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w))"
     rf"|(?<!\w)(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[  ](?P<name>{_CAP}[^\W\d_]+(?:[ -]{_CAP}[^\W\d_]+){{0,2}})"
 )
-_HINT = re.compile(r"[0-9@]")
+#: Whatever PATTERN finds has one of these, a title or a secret's name.
+_HINT = re.compile(r"[\d@]|AKIA|ASIA")
 _SECRET_HINT = re.compile(r"(?i)password|passwd|pwd|token|secret|api[_-]?key")
 
 
