@@ -76,17 +76,15 @@ SELECT e.user_id AS student, c.code AS code, e.event_type = 'purchase' AS done,
 FROM events e JOIN fx_courses c ON c.k = e.event_id % 50
 WHERE e.event_type IN ('purchase', 'error')""",
     "fx_program_lines": """
-SELECT g AS program, 100 + rn AS line_no,
+SELECT CAST(floor(k / 12.0) AS INT) AS program, CAST(101 + k % 12 AS INT) AS line_no,
        ' ' || subject || '          ' || number || '            ' || title || '      ' || CAST(3 + k % 2 AS STRING) AS line
-FROM (SELECT CAST(k % 25 AS INT) AS g, k, subject, number, title,
-             row_number() OVER (PARTITION BY k % 25 ORDER BY k) AS rn FROM fx_courses) t
-WHERE rn <= 12
+FROM fx_courses
 UNION ALL
-SELECT DISTINCT CAST(k % 25 AS INT), 1, ' Major Requirements' FROM fx_courses
+SELECT DISTINCT CAST(floor(k / 12.0) AS INT), 1, ' Major Requirements' FROM fx_courses
 UNION ALL
-SELECT DISTINCT CAST(k % 25 AS INT), 2, ' Required Course(s)' FROM fx_courses
+SELECT DISTINCT CAST(floor(k / 12.0) AS INT), 2, ' Required Course(s)' FROM fx_courses
 UNION ALL
-SELECT DISTINCT CAST(k % 25 AS INT), 900, ' Remarks on course(s)' FROM fx_courses""",
+SELECT DISTINCT CAST(floor(k / 12.0) AS INT), 900, ' Remarks on course(s)' FROM fx_courses""",
 }
 
 

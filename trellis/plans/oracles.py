@@ -102,7 +102,7 @@ SELECT student, code, CASE
   WHEN CASE shape WHEN 1 THEN has_a WHEN 2 THEN has_a OR has_b WHEN 3 THEN has_a AND has_b WHEN 4 THEN has_a AND (has_b OR has_c)
        WHEN 5 THEN has_a OR has_b WHEN 6 THEN has_p ELSE has_a END THEN 'met' ELSE 'unmet' END AS status
 FROM ox_has""",
-    "ox_program": "SELECT p.*, CAST(3 + k % 2 AS STRING) AS credits FROM fx_owned p WHERE rn <= 12",
+    "ox_program": "SELECT p.*, CAST(3 + k % 2 AS STRING) AS credits FROM fx_owned p",
     "ox_rel": """
 SELECT p.program AS program, n.code AS source, n.owner AS target, n.relation AS relation, r.raw AS raw, n.path AS path,
        CASE WHEN s.shape IN (3, 7) AND n.relation = 'prerequisite' THEN 1 + CAST(substr(n.path, 3, 1) AS BIGINT)
@@ -403,11 +403,11 @@ _add("g_context_changes", f"SELECT program, 'context course ' || code || ' added
 _TOTAL = "CAST(low AS STRING) || '-' || CAST(high AS STRING)"
 _add("g_totals", f"SELECT program, {_TOTAL} AS total_credits, 'total credits 40 -> ' || {_TOTAL} AS change FROM ox_totals")
 _add("g_headers", f"""
-SELECT program, CASE WHEN program % 3 = 0 THEN 'Q' || lpad(CAST(program AS STRING), 2, '0') || '-2024-25' ELSE 'P' || lpad(CAST(program AS STRING), 2, '0') || '-2025-26' END AS id,
-       CASE WHEN program % 3 = 0 THEN 'Q' ELSE 'P' END || lpad(CAST(program AS STRING), 2, '0') AS program_code, 'Program ' || CAST(program AS STRING) AS title,
+SELECT program, CASE WHEN program % 3 = 0 THEN 'Q' || lpad(CAST(program AS STRING), 8, '0') || '-2024-25' ELSE 'P' || lpad(CAST(program AS STRING), 8, '0') || '-2025-26' END AS id,
+       CASE WHEN program % 3 = 0 THEN 'Q' ELSE 'P' END || lpad(CAST(program AS STRING), 8, '0') AS program_code, 'Program ' || CAST(program AS STRING) AS title,
        CASE WHEN program % 3 = 0 THEN '2024-25' ELSE '2025-26' END AS intake, '{YEAR}' AS catalog_year, {_TOTAL} AS total_credits, '/doc' AS source_url, 'h' AS source_hash FROM ox_totals""")
 _add("g_summary", """
-SELECT t.program AS program, CASE WHEN t.program % 3 = 0 THEN 'Q' || lpad(CAST(t.program AS STRING), 2, '0') || '-2024-25' ELSE 'P' || lpad(CAST(t.program AS STRING), 2, '0') || '-2025-26' END AS id,
+SELECT t.program AS program, CASE WHEN t.program % 3 = 0 THEN 'Q' || lpad(CAST(t.program AS STRING), 8, '0') || '-2024-25' ELSE 'P' || lpad(CAST(t.program AS STRING), 8, '0') || '-2025-26' END AS id,
        CAST(1 AS BIGINT) AS sections, CAST(3 AS BIGINT) AS branches, c.n AS courses, coalesce(r.n, 0) AS relations
 FROM ox_totals t JOIN (SELECT program, count(*) AS n FROM ox_program GROUP BY program) c ON c.program = t.program LEFT JOIN (SELECT program, count(*) AS n FROM ox_rel GROUP BY program) r ON r.program = t.program""")
 _add("g_filter", f"""
@@ -436,7 +436,7 @@ _add("g_relation_diff", """
 SELECT DISTINCT program, target, relation, relation = 'exclusion' AS undeclared FROM ox_rel
 WHERE (relation = 'exclusion' AND target LIKE '%3') OR raw LIKE '% AND %'""")
 _add("g_progress", """
-WITH s AS (SELECT c_custkey AS student, c_custkey % 25 AS program FROM customer),
+WITH s AS (SELECT c_custkey AS student, c_custkey % n AS program FROM customer, (SELECT count(DISTINCT program) AS n FROM ox_program) x),
 held AS (SELECT s.student AS student, s.program AS program, CASE WHEN p.rn <= 2 THEN 0 ELSE p.rn - 2 END AS item, bool_or(d.code IS NOT NULL) AS ok
   FROM s JOIN ox_program p ON p.program = s.program LEFT JOIN fx_completed d ON d.student = s.student AND d.code = p.code GROUP BY 1, 2, 3)
 SELECT student, CAST(program AS INT) AS program, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS met, count(*) AS items, CASE WHEN bool_and(ok) THEN 'met' ELSE 'unmet' END AS status FROM held GROUP BY student, program""")

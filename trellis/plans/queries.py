@@ -687,8 +687,8 @@ def g_totals(w: Workspace) -> DataFrame:
 
 def _headers(w: Workspace) -> DataFrame:
     totals, _ = program_sync.total_credits(_synced(w)[0])
-    meta = totals.select("program", F.format_string("P%02d", "program").alias("program_code"), F.lit("2025-26").alias("intake"), F.format_string("Program %d", "program").alias("title"), F.lit("/doc").alias("source_url"), F.lit("h").alias("source_hash"))
-    old = totals.where(F.col("program") % 3 == 0).select("program", F.format_string("Q%02d-2024-25", "program").alias("id"), F.format_string("Q%02d", "program").alias("program_code"), F.lit("2024-25").alias("intake"), F.lit("Old").alias("title"), F.lit("/old").alias("source_url"), F.lit("o").alias("source_hash"))
+    meta = totals.select("program", F.format_string("P%08d", "program").alias("program_code"), F.lit("2025-26").alias("intake"), F.format_string("Program %d", "program").alias("title"), F.lit("/doc").alias("source_url"), F.lit("h").alias("source_hash"))
+    old = totals.where(F.col("program") % 3 == 0).select("program", F.format_string("Q%08d-2024-25", "program").alias("id"), F.format_string("Q%08d", "program").alias("program_code"), F.lit("2024-25").alias("intake"), F.lit("Old").alias("title"), F.lit("/old").alias("source_url"), F.lit("o").alias("source_hash"))
     return program_sync.program_headers(old, meta, totals, YEAR)
 
 
@@ -766,7 +766,7 @@ def g_relation_diff(w: Workspace) -> DataFrame:
 
 @query
 def g_progress(w: Workspace) -> DataFrame:
-    students = w.table("customer").select(F.col("c_custkey").alias("student"), (F.col("c_custkey") % 25).cast("int").alias("program"))
+    students = w.sql("SELECT c_custkey AS student, CAST(c_custkey % (SELECT count(DISTINCT program) FROM fx_owned) AS INT) AS program FROM customer")
     tree = w.programs.tree
     found = program_sync.section_progress(students, tree, w.completed, tree_depth(tree.withColumn("depth", F.size("kinds"))))
     return found.select("student", "program", "met", "items", "status")

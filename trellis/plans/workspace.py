@@ -18,8 +18,7 @@ COURSES = f"""SELECT k, '{YEAR}' AS year, code, subject, number, title, CAST(3 +
 # Program text: the plain rows plus a choice with child rows, an elective block and branch tables.
 PROGRAM_VIEWS = {
     "fx_owned": """
-SELECT CAST(k % 25 AS INT) AS program, k, subject, number, code, title,
-       row_number() OVER (PARTITION BY k % 25 ORDER BY k) AS rn FROM fx_courses""",
+SELECT CAST(floor(k / 12.0) AS INT) AS program, k, subject, number, code, title, CAST(k % 12 + 1 AS INT) AS rn FROM fx_courses""",
     "fx_program_text": """
 SELECT program, line_no, line FROM fx_program_lines
 UNION ALL
