@@ -2,6 +2,38 @@
 
 from __future__ import annotations
 
+from trellis.llm.quality import WRITTEN_STOP_WORDS
+
+
+def _lloyd(clusters: int, rounds: int) -> str:
+    """The rounds of Lloyd's algorithm, one after the other, over (vector, dimension) rows."""
+    assign = """
+a{r} AS MATERIALIZED (
+    SELECT vec_id, cluster, distance FROM (
+        SELECT k.vec_id AS vec_id, c.cluster AS cluster, CAST(sum((k.x - c.x) * (k.x - c.x)) AS BIGINT) AS distance
+        FROM kept k JOIN c{r} c ON c.d = k.d GROUP BY k.vec_id, c.cluster) t
+    QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)"""
+    update = """
+c{n} AS MATERIALIZED (
+    SELECT c.cluster AS cluster, c.d AS d, CAST(coalesce((m.s - (m.s % m.n + m.n) % m.n) // m.n, c.x) AS BIGINT) AS x
+    FROM c{r} c LEFT JOIN (
+        SELECT a.cluster AS cluster, k.d AS d, CAST(sum(k.x) AS BIGINT) AS s, count(*) AS n FROM a{r} a JOIN kept k ON k.vec_id = a.vec_id GROUP BY a.cluster, k.d) m
+    ON m.cluster = c.cluster AND m.d = c.d)"""
+    steps = [assign.format(r=r) + "," + update.format(r=r, n=r + 1) for r in range(rounds)] + [assign.format(r=rounds)]
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, unnest(range(1, 65)) AS d, CAST(floor(1024 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+first AS (
+    SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR))) - 1 AS cluster FROM (SELECT DISTINCT vec_id FROM kept) t
+    QUALIFY cluster < {clusters}),
+c0 AS MATERIALIZED (SELECT f.cluster AS cluster, k.d AS d, k.x AS x FROM first f JOIN kept k ON k.vec_id = f.vec_id),
+{",".join(steps)}
+SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, h.h AS centroid_sha256
+FROM a{rounds} a JOIN (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS h FROM c{rounds} GROUP BY cluster) h ON h.cluster = a.cluster"""
+
+
 ORACLES: dict[str, str] = {
     "op4_line_dedup": r"""
 WITH split AS (
@@ -83,4 +115,41 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN owner = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN owner <> page_id THEN owner END AS refers_to
 FROM o""",
+    "op11_hard_negatives": r"""
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id AS anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) <= 3""",
+    "op12_centroid_clusters": _lloyd(8, 10),
+    "op13_quality_rules": r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS rows
+    FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d),
+twins AS (SELECT doc_id, i FROM places QUALIFY count(*) OVER (PARTITION BY doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twins) x GROUP BY doc_id),
+m AS (
+    SELECT d.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+           CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(rows) - len(list_distinct(rows)) AS BIGINT) AS n_dup_lines,
+           coalesce(r.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: x IN STOPS)) AS n_stop, len(rows) AS n_lines,
+           len(list_filter(rows, lambda x: left(ltrim(x), 1) IN ('-', '*', '•'))) AS n_bullets,
+           len(list_filter(rows, lambda x: rtrim(x) LIKE '%...' OR rtrim(x) LIKE '%…')) AS n_cut
+    FROM d LEFT JOIN repeats r ON r.doc_id = d.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * word_chars BETWEEN 300 * n_words AND 1000 * n_words AND 100 * n_symbols <= 10 * n_words AND 100 * n_stop >= 2 * n_words
+       AND 100 * n_dup_lines <= 50 * n_lines AND 100 * n_bullets <= 90 * n_lines AND 100 * n_cut <= 30 * n_lines AS kept
+FROM b""".replace("STOPS", str(tuple(WRITTEN_STOP_WORDS))),
 }

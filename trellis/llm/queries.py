@@ -93,6 +93,30 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pages(spark, folder)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm.negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm.clustering import cluster_vectors, digest
+
+    rows, centroids = cluster_vectors(table(spark, sf_dir, "embeddings"))
+    per_cluster = centroids.select("cluster", F.col("inertia").alias("cluster_inertia"), digest("centroid").alias("centroid_sha256"))
+    total = centroids.agg(F.sum("inertia")).first()[0]  # of one row a centroid
+    return rows.join(F.broadcast(per_cluster), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", F.lit(total).cast("long").alias("inertia"), "centroid_sha256"
+    )
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trellis.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_toxicity": op2_toxicity,
@@ -104,4 +128,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_token_counts": op9_token_counts,
     "op10_warc": op10_warc,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_quality_rules": op13_quality_rules,
 }
