@@ -72,21 +72,161 @@ def stage(df: DataFrame) -> DataFrame:
     return store.last()
 
 
+class Bucketed:
+    """An append-only table of rounds that stays dealt out by ``keys``.
+
+    Every round is written as one file per bucket below a folder of its own.  Joins and groupings on ``keys`` read
+    all rounds bucket by bucket, without shuffling them; a round can also be read by itself.  The files of a bucket
+    are put together again after ``FILES`` rounds, or earlier while they are so small (``SMALL_ROWS`` in all) that
+    opening them takes longer.
+    """
+
+    FILES, FEW_FILES, SMALL_ROWS = 64, 6, 1_000_000
+
+    def __init__(self, spark: SparkSession, keys: list[str]):
+        self.spark, self.keys, self.schema, self.rounds, self.rows = spark, keys, None, 0, 0
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._new_table()
+
+    def _new_table(self) -> None:
+        self.name = f"trellis_{uuid.uuid4().hex}"
+        self.base = f"{staging_root(self.spark)}/{self.name}"
+        self.files = 0
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        """``df`` dealt out the same way."""
+        return df.repartition(self.buckets, *self.keys)
+
+    def _write(self, df: DataFrame) -> None:
+        writer = df.write.mode("append").partitionBy("_round").bucketBy(self.buckets, *self.keys)
+        writer.option("path", self.base).saveAsTable(self.name)
+        self.files += 1
+
+    def append(self, df: DataFrame, *metrics) -> dict:
+        """Write one round of rows that are dealt out already; returns its row count and further observed metrics."""
+        self.schema = self.schema or df.schema
+        seen = Observation()
+        observed = df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics)
+        self._write(observed.select(*(F.col(f"`{f.name}`") for f in self.schema), F.lit(self.rounds).alias("_round")))
+        self.rounds += 1
+        self.rows += seen.get["rows"]
+        if self.files >= (self.FEW_FILES if self.rows < self.SMALL_ROWS else self.FILES):
+            self._compact()
+        return seen.get
+
+    def _compact(self) -> None:
+        """The last round stays by itself."""
+        older = F.when(F.col("_round") < self.rounds - 1, 0).otherwise(F.col("_round"))
+        old, name = self._read().withColumn("_round", older), self.name
+        self._new_table()
+        self._write(self.dealt(old))
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def _read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def last(self) -> DataFrame:
+        return self._read().where(F.col("_round") == self.rounds - 1).drop("_round")
+
+    def all(self) -> DataFrame:
+        return self._read().drop("_round")
+
+    def rounded(self) -> DataFrame:
+        """All rows with the number of their round."""
+        return self._read()
+
+    def close(self) -> DataFrame:
+        """All rows as plain files, of any number of tasks; the table's name leaves the catalog."""
+        plain = self.spark.read.schema(self._read().schema).parquet(self.base).drop("_round")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        return plain
+
+
 def grow(seed: DataFrame, keys: list[str], step, max_rounds: int | None = None) -> DataFrame:
     """Semi-naive fixpoint.
 
     ``step(frontier, round)`` derives candidate rows from the rows found in the round before; rows
     whose ``keys`` are already known are dropped, and the loop ends when a round finds nothing new.
-    Each round reads only the last round's rows plus the keys of the known ones, and writes only
-    the new ones.
+    The known rows stay in buckets of their keys: a round shuffles its candidates once, one row per
+    key, and meets the known ones where they lie.
     """
-    store = Staged(seed.sparkSession)
-    found = store.append(seed)["rows"]
+    store = Bucketed(seed.sparkSession, keys)
+    found = store.append(store.dealt(seed))["rows"]
     rounds = 0
     while found and (max_rounds is None or rounds < max_rounds):
         rounds += 1
-        candidates = step(store.last(), rounds)
-        known = store.all().select(*keys)
-        fresh = candidates.join(known, keys, "left_anti").select(*[f.name for f in store.schema])
-        found = store.append(fresh)["rows"]
-    return store.all()
+        found = store.append(fresh_rows(store, step(store.last(), rounds)))["rows"]
+    return store.close()
+
+
+def fresh_rows(store: Bucketed, candidates: DataFrame) -> DataFrame:
+    """One candidate row for each key that ``store`` does not have yet."""
+    picked = candidates.select(*(F.col(f.name) for f in store.schema))
+    rest = [c for c in picked.columns if c not in store.keys]
+    distinct = store.dealt(picked).groupBy(*store.keys).agg(*(F.first(c).alias(c) for c in rest)) if rest else store.dealt(picked.distinct()).distinct()
+    return distinct.join(store.all().select(*store.keys).hint("merge"), store.keys, "left_anti")
+
+
+def countdown(links: DataFrame, node: list[str], arrived: DataFrame | None, settled: DataFrame, settle, unblock=None) -> DataFrame:
+    """Settle nodes once everything that they wait for is settled (Kahn's method), and return ``(node..., values...)``.
+
+    ``links(f_<node>..., t_<node>..., of, payload...)`` says that the node f is one of the ``of`` things that the node
+    t waits for.  ``settled`` are the nodes known from the start with their values; ``arrived(t_<node>..., of,
+    payload..., values...)`` are things that count as settled without being nodes.  ``settle(rows)`` gives
+    ``(node..., values...)`` of nodes from all their rows, which then have the payload and the values of what they
+    waited for; it must not need another shuffle than by t.
+
+    What has arrived at a node stays in the buckets of the node.  A round sends the values of the nodes settled last
+    along their links (stored by f), which is its only shuffle, and settles the nodes whose last open link that was.
+    ``unblock(waiting)`` is asked when nothing moves: it gets the links whose both ends are open and may return nodes
+    to be settled with their values, or None; links between two of them are never sent.
+    """
+    spark = links.sparkSession
+    source, target = [f"f_{c}" for c in node], [f"t_{c}" for c in node]
+    values = [c for c in settled.columns if c not in node]
+    payload = [c for c in links.columns if c not in (*source, *target, "of")]
+    roads = Bucketed(spark, source)
+    roads.append(roads.dealt(links))
+    stock = Bucketed(spark, target)
+    columns = [*source, *target, "of", "linked", *payload, *values]
+
+    def send(nodes: DataFrame, roads: DataFrame) -> DataFrame:
+        """Every node with its values, once per link, or once without any."""
+        marked = roads.withColumn("linked", F.lit(True))
+        named = nodes.select(*(F.col(c).alias(f) for c, f in zip(node, source)), *values)
+        met = named.hint("shuffle_hash").join(marked, source, "left")
+        own = {t: F.coalesce(t, f) for f, t in zip(source, target)}
+        return met.withColumns(own | {"linked": F.coalesce("linked", F.lit(False))}).select(*columns)
+
+    first = send(settled, roads.all())
+    if arrived is not None:
+        first = first.unionByName(arrived.withColumn("linked", F.lit(True)), allowMissingColumns=True).select(*columns)
+    moved = stock.append(stock.dealt(first))["rows"]
+    blocked = True
+    while moved or blocked:
+        if not moved:
+            blocked = False
+            done = stock.all().where(F.col(source[0]).isNotNull()).select(*source).distinct()
+            nodes = unblock(_between(roads.all(), done, source, target)) if unblock else None
+            if nodes is None:
+                break
+            both = nodes.select(*(F.col(c).alias(t) for c, t in zip(node, target))).withColumn("_too", F.lit(True))
+            tied = roads.all().join(nodes.select(*(F.col(c).alias(f) for c, f in zip(node, source))), source, "left_semi")
+            outward = tied.join(both, target, "left_anti").select(*links.columns)
+            moved = stock.append(stock.dealt(send(nodes, outward)))["rows"]
+            continue
+        here = stock.rounded().where("linked")
+        counts = here.groupBy(*target, "of").agg(F.count(F.lit(1)).alias("n"), F.max("_round").alias("_round"))
+        ready = counts.where((F.col("n") == F.col("of")) & (F.col("_round") == stock.rounds - 1)).select(*target)
+        near = here.join(ready.hint("shuffle_hash"), target, "left_semi")
+        fresh = settle(near.select(*(F.col(t).alias(c) for c, t in zip(node, target)), *payload, *values))
+        moved = stock.append(stock.dealt(send(fresh.select(*node, *values), roads.all())))["rows"]
+    roads.close()
+    known = stock.close().where(F.col(source[0]).isNotNull())
+    return known.select(*(F.col(f).alias(c) for c, f in zip(node, source)), *values).distinct()
+
+
+def _between(links: DataFrame, done: DataFrame, source: list[str], target: list[str]) -> DataFrame:
+    """Links whose both ends are not done."""
+    left = links.join(done, source, "left_anti")
+    return left.join(done.select(*(F.col(f).alias(t) for f, t in zip(source, target))), target, "left_anti")
