@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.operators.requirements import mandatory_references
 from trellis.operators.trees import fold, leaf_rows, tree_depth
-from trellis.session import Staged, grow, stage
+from trellis.session import Bucketed, Staged, countdown, grow, stage
 
 # ---- fixed values ---------------------------------------------------------------------------
-OPEN = 1 << 30
 CYCLE_MESSAGE = "Prerequisite cycle prevents authoritative level calculation"
 # ---------------------------------------------------------------------------------------------
 
@@ -51,69 +52,110 @@ def corequisite_components(courses: DataFrame, req_nodes: DataFrame) -> DataFram
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """``(vertex, scc)`` for the vertices on some cycle of ``edges(src, dst)``.
+    """``(vertex, scc)`` for the vertices on some cycle of ``edges(src, dst)``; ``scc`` names the component.
 
-    Colouring: the largest vertex name that reaches a vertex is its colour; the vertices of one
-    colour that reach the colour's own vertex form a strongly connected component.  Peel and
-    repeat.  Every round moves one label per vertex; no pair of vertices is ever enumerated.
+    Rake and compress first: vertices that nothing enters or leaves go, and vertices with one edge in and one out are
+    taken out of their chains, many at a time, so trees and chains of any length end in a logarithmic number of
+    rounds.  What is left is coloured: the largest vertex name that reaches a vertex is its colour; the vertices of
+    one colour that reach the colour's own vertex form a component.  Peel and repeat.  A vertex that was taken out of
+    a chain lies on a cycle exactly if both its neighbours of that time lie in one component.
     """
     spark = edges.sparkSession
-    found = Staged(spark)
-    left = stage(edges.distinct())
-    found.append(left.where(F.col("src") == F.col("dst")).select(F.col("src").alias("vertex"), F.col("src").alias("scc")).distinct())
-    left = stage(left.where(F.col("src") != F.col("dst")))
+    found, chains = Staged(spark), []
+    named = lambda rows: rows.select(F.col("src").alias("vertex"), F.col("src").alias("scc")).distinct()
+    left = stage(edges.select("src", "dst").distinct())
     while True:
-        left = _trim(left)
+        left, loops, taken = _kernel(left)
+        chains += taken
+        found.append(named(loops))
         if left.isEmpty():
             break
-        colour = _colour(left)
-        inside = left.join(colour.select(F.col("vertex").alias("src"), F.col("colour").alias("c")), "src").join(
-            colour.select(F.col("vertex").alias("dst"), F.col("colour").alias("d")), "dst"
-        ).where(F.col("c") == F.col("d")).select("src", "dst", F.col("c").alias("scc"))
-        inside = stage(inside)
-        heads = inside.where(F.col("scc") == F.col("dst")).select(F.col("dst").alias("vertex"), "scc").distinct()
-        members = grow(
-            heads, ["vertex", "scc"],
-            lambda front, _: front.select(F.col("vertex").alias("dst"), "scc").join(inside, ["dst", "scc"]).select(F.col("src").alias("vertex"), "scc").distinct(),
-        )
-        found.append(members.select("vertex", "scc"))
-        gone = members.select("vertex").unionByName(colour.where(F.col("vertex") == F.col("colour")).select("vertex")).distinct()
-        rest = left.join(gone.select(F.col("vertex").alias("src")), "src", "left_anti")
-        left = stage(rest.join(gone.select(F.col("vertex").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    # A self-loop inside a larger component keeps the larger one.
+        members, left = _peel(left)
+        found.append(members)
+    named = _one_name(found.all())
+    while chains:  # back into the chains, until no end that has a name has a neighbour without
+        ends = {e: named.select(F.col("vertex").alias(e), F.col("scc").alias(f"of_{e}")) for e in ("before", "after")}
+        inside = functools.reduce(DataFrame.unionByName, chains).join(named.select("vertex"), "vertex", "left_anti")
+        inside = inside.join(ends["before"], "before").join(ends["after"], "after").where(F.col("of_before") == F.col("of_after"))
+        if not found.append(inside.select("vertex", F.col("of_before").alias("scc")))["rows"]:
+            break
+        named = _one_name(found.all())
+    return named
+
+
+def _one_name(found: DataFrame) -> DataFrame:
+    """A vertex with a loop inside a larger component keeps the larger one."""
     proper = F.max(F.when(F.col("scc") != F.col("vertex"), F.col("scc")))
-    named = found.all().groupBy("vertex").agg(F.coalesce(proper, F.max("scc")).alias("scc"))
-    return stage(named)
+    return stage(found.groupBy("vertex").agg(F.coalesce(proper, F.max("scc")).alias("scc")))
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Drop edges whose ends cannot lie on a cycle, until none is left to drop."""
-    store = Staged(edges.sparkSession)
-    before, now = -1, store.append(edges.select("src", "dst"))["rows"]
-    while now and now != before:
-        edges = store.last()
-        entered = edges.select(F.col("dst").alias("src")).distinct()
-        left = edges.select(F.col("src").alias("dst")).distinct()
-        kept = edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi")
-        before, now = now, store.append(kept.select("src", "dst"))["rows"]
-    return store.last()
+def _kernel(edges: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """``(edges, loops, chains)``: what rake and compress leave, loops met on the way, and the vertices taken out."""
+    spark = edges.sparkSession
+    loops, chains, rounds = Staged(spark), [], 0
+    loops.append(edges.where(F.col("src") == F.col("dst")))
+    edges = stage(edges.where(F.col("src") != F.col("dst")))
+    count = edges.count()
+    while count:
+        rounds += 1
+        ends = edges.select(F.col("src").alias("vertex"), F.lit(None).cast("string").alias("i"), F.col("dst").alias("o")).unionByName(
+            edges.select(F.col("dst").alias("vertex"), F.col("src").alias("i"), F.lit(None).cast("string").alias("o"))
+        )
+        degrees = ends.groupBy("vertex").agg(F.count("i").alias("n_in"), F.count("o").alias("n_out"), F.min("i").alias("before"), F.min("o").alias("after"))
+        # Of neighbours the one with the least random number goes, so no two of them do.
+        draw = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(rounds)), F.col(c))  # noqa: E731, B023
+        lone = (F.col("n_in") == 1) & (F.col("n_out") == 1) & (draw("vertex") < draw("before")) & (draw("vertex") < draw("after"))
+        degrees = degrees.withColumn("lone", lone)
+        at_src = degrees.select(F.col("vertex").alias("src"), (F.col("n_in") > 0).alias("entered"), F.col("lone").alias("src_lone"))
+        at_dst = degrees.select(F.col("vertex").alias("dst"), (F.col("n_out") > 0).alias("left"), F.col("lone").alias("dst_lone"))
+        kept = edges.join(at_src, "src").join(at_dst, "dst").where("entered AND left AND NOT src_lone AND NOT dst_lone")
+        taken = degrees.where("lone").select(F.col("before").alias("src"), F.col("after").alias("dst"), F.col("vertex").alias("via"))
+        store = Staged(spark)
+        was, found = count, store.append(
+            kept.select("src", "dst", F.lit(None).cast("string").alias("via")).unionByName(taken),
+            F.count_if(F.col("src") == F.col("dst")).alias("loops"), F.count("via").alias("taken"),
+        )
+        if found["taken"]:
+            chains.append(store.last().where("via IS NOT NULL").select(F.col("via").alias("vertex"), F.col("src").alias("before"), F.col("dst").alias("after")))
+        if found["loops"]:
+            loops.append(store.last().where(F.col("src") == F.col("dst")).select("src", "dst"))
+        edges = store.last().where(F.col("src") != F.col("dst")).select("src", "dst")
+        if found["taken"]:  # an edge that takes a chain's place may be there already
+            edges = edges.distinct()
+        count = found["rows"] - found["loops"]
+        if count == was and not found["taken"]:
+            break
+    return stage(edges), loops.all(), chains
+
+
+def _peel(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(members(vertex, scc), rest)``: the components of the vertices that are the largest to reach themselves."""
+    colour = _colour(left)
+    inside = left.join(colour.select(F.col("vertex").alias("src"), F.col("colour").alias("c")), "src").join(
+        colour.select(F.col("vertex").alias("dst"), F.col("colour").alias("d")), "dst"
+    ).where(F.col("c") == F.col("d")).select("src", "dst", F.col("c").alias("scc"))
+    inside = stage(inside)
+    heads = inside.where(F.col("scc") == F.col("dst")).select(F.col("dst").alias("vertex"), "scc").distinct()
+    members = grow(
+        heads, ["vertex", "scc"],
+        lambda front, _: front.select(F.col("vertex").alias("dst"), "scc").join(inside, ["dst", "scc"]).select(F.col("src").alias("vertex"), "scc"),
+    )
+    gone = members.select("vertex").unionByName(colour.where(F.col("vertex") == F.col("colour")).select("vertex")).distinct()
+    rest = left.join(gone.select(F.col("vertex").alias("src")), "src", "left_anti")
+    return members, stage(rest.join(gone.select(F.col("vertex").alias("dst")), "dst", "left_anti").select("src", "dst"))
 
 
 def _colour(edges: DataFrame) -> DataFrame:
+    """``(vertex, colour)``.  A round offers the colours that rose in the round before, and writes those that rise."""
     names = edges.select(F.col("src").alias("vertex")).union(edges.select("dst")).distinct()
-    store = Staged(edges.sparkSession)
-    store.append(names.select("vertex", F.col("vertex").alias("colour"), F.lit(False).alias("rose")))
-    changed = 1
-    while changed:
-        colour = store.last().select("vertex", "colour")
-        offered = edges.join(colour.withColumnRenamed("vertex", "src"), "src").groupBy(F.col("dst").alias("vertex")).agg(F.max("colour").alias("offer"))
-        raised = colour.join(offered, "vertex", "left").select(
-            "vertex",
-            F.greatest("colour", "offer").alias("colour"),
-            F.coalesce(F.col("offer") > F.col("colour"), F.lit(False)).alias("rose"),
-        )
-        changed = store.append(raised, F.count_if("rose").alias("rose"))["rose"]
-    return store.last().select("vertex", "colour")
+    store = Bucketed(edges.sparkSession, ["vertex"])
+    risen = store.append(store.dealt(names.select("vertex", F.col("vertex").alias("colour"))))["rows"]
+    top = lambda rows: rows.groupBy("vertex").agg(F.max("colour").alias("colour"))
+    while risen:
+        offered = store.last().withColumnRenamed("vertex", "src").join(edges, "src").groupBy(F.col("dst").alias("vertex")).agg(F.max("colour").alias("offer"))
+        now = top(store.all().join(store.dealt(offered).select("vertex").hint("merge"), "vertex", "left_semi"))
+        risen = store.append(store.dealt(offered).join(now.hint("merge"), "vertex").where(F.col("offer") > F.col("colour")).select("vertex", F.col("offer").alias("colour")))["rows"]
+    return stage(top(store.close()))
 
 
 def dependency_levels(courses: DataFrame, req_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,8 +163,8 @@ def dependency_levels(courses: DataFrame, req_nodes: DataFrame) -> tuple[DataFra
 
     A component's level is 1 without prerequisites, else the highest of its members' (1 + level of
     the prerequisite tree).  In a tree: an absent course is NULL; ALL is NULL if any arm is; ANY is
-    the highest known arm; prose and patterns are 0.  Components on a cycle have no level.  Rounds
-    release the components whose every reference is settled, so each tree is evaluated once.
+    the highest known arm; prose and patterns are 0.  Components on a cycle have no level.  A
+    component counts down its open references and is evaluated once, when none is left.
     """
     spark = courses.sparkSession
     components = stage(corequisite_components(courses, req_nodes))
@@ -139,52 +181,31 @@ def dependency_levels(courses: DataFrame, req_nodes: DataFrame) -> tuple[DataFra
         F.lit("0").alias("path"), F.lit("").alias("above"), none.alias("needs"),
     )
     leaves = stage(leaves.unionByName(bare))
-    waits = stage(leaves.where(F.col("needs").isNotNull()).select(F.col("component").alias("src"), F.col("needs").alias("dst")).distinct())
-
-    done = Staged(spark)
-    first = components.select("component").distinct().join(waits.select(F.col("src").alias("component")), "component", "left_anti")
-    nothing = first.limit(0).withColumn("level", F.lit(None).cast("int"))
-    done.append(_settle(first, leaves, nothing, depth))
-
-    def release() -> None:
-        """Settle the components whose last open reference was settled in the round before."""
-        found = 1
-        while found:
-            settled = done.all()
-            fresh = done.last().select(F.col("component").alias("dst"))
-            touched = waits.join(fresh, "dst", "left_semi").select(F.col("src").alias("component")).distinct()
-            touched = touched.join(settled.select("component"), "component", "left_anti")
-            found = done.append(_settle(touched, leaves, settled, depth))["rows"]
-
-    release()
-    # What is left lies on cycles or behind them.
-    stalled = waits.join(done.all().select(F.col("component").alias("src")), "src", "left_anti")
-    stalled = stalled.join(done.all().select(F.col("component").alias("dst")), "dst", "left_anti")
-    cyclic = strong_components(stalled)
-    unknown = cyclic.select(F.col("vertex").alias("component"), F.lit(None).cast("int").alias("level"))
-    if done.append(unknown)["rows"]:
-        release()
-    levels = components.join(done.all(), "component", "left").select("code", "level")
-    return stage(levels), _cycle_rows(cyclic, leaves)
-
-
-def _settle(touched: DataFrame, leaves: DataFrame, done: DataFrame, depth: int) -> DataFrame:
-    """Levels of those touched components that no open reference can change any more.
-
-    A reference that is not settled yet ranks as OPEN, above every level, and so wins every maximum;
-    where an unknown arm already makes the result NULL, it does so whatever the open ones will be.
-    """
-    mine = leaves.join(touched, "component", "left_semi").join(
-        done.select(F.col("component").alias("needs"), "level", F.lit(True).alias("known")), "needs", "left"
-    )
-    course = F.when(F.col("needs").isNull(), F.lit(None)).when(F.col("known").isNull(), OPEN).otherwise(F.col("level"))
-    rank = F.when(F.col("kind") == "course", course).otherwise(0)
-    ranked = mine.select("component", "owner", "path", "above", rank.alias("rank"))
-    every = F.when(F.count("rank") == F.count(F.lit(1)), F.max("rank"))
-    trees = fold(ranked, ["component", "owner"], "rank", F.max("rank"), every, depth, ["component"])
-    level = F.when(F.count("rank") == F.count(F.lit(1)), 1 + F.max("rank"))
-    found = trees.groupBy("component").agg(level.cast("int").alias("level"))
-    return found.where(F.col("level").isNull() | (F.col("level") < OPEN))
+    total = leaves.groupBy("component").agg(F.count(F.lit(1)).alias("of"))
+    counted = leaves.join(total, "component").withColumnRenamed("component", "t_component")
+    links = counted.where(F.col("needs").isNotNull()).select(F.col("needs").alias("f_component"), "t_component", "of", "owner", "path", "above")
+    # An absent course has no level; prose and patterns are 0.
+    fixed = F.when(F.col("kind") != "course", F.lit(0)).cast("int")
+    arrived = counted.where(F.col("needs").isNull()).select("t_component", "of", "owner", "path", "above", fixed.alias("level"))
+    found = {}
+
+    def settle(rows: DataFrame) -> DataFrame:
+        every = F.when(F.count("level") == F.count(F.lit(1)), F.max("level"))
+        trees = fold(rows, ["component", "owner"], "level", F.max("level"), every, depth, [])
+        level = F.when(F.count("level") == F.count(F.lit(1)), 1 + F.max("level"))
+        return trees.groupBy("component").agg(level.cast("int").alias("level"))
+
+    def unblock(waiting: DataFrame) -> DataFrame | None:
+        """What waits for itself has no level."""
+        if found:
+            return None
+        found["cyclic"] = strong_components(waiting.select(F.col("t_component").alias("src"), F.col("f_component").alias("dst")))
+        return found["cyclic"].select(F.col("vertex").alias("component"), F.lit(None).cast("int").alias("level"))
+
+    nothing = spark.createDataFrame([], "component string, level int")
+    settled = countdown(links, ["component"], arrived, nothing, settle, unblock)
+    levels = components.join(settled, "component", "left").select("code", "level")
+    return stage(levels), _cycle_rows(found["cyclic"], leaves)
 
 
 def _cycle_rows(cyclic: DataFrame, leaves: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions import text as T
 from trellis.operators.verdicts import all_verdict, any_verdict, facts
-from trellis.session import Staged, grow, stage
+from trellis.session import countdown, grow, stage
 
 REQUIRES = ["prerequisite", "corequisite"]
 
@@ -22,7 +22,7 @@ REQUIRES = ["prerequisite", "corequisite"]
 def judge_nodes(nodes: DataFrame, edges: DataFrame, credited: DataFrame, key: str) -> DataFrame:
     """``(key, id, type, met, done)``: verdict of each branch, and whether it holds a finished course.
 
-    Courses are leaves here.  Junctions are judged in rounds, children first.
+    Courses are leaves here.  A junction counts down its children and is judged once, when all of them are.
     """
     held = facts(credited, [key])
     sound = (F.col("type") == "coursePattern") & F.col("pat_subject").rlike("^[A-Z]{4}$") & F.col("pat_min_level").isNotNull()
@@ -33,34 +33,27 @@ def judge_nodes(nodes: DataFrame, edges: DataFrame, credited: DataFrame, key: st
         F.col("sound"), F.coalesce(F.col("top_level") >= F.col("pat_min_level"), F.lit(False))
     )
     done = (F.col("type") == "course") & F.col("top_level").isNotNull()
-    judged = Staged(nodes.sparkSession)
     junction = F.col("type").isin("all", "any")
-    judged.append(looked.where(~junction).select(key, "id", "type", met.alias("met"), done.alias("done")))
-    junctions = nodes.where(junction).select(key, F.col("id").alias("parent"), "type")
+    leaves = looked.where(~junction).select(key, "id", "type", met.alias("met"), done.alias("done"))
+    junctions = nodes.where(junction).select(key, F.col("id").alias("parent"), F.col("type").alias("kind"))
     # A child that is no node of the graph counts as unknown.
     ids = nodes.select(key, F.col("id").alias("child"), F.lit(True).alias("exists"))
-    pending = stage(
-        junctions.join(edges, [key, "parent"], "left").join(ids, [key, "child"], "left")
-        .select(key, "parent", "type", "child", F.coalesce("exists", F.lit(False)).alias("exists"))
-    )
-    found = 1
-    while found:
-        known = judged.all()
-        children = known.select(key, F.col("id").alias("child"), "met", "done", F.lit(True).alias("judged"))
-        ready = pending.join(children, [key, "child"], "left")
-        waiting = F.count_if(F.col("exists") & F.col("judged").isNull())
-        childless = F.count("child") == 0
-        verdict = F.when(childless, F.lit(None)).when(F.col("type") == "any", any_verdict("met")).otherwise(all_verdict("met"))
-        grouped = ready.groupBy(key, "parent", "type").agg(
-            waiting.alias("waiting"), verdict.alias("met"), F.coalesce(F.bool_or("done"), F.lit(False)).alias("done")
-        )
-        fresh = grouped.where(F.col("waiting") == 0).select(key, F.col("parent").alias("id"), "type", "met", "done")
-        found = judged.append(fresh)["rows"]
-        if found:
-            pending = stage(pending.join(judged.last().select(key, F.col("id").alias("parent")), [key, "parent"], "left_anti"))
+    below = junctions.join(edges.select(key, "parent", "child"), [key, "parent"]).join(ids, [key, "child"], "left")
+    below = stage(below.join(below.groupBy(key, "parent").agg(F.count(F.lit(1)).alias("of")), [key, "parent"]))
+    ends = [F.col(key).alias(f"t_{key}"), F.col("parent").alias("t_id"), "of", "kind"]
+    links = below.where("exists").select(F.col(key).alias(f"f_{key}"), F.col("child").alias("f_id"), *ends)
+    unknown = F.lit(None).cast("boolean").alias("met"), F.lit(False).alias("done")
+    arrived = below.where("exists IS NULL").select(*ends, F.lit(None).cast("string").alias("type"), *unknown)
+    childless = junctions.join(below.select(key, "parent").distinct(), [key, "parent"], "left_anti").select(key, F.col("parent").alias("id"), F.col("kind").alias("type"), *unknown)
+
+    def settle(rows: DataFrame) -> DataFrame:
+        verdict = F.when(F.first("kind") == "any", any_verdict("met")).otherwise(all_verdict("met"))
+        return rows.groupBy(key, "id").agg(F.first("kind").alias("type"), verdict.alias("met"), F.bool_or("done").alias("done"))
+
+    judged = stage(countdown(links, [key, "id"], arrived, leaves.unionByName(childless), settle))
     # Junctions that wait on each other stay unknown.
-    rest = pending.select(key, F.col("parent").alias("id"), "type").distinct()
-    return stage(judged.all().unionByName(rest.withColumn("met", F.lit(None).cast("boolean")).withColumn("done", F.lit(False))))
+    rest = junctions.select(key, F.col("parent").alias("id"), F.col("kind").alias("type")).join(judged.select(key, "id"), [key, "id"], "left_anti")
+    return stage(judged.unionByName(rest.select("*", *unknown)))
 
 
 def _enter(mark: Column, kind: Column, met: Column, done: Column) -> Column:

@@ -28,10 +28,12 @@ def fold(leaves: DataFrame, keys: list[str], value: str, any_of: Column, all_of:
 
     Level by level, leaves below a junction are grouped under the junction's path; shallower leaves
     pass through as groups of one.  All groupings refine ``keys``, so one shuffle on ``keys`` serves
-    every level (on ``placed_by``, a part of ``keys``, if the caller groups by that next).  Duplicate
-    leaf rows change nothing.
+    every level (on ``placed_by``, a part of ``keys``, if the caller groups by that next; none if that is
+    empty because the leaves are placed already).  Duplicate leaf rows change nothing.
     """
-    rows = leaves.select(*keys, "path", "above", value).repartition(*(placed_by or keys))
+    rows = leaves.select(*keys, "path", "above", value)
+    if placed_by is None or placed_by:
+        rows = rows.repartition(*(placed_by or keys))
     for level in range(depth, 0, -1):
         deep = F.length("above") >= level
         up = rows.select(
