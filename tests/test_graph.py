@@ -1,9 +1,10 @@
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
+from trellis import session
 from trellis.operators import graph, levels, requirements, verdicts
 
 REQ = [
@@ -165,3 +166,92 @@ def test_verdicts(spark):
         3: ["met", "met", "met", "unmet", "unmet"],
         4: ["met", "completed", "met", "met", "unknown"],
     }
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def test_known_rows_are_not_shuffled(spark):
+    """A round deals its candidates out once; the known rows are read bucket by bucket."""
+    store = session.Bucketed(spark, ["root", "code"])
+    hops = spark.range(400).select(F.col("id").cast("string").alias("code"), (F.col("id") + 1).cast("string").alias("to"))
+    store.append(store.dealt(spark.range(50).select(F.lit("r").alias("root"), F.col("id").cast("string").alias("code"), F.lit(0).alias("distance"))))
+    candidates = store.last().join(hops, "code").select("root", F.col("to").alias("code"), F.lit(1).alias("distance"))
+    lines = plan_of(session.fresh_rows(store, candidates)).splitlines()
+    anti = next(k for k, line in enumerate(lines) if "SortMergeJoin" in line and "LeftAnti" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    known = [k for k in range(anti + 1, len(lines)) if depth(lines[k]) == depth(lines[anti]) + 3][1]
+    below = "\n".join(lines[known:])
+    assert "Bucketed: true" in below and "Exchange" not in below, plan_of(session.fresh_rows(store, candidates))
+    assert "\n".join(lines[anti:known]).count("Exchange hashpartitioning(root") == 1
+    for n in range(20):  # many small rounds are put together; the last one stays by itself
+        store.append(store.dealt(spark.createDataFrame([("x", str(n), n)], "root string, code string, distance int")))
+        assert rows(store.last()) == [("x", str(n), n)]
+    assert store.all().count() == 70 and store.files < 20
+    assert store.close().count() == 70
+
+
+def brute_components(edges):
+    reach = {}
+    for a, b in edges:
+        reach.setdefault(a, set()).add(b)
+    changed = True
+    while changed:
+        changed = False
+        for a in reach:
+            more = set().union(*(reach.get(b, set()) for b in reach[a])) - reach[a]
+            if more:
+                reach[a] |= more
+                changed = True
+    return {frozenset(b for b in reach[a] if a in reach.get(b, set())) for a in reach if a in reach[a]}
+
+
+def components_of(spark, edges):
+    groups = {}
+    for r in levels.strong_components(spark.createDataFrame(edges, "src string, dst string")).collect():
+        groups.setdefault(r.scc, set()).add(r.vertex)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_strong_components(spark):
+    rng = random.Random(4)
+    edges = []
+    for g in range(25):  # many small random graphs next to each other, loops and repeated edges included
+        n = rng.randint(1, 7)
+        edges += [(f"g{g}v{rng.randrange(n)}", f"g{g}v{rng.randrange(n)}") for _ in range(rng.randint(1, 2 * n))]
+    assert components_of(spark, edges) == brute_components(edges)
+
+
+def test_long_chains_and_rings(spark):
+    """A chain off a cycle, a ring, and a chain that closes a cycle: far fewer rounds than vertices."""
+    ring = [(f"r{i:04d}", f"r{(i + 1) % 300:04d}") for i in range(300)]
+    chain = [(f"c{i:04d}", f"c{i + 1:04d}") for i in range(2000)] + [("c0001", "c0000")]
+    handle = [("h0000", "h0001"), ("h0001", "h0000")] + [(f"h{i:04d}", f"h{i + 1:04d}") for i in range(1, 400)] + [("h0400", "h0000")]
+    jobs = []
+    real = session.Staged.append
+    session.Staged.append = lambda self, *a: jobs.append(1) or real(self, *a)
+    try:
+        got = components_of(spark, ring + chain + handle)
+    finally:
+        session.Staged.append = real
+    assert got == {frozenset(a for a, _ in ring), frozenset(["c0000", "c0001"]), frozenset(f"h{i:04d}" for i in range(401))}
+    assert len(jobs) < 120, len(jobs)
+
+
+def test_a_vertex_counts_down_once(spark):
+    """Nodes with many links settle when the last one is in; what waits for itself is handed to ``unblock``."""
+    wide = [(f"leaf{i}", "top", 500) for i in range(499)] + [("mid", "top", 500), ("leaf1", "mid", 1), ("a", "b", 1), ("b", "a", 2), ("leaf2", "a", 2), ("b", "after", 1)]
+    links = spark.createDataFrame(wide, "f_node string, t_node string, of long")
+    settled = spark.createDataFrame([(f"leaf{i}", i) for i in range(499)] + [("lone", -1)], "node string, value int")
+    asked = []
+
+    def unblock(waiting):
+        asked.append(rows(waiting.select("f_node", "t_node")))
+        return spark.createDataFrame([("a", None), ("b", None)], "node string, value int") if len(asked) == 1 else None
+
+    got = session.countdown(links, ["node"], None, settled, lambda r: r.groupBy("node").agg(F.max("value").alias("value")), unblock)
+    found = {r.node: r.value for r in got.collect()}
+    assert (found["top"], found["mid"], found["lone"], found["a"], found["b"], found["after"]) == (498, 1, -1, None, None, None)
+    assert len(found) == got.count() == 505
+    assert asked[0] == [("a", "b"), ("b", "a"), ("b", "after")]

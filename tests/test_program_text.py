@@ -1,4 +1,4 @@
-from conftest import rows
+from helpers import rows
 
 from trellis.operators.notes import parse_notes
 from trellis.operators.program_text import parse_programs, text_lines

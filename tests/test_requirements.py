@@ -1,4 +1,4 @@
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from trellis.functions import text as T

@@ -2,7 +2,7 @@
 
 import json
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from trellis.operators import ordered, program_sync, refresh, requirements, students

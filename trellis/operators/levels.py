@@ -72,14 +72,14 @@ def strong_components(edges: DataFrame) -> DataFrame:
             break
         members, left = _peel(left)
         found.append(members)
-    named = _one_name(found.all())
-    while chains:  # back into the chains, until no end that has a name has a neighbour without
+    named, before, now = _one_name(found.all()), None, {}
+    while chains and now != before:  # back into the chains: names come from the ends' names of the round before
         ends = {e: named.select(F.col("vertex").alias(e), F.col("scc").alias(f"of_{e}")) for e in ("before", "after")}
-        inside = functools.reduce(DataFrame.unionByName, chains).join(named.select("vertex"), "vertex", "left_anti")
-        inside = inside.join(ends["before"], "before").join(ends["after"], "after").where(F.col("of_before") == F.col("of_after"))
-        if not found.append(inside.select("vertex", F.col("of_before").alias("scc")))["rows"]:
-            break
-        named = _one_name(found.all())
+        inside = functools.reduce(DataFrame.unionByName, chains).join(ends["before"], "before").join(ends["after"], "after")
+        inside = inside.where(F.col("of_before") == F.col("of_after")).select("vertex", F.col("of_before").alias("scc"))
+        store = Staged(spark)
+        before, now = now, store.append(inside, F.coalesce(F.bit_xor(F.xxhash64("vertex", "scc")), F.lit(0)).alias("print"))
+        named = _one_name(found.all().unionByName(store.last()))
     return named
 
 

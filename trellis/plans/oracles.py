@@ -353,6 +353,13 @@ hidden AS (
   HAVING bool_and(m.mark = 'drop') AND NOT bool_or(v.kind = 'course' AND v.done))
 """
 _add("f_prune", _PRUNED + "SELECT student, id FROM hidden")
+# With dependents: from every target also up through junctions and courses; each course on the way is considered.
+_CLIMBED = _PRUNED.replace("),\nmarks AS (", """
+  UNION ALL SELECT DISTINCT student, child, 'climb', parent, 'climb' FROM wide
+  UNION ALL SELECT DISTINCT student, child, 'climb', parent, 'consider' FROM wide WHERE p_kind = 'course'),
+marks AS (""").replace("'consider' AS mark FROM fx_targets", "m.mark AS mark FROM fx_targets CROSS JOIN (VALUES ('consider'), ('climb')) AS m(mark)").replace(
+    "v.id = m.id GROUP BY", "v.id = m.id WHERE m.mark <> 'climb' GROUP BY")
+_add("f_prune_dependents", _CLIMBED + "SELECT student, id FROM hidden")
 _add("f_active", _PRUNED + """, all_links AS (SELECT DISTINCT t.student AS student, e.source AS source, e.target AS target, e.relation AS relation FROM fx_targets t JOIN ox_edges e ON e.owner = t.code),
 kept AS (SELECT v.student AS student, count(*) AS nodes FROM vals v LEFT JOIN hidden h ON h.student = v.student AND h.id = v.id WHERE h.id IS NULL GROUP BY v.student),
 tied AS (SELECT l.student AS student, count(*) AS edges FROM all_links l LEFT JOIN hidden a ON a.student = l.student AND a.id = l.source LEFT JOIN hidden b ON b.student = l.student AND b.id = l.target

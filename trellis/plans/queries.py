@@ -540,6 +540,13 @@ def f_prune(w: Workspace) -> DataFrame:
     return prune.hidden_nodes(nodes, edges, credited, roots, backward_only=True).select(F.col("graph").alias("student"), "id")
 
 
+@query
+def f_prune_dependents(w: Workspace) -> DataFrame:
+    """Pruning from the targets in both directions: what depends on a target counts too."""
+    nodes, edges, credited, roots = _student_graphs(w)
+    return prune.hidden_nodes(nodes, edges, credited, roots).select(F.col("graph").alias("student"), "id")
+
+
 @query
 def f_active(w: Workspace) -> DataFrame:
     nodes, edges, credited, roots = _student_graphs(w)
