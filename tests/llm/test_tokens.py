@@ -103,7 +103,7 @@ def test_token_counts_of_a_sentencepiece_model(docs):
     assert sorted((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(some, path).collect()) == expected
 
 
-def test_token_files(docs, monkeypatch):
+def test_token_files(docs):
     want, _ = library(BYTES)
     files = token_files.write_token_files(docs, BYTES)
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
@@ -119,5 +119,30 @@ def test_token_files(docs, monkeypatch):
     with pytest.raises(ValueError, match="another dictionary"):
         token_files.FileReader(files.folder, name, b"other" * 10)
     assert token_files.read_token_files(token_files.write_token_files(docs.limit(0), BYTES)).collect() == []
-    monkeypatch.setattr(token_files, "FILE_BYTES", 1)  # a file per document where tasks run in this process's modules
-    assert token_files.read_token_files(files).agg(F.sum("n_tokens")).first()[0] == start
+    small = token_files.write_token_files(docs, BYTES, file_bytes=1)  # a file per document
+    assert small.manifest.agg(F.max("n_docs")).first()[0] == 1 and small.manifest.count() == docs.count()
+    read = token_files.read_token_files(small)
+    assert sorted(map(tuple, read.collect()), key=lambda r: r[1]) == expected
+    assert read.rdd.getNumPartitions() > 1 or docs.count() == 1
+
+
+def test_words_are_merged_like_the_library():
+    """The one-call merger stands in for the model only where every token is what its letters give."""
+    from trellis.llm.library import tokenizer, word_merger
+
+    merge, own = word_merger(BYTES), tokenizer(BYTES)
+    rng = random.Random(6)
+    for _ in range(3000):
+        word = " " + "".join(rng.choice("etaoinshrdlTHEZzq\u00e9\u00df\u0101") for _ in range(rng.choice([1, 3, 8, 30])))
+        assert merge(word.encode()) == own.encode(word, add_special_tokens=False).ids
+    assert word_merger(WORDS) is None
+
+
+def test_texts_together_and_alone(docs):
+    from trellis.llm.library import encoder
+
+    encode = encoder(BYTES)
+    texts = [r.text or "" for r in docs.collect()] * 2
+    for together, window in ((1, 5), (40, 7), (1 << 14, 1 << 18)):
+        pieces = Pieces(lambda t: [tuple(i) for i in encode(t)], 60)
+        assert [[i for v in values for i in v] for values in pieces.each(texts, together, window)] == [encode([t])[0] if t else [] for t in texts]

@@ -9,10 +9,12 @@ space, combining marks, unassigned code points), the text is not cut.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 #: Characters per window; a long text is handled window by window.
 WINDOW = 1 << 18
+#: Characters of texts whose new pieces are learned at once.
+TOGETHER = 1 << 14
 #: Remembered pieces per worker process, about 200 bytes each; those not met for the longest time are forgotten.
 REMEMBERED = 1_500_000
 #: Bytes handed to the encoder at once, at least one piece.
@@ -133,6 +135,33 @@ class Pieces:
             return self._encoded(self._joined(head, rest))
         return (self._encoded([head]) if head else []) + values
 
+    def _group(self, windows_: list[str]) -> list[list]:
+        """The values of each window; what is new in any of them is learned at once."""
+        if 2 * len(self.known) > self.remembered:
+            self.known, self.older = {}, self.known
+        known = self.known
+        heads, rests, values, gaps, new = [], [], [], [], set()
+        for window in windows_:
+            head, *rest = window.split(" ")  # only the first window of a text can have a head
+            found = list(map(known.get, rest))
+            if None in found:
+                missing = [k for k, v in enumerate(found) if v is None]
+                gaps.append((found, rest, missing))
+                new.update([rest[k] for k in missing])
+            heads.append(head)
+            rests.append(rest)
+            values.append(found)
+        if new:
+            self._learn(new)
+            for found, rest, missing in gaps:
+                for k in missing:
+                    found[k] = known[rest[k]]
+        # Heads, and windows that cannot be cut everywhere, are encoded as they are, together.
+        whole = [UNCLEAN in found or bool(head and rest) and not _visible(head[-1]) for head, rest, found in zip(heads, rests, values)]
+        uncut = [self._joined(head, rest) if w else [head] if head else [] for head, rest, w in zip(heads, rests, whole)]
+        encoded = iter(self._encoded([p for pieces in uncut for p in pieces]))
+        return [[next(encoded) for _ in pieces] + ([] if w else found) for pieces, w, found in zip(uncut, whole, values)]
+
     @staticmethod
     def _joined(head: str, rest: list[str]) -> list[str]:
         """The window cut only at its start and where both neighbours of a space are visible."""
@@ -148,3 +177,18 @@ class Pieces:
         """One list of values for each window of the text; nothing for an empty text."""
         if text:
             yield from map(self._window, windows(text, window))
+
+    def each(self, texts: Iterable[str], together: int = TOGETHER, window: int = WINDOW) -> Iterator[list]:
+        """The values of every text; short texts are taken together, up to ``together`` characters."""
+        held, size = [], 0
+        for text in texts:
+            if size + len(text) > together and held:
+                yield from self._group(held)
+                held, size = [], 0
+            if len(text) > together:
+                yield [v for part in self.values(text, window) for v in part]
+            else:
+                held.append(text)
+                size += len(text)
+        if held:
+            yield from self._group(held)

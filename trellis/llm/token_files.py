@@ -23,7 +23,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +53,10 @@ def id_width(path: str) -> int:
     return 2 if tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
-def _serializer(path: str, width: int) -> Callable[[str], bytes]:
+def _serializer(path: str, width: int) -> Callable[[Iterable[str]], Iterator[bytes]]:
     ids, code = encoder(path), {2: "H", 4: "I"}[width]
     pieces = Pieces(lambda texts: [array(code, i).tobytes() for i in ids(texts)])
-    return lambda text: b"".join(map(b"".join, pieces.values(text)))
+    return lambda texts: map(b"".join, pieces.each(texts))
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -140,15 +140,17 @@ class TokenFiles:
 
 
 def _sample(docs: DataFrame, text: str) -> list[str]:
-    """At most SAMPLE_DOCS starts of texts from all over the table."""
+    """A window of SAMPLE_CHARS from each of at most SAMPLE_DOCS texts; which and where is decided by hash, so from all over the table."""
     n = docs.count()
-    some = docs.where(F.length(text) > 0).select(F.substring(text, 1, SAMPLE_CHARS).alias("t"))
-    if n > 2 * SAMPLE_DOCS:
-        some = some.sample(2 * SAMPLE_DOCS / n, seed=7)
-    return [r.t for r in some.limit(SAMPLE_DOCS).collect()]
+    drawn = F.xxhash64(text, F.lit(7))
+    some = docs.where(F.length(text) > 0)
+    if n > 2 * SAMPLE_DOCS:  # about so many rows meet in the last step
+        some = some.where(F.pmod(drawn, F.lit(n)) < 2 * SAMPLE_DOCS)
+    begin = 1 + F.pmod(F.shiftright(drawn, 7), F.greatest(F.lit(1), F.length(text) - SAMPLE_CHARS + 1)).cast("int")
+    return [r.t for r in some.orderBy(drawn).limit(SAMPLE_DOCS).select(F.substring(text, begin, F.lit(SAMPLE_CHARS)).alias("t")).collect()]
 
 
-def write_token_files(docs: DataFrame, path: str, *, end_id: int | None = 0, text: str = "text", doc_id: str = "doc_id", folder: str | None = None) -> TokenFiles:
+def write_token_files(docs: DataFrame, path: str, *, end_id: int | None = 0, text: str = "text", doc_id: str = "doc_id", folder: str | None = None, file_bytes: int = FILE_BYTES) -> TokenFiles:
     """Encode every whole text with the vocabulary at ``path`` and write the ids in ascending order of ``doc_id``.
 
     ``end_id`` is appended to each document.  Null and empty texts have no other id.  Null ids come first; rows
@@ -161,7 +163,7 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int | None = 0, tex
     fs.create_dir(base, recursive=True)
     width = id_width(path)
     serialize = _serializer(path, width)
-    dictionary = train_dictionary([serialize(t) for t in _sample(docs, text)])
+    dictionary = train_dictionary(list(serialize(_sample(docs, text))))
     with fs.open_output_stream(f"{base}/dictionary-{hashlib.sha256(dictionary).hexdigest()}.zdict") as out:
         out.write(dictionary)
     end = b"" if end_id is None else end_id.to_bytes(width, "little")
@@ -169,12 +171,13 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int | None = 0, tex
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_bytes, part, seq, open_file, done = held(("token files", path, width), lambda: _serializer(path, width)), TaskContext.get().partitionId(), 0, None, []
         for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1)):
+            texts = batch.column(1).fill_null("")
+            for key, ids in zip(batch.column(0), to_bytes(value.as_py() for value in texts)):
                 if open_file is None:
                     name = f"part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.ids"
                     open_file = FileWriter(folder, name, dictionary, width, batch.column(0).type)
-                open_file.add(key.as_py(), to_bytes(value.as_py() or "") + end)
-                if open_file.at >= FILE_BYTES:
+                open_file.add(key.as_py(), ids + end)
+                if open_file.at >= file_bytes:
                     done.append({"part": part, "seq": seq} | open_file.close())
                     open_file, seq = None, seq + 1
         if open_file:
@@ -185,7 +188,8 @@ def write_token_files(docs: DataFrame, path: str, *, end_id: int | None = 0, tex
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     ordered = picked.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     written = stage(ordered.mapInArrow(write, "part long, seq long, file string, n_docs long, n_tokens long"))
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    # One task over one row a file: enough for some millions of files.
+    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     manifest = written.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     return TokenFiles(folder, dictionary, manifest, picked.schema["doc_id"].dataType.simpleString())
 
@@ -209,5 +213,6 @@ def read_token_files(files: TokenFiles) -> DataFrame:
                 table = pa.table({"doc_id": reader.index["doc_id"], "start": starts, "n_tokens": counts, "ids_crc32": pa.array(crc, pa.int64())})
                 yield from table.to_batches(10_000)
 
-    spread = files.manifest.select("file", "start").repartition(F.col("file"))
+    n = max(1, files.manifest.count())  # a file a task, or so: the number is given because the rows themselves are tiny
+    spread = files.manifest.select("file", "start").repartition(n, "file")
     return spread.mapInArrow(read, f"doc_id {files.id_type}, start long, n_tokens long, ids_crc32 long")
