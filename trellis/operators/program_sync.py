@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions import text as T
-from trellis.operators.ordered import running_total
+from trellis.operators.ordered import carry, running_total
 from trellis.operators.requirements import RELATIONS
 from trellis.operators.verdicts import all_verdict, any_verdict, facts, verdict_name
 from trellis.operators.trees import fold
@@ -53,18 +53,24 @@ def program_relations(program_courses: DataFrame, courses: DataFrame, req_nodes:
 def unique_ids(sections: DataFrame, used: DataFrame) -> DataFrame:
     """``sections(program, at, base)`` -> ``id``: the base, or base-2, base-3 ... where taken.
 
-    ``used(program, id)`` are ids that may not be reused.  Among sections of one base the n-th gets
-    the n-th free suffix.
+    ``used(program, id)`` are ids that may not be reused.  Among sections of one base the n-th gets the n-th free
+    number: its rank and the taken numbers that lie below.  The i-th taken number t has t - i free ones below it, so
+    it counts for all ranks from there on; both are merged in that order by a blocked scan, however many sections
+    share a base.
     """
-    ranked = running_total(sections, ["program", "base"], "at", F.lit(1), "rank")
-    taken = used.select("program", F.regexp_replace("id", r"-\d+$", "").alias("base"), F.regexp_extract("id", r"-(\d+)$", 1).try_cast("int").alias("n"))
-    plain = used.select("program", F.col("id").alias("base"), F.lit(1).alias("n"))
-    taken = taken.where("n >= 2").unionByName(plain).groupBy("program", "base").agg(F.collect_set("n").alias("taken"))
-    joined = ranked.join(taken, ["program", "base"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
-    options = F.sequence(F.lit(1), (F.size("taken") + F.col("rank") + 1).cast("int"))
-    free = F.filter(options, lambda n: ~F.array_contains(F.col("taken"), n))
-    n = F.get(free, F.col("rank").cast("int"))
-    return joined.withColumn("id", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", "base", n.cast("string")))).drop("rank", "taken")
+    name = ["program", "base"]
+    ranked = running_total(sections, name, "at", F.lit(1), "rank")
+    suffixed = used.select("program", F.regexp_replace("id", r"-\d+$", "").alias("base"), F.regexp_extract("id", r"-(\d+)$", 1).try_cast("bigint").alias("n"))
+    plain = used.select("program", F.col("id").alias("base"), F.lit(1).cast("bigint").alias("n"))
+    taken = suffixed.where("n >= 2").unionByName(plain).distinct().join(sections.select(*name), name, "left_semi")
+    counted = running_total(taken, name, "n", F.lit(1), "before")
+    skips = counted.groupBy(*name, (F.col("n") - F.col("before") - 1).alias("free")).agg(F.max(F.col("before") + 1).alias("skipped"))
+    merged = ranked.withColumn("_pos", 2 * F.col("rank") + 1).withColumn("_own", F.lit(True)).unionByName(
+        skips.select(*name, (2 * F.col("free")).alias("_pos"), "skipped"), allowMissingColumns=True
+    )
+    carried = carry(merged.withColumnRenamed("skipped", "_here"), name, "_pos", {"_skip": F.when(F.col("_here").isNotNull(), F.struct("_here"))}).where("_own")
+    n = F.col("rank") + 1 + F.coalesce("_skip._here", F.lit(0))
+    return carried.select(*sections.columns, F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", "base", n.cast("string"))).alias("id"))
 
 
 def reconcile_sections(parsed: DataFrame, previous: DataFrame) -> tuple[DataFrame, DataFrame]:

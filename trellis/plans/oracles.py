@@ -448,6 +448,22 @@ held AS (SELECT s.student AS student, s.program AS program, CASE WHEN p.rn <= 2
   FROM s JOIN ox_program p ON p.program = s.program LEFT JOIN fx_completed d ON d.student = s.student AND d.code = p.code GROUP BY 1, 2, 3)
 SELECT student, CAST(program AS INT) AS program, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS met, count(*) AS items, CASE WHEN bool_and(ok) THEN 'met' ELSE 'unmet' END AS status FROM held GROUP BY student, program""")
 
+_add("a_program_files", f"""
+WITH h AS (SELECT t.program AS program, {_TOTAL} AS total_credits,
+    CASE WHEN t.program % 3 = 0 THEN 'Q' || lpad(CAST(t.program AS STRING), 8, '0') || '-2024-25' ELSE 'P' || lpad(CAST(t.program AS STRING), 8, '0') || '-2025-26' END AS id FROM ox_totals t),
+c AS (SELECT program, count(*) AS n FROM ox_program GROUP BY program), r AS (SELECT program, count(*) AS n FROM ox_rel GROUP BY program),
+x AS (SELECT program, count(*) AS n FROM ({_CONTEXT}) y GROUP BY program),
+k AS (SELECT h.*, CASE WHEN h.program % 7 = 5 THEN 'removed' WHEN h.program % 3 = 1 THEN 'changed' ELSE 'unchanged' END AS state FROM h)
+SELECT k.id AS id, state, CASE state WHEN 'changed' THEN CAST(2 AS BIGINT) WHEN 'unchanged' THEN CAST(1 AS BIGINT) END AS version,
+       CASE WHEN state <> 'removed' THEN c.n END AS courses, CASE WHEN state <> 'removed' THEN coalesce(r.n, 0) END AS relations,
+       CASE WHEN state <> 'removed' THEN 'Program ' || CAST(k.program AS STRING) || CASE WHEN state = 'changed' THEN ' (revised)' ELSE '' END END AS title,
+       CASE WHEN state <> 'removed' THEN total_credits END AS total_credits,
+       CAST(CASE WHEN state <> 'removed' THEN 1 ELSE 0 END AS BIGINT) AS read_sections, CASE WHEN state <> 'removed' THEN c.n + 1 ELSE 0 END AS read_tree,
+       CAST(CASE WHEN state <> 'removed' THEN 2 ELSE 0 END AS BIGINT) AS read_groups, CASE WHEN state <> 'removed' THEN c.n ELSE 0 END AS read_courses,
+       CASE WHEN state <> 'removed' THEN coalesce(x.n, 0) ELSE 0 END AS read_context, CAST(CASE WHEN state <> 'removed' THEN 3 ELSE 0 END AS BIGINT) AS read_branches,
+       CAST(CASE WHEN state <> 'removed' THEN 4 ELSE 0 END AS BIGINT) AS read_branch_courses, CASE WHEN state <> 'removed' THEN coalesce(r.n, 0) ELSE 0 END AS read_relations
+FROM k JOIN c ON c.program = k.program LEFT JOIN r ON r.program = k.program LEFT JOIN x ON x.program = k.program""")
+
 # ---- refresh --------------------------------------------------------------------------------
 _add("h_diff", """
 SELECT code, CASE WHEN k % 11 = 3 THEN 'added' WHEN k % 13 = 5 THEN 'removed' WHEN k % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS state FROM fx_courses WHERE NOT (k % 11 = 3 AND k % 13 = 5)""")

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,8 +17,8 @@ from trellis.operators import catalog, graph, levels, notes, program_sync, progr
 from trellis.operators.ordered import running_total
 from trellis.operators.trees import leaf_rows, tree_depth
 from trellis.plans.workspace import YEAR, Workspace
-from trellis.session import Staged, stage
-from trellis.sources import documents, pages, snapshots
+from trellis.session import Staged, stage, staging_root
+from trellis.sources import documents, pages, program_files, snapshots
 from trellis.streaming import toggles
 
 QUERIES: dict = {}
@@ -779,6 +780,29 @@ def g_progress(w: Workspace) -> DataFrame:
     return found.select("student", "program", "met", "items", "status")
 
 
+@query
+def a_program_files(w: Workspace) -> DataFrame:
+    """Publish all programs, change the titles of a third, drop one in seven, publish again, and read back."""
+    sections, courses, relations, groups, _, context = _synced(w)
+    p = w.programs
+    headers = stage(_headers(w))
+
+    def documents(heads: DataFrame, stamp: str) -> DataFrame:
+        return program_files.program_documents(heads, sections, p.tree, groups, courses, context, p.branches, p.branch_courses, relations, stamp)
+
+    files = program_files.ProgramFiles(w.spark, f"{staging_root(w.spark)}/programs-{uuid.uuid4().hex}")
+    files.publish(documents(headers, "first"))
+    revised = F.when(F.col("program") % 3 == 1, F.concat("title", F.lit(" (revised)"))).otherwise(F.col("title"))
+    states = files.publish(documents(headers.where("program % 7 <> 5").withColumn("title", revised), "second"))
+    entries = files.manifest().select("id", F.col("documentVersion").cast("bigint").alias("version"), "courses", "relations")
+    read = files.read()
+    out = states.join(entries, "id", "left").join(read["headers"].select("id", "title", "total_credits"), "id", "left")
+    for name in ("sections", "tree", "groups", "courses", "context", "branches", "branch_courses", "relations"):
+        counted = read[name].groupBy(F.col("program").alias("id")).agg(F.count(F.lit(1)).alias(f"read_{name}"))
+        out = out.join(counted, "id", "left").withColumn(f"read_{name}", F.coalesce(f"read_{name}", F.lit(0)))
+    return out
+
+
 # ---- refresh --------------------------------------------------------------------------------
 def _versions(w: Workspace):
     previous = w.sql("SELECT code, title, 'a' AS generated_at FROM fx_courses WHERE k % 11 <> 3")

@@ -67,7 +67,7 @@ def tree_json(nodes: DataFrame, keys: list[str], kind_field: str = "type") -> Da
         *keys, "steps", F.size("steps").alias("level"),
         F.to_json(F.struct(
             F.col("kind").alias(kind_field), "code", "qualifier", F.col("pat_subject").alias("subject"),
-            F.col("pat_min_level").alias("minimumLevel"), "text",
+            F.col("pat_min_level").alias("minimumLevel"), "text", *(["note"] if "note" in nodes.columns else []),
         )).alias("json"),
     )
     base = stage(base)
@@ -167,8 +167,13 @@ def write_catalog(path: str, courses: DataFrame, subjects: DataFrame, requiremen
 
 
 def read_programs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Program documents -> one table per part, keyed by ``program`` (the document id)."""
-    docs = _documents(spark, path, PROGRAM).where(F.col("d.id").isNotNull()).select("d.*").withColumnRenamed("program", "title").withColumnRenamed("id", "program")
+    """Program documents, one per file -> one table per part, keyed by ``program`` (the document id)."""
+    return program_tables(_documents(spark, path, PROGRAM).where(F.col("d.id").isNotNull()).select("d.*"))
+
+
+def program_tables(documents: DataFrame) -> dict[str, DataFrame]:
+    """Documents with the fields of ``PROGRAM`` -> one table per part, keyed by ``program`` (the document id)."""
+    docs = documents.withColumnRenamed("program", "title").withColumnRenamed("id", "program")
 
     def part(column: str) -> DataFrame:
         return docs.select("program", F.posexplode(column).alias("position", "x")).select("program", "position", "x.*")
