@@ -7,7 +7,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from trellis.operators import ordered, program_sync, refresh, requirements, students
-from trellis.sources import documents, pages, program_files, snapshots
+from trellis.sources import catalog_files, documents, pages, program_files, snapshots
 from trellis.streaming import toggles
 
 INDEX = """<html><h1 class="page-title">Undergraduate Courses 2026-27</h1><ul class="subject-list">
@@ -196,3 +196,53 @@ def test_program_files(spark, tmp_path):
     assert files.version() == 3 and rows(files.read()["headers"], "title") == [("One",)]
     with pytest.raises(ValueError, match="repeats"):
         files.publish(made(["a"], "t").unionByName(made(["b"], "t")))
+
+
+def catalog(spark, titles, years=("2024", "2025")):
+    """One course and one subject per year, with a prerequisite tree of one leaf."""
+    courses = [(y, f"ARTS {1000 + i}", "ARTS", str(1000 + i), t, "3", None, "") for i, (y, t) in enumerate(zip(years, titles))]
+    keys = [(c[0], c[1], "prerequisite") for c in courses]
+    nodes = [(*k, "0", [0], "course", "DRAW 1010", None, None, None, None, 0) for k in keys]
+    return dict(
+        courses=spark.createDataFrame(courses, "year string, code string, subject string, number string, title string, credits string, description string, source_url string"),
+        subjects=spark.createDataFrame([(y, "ARTS", "Arts", "", True) for y in years], "year string, code string, name string, source_url string, fetched boolean"),
+        requirements=spark.createDataFrame([(*k, "DRAW 1010", "parsed", []) for k in keys], "year string, owner string, relation string, raw string, status string, warnings array<string>"),
+        req_nodes=spark.createDataFrame(nodes, "year string, owner string, relation string, path string, steps array<int>, kind string, code string, qualifier string, pat_subject string, pat_min_level int, text string, ordinal int"),
+    )
+
+
+def test_catalog_versions(spark, tmp_path):
+    files = catalog_files.CatalogFiles(spark, str(tmp_path / "book"))
+    publish = lambda titles, stamp, **kw: rows(files.publish(**catalog(spark, titles), source="s", generated_at=stamp, **kw))
+    assert rows(files.years()) == [] and files.read()["courses"].count() == 0
+    assert publish(["One", "Two"], "t1", check=True) == [("2024", "added"), ("2025", "added")] and files.version() == 0
+    publish(["One", "Two"], "t1")
+    assert publish(["One", "Two"], "t2") == [("2024", "unchanged"), ("2025", "unchanged")] and files.version() == 1
+    assert publish(["Uno", "Two"], "t2") == [("2024", "changed"), ("2025", "unchanged")]
+    book = files.read()
+    assert rows(book["courses"], "year", "title") == [("2024", "Uno"), ("2025", "Two")]
+    assert rows(book["req_nodes"], "year", "owner", "code") == [("2024", "ARTS 1000", "DRAW 1010"), ("2025", "ARTS 1001", "DRAW 1010")]
+    assert rows(book["meta"], "year", "generated_at") == [("2024", "t2"), ("2025", "t1")] and rows(book["subjects"], "year", "name") == [("2024", "Arts"), ("2025", "Arts")]
+    # A version that was never committed is not seen, and the next one takes its place.
+    files._write(*(lambda l: (l, catalog_files._checked(l)))(files._read_lines([("2025", 1)]).drop("version")), "s", "t9")
+    (tmp_path / "book/COMMIT/3").unlink()
+    assert rows(files.years()) == [("2024", 2, "current"), ("2025", 1, "current")]
+    # A line is lost in the newest copy of one year: the copy before it is read; the other year stays.
+    newest = next((tmp_path / "book/lines/version=2/year=2024/kind=courses").glob("part-*"))
+    newest.write_text("")
+    for crc in newest.parent.glob(".part-*"):
+        crc.unlink()
+    book = files.read()
+    assert rows(book["years"]) == [("2024", 1, "fallback"), ("2025", 1, "current")] and rows(book["courses"], "title") == [("One",), ("Two",)]
+    # The next refresh writes the damaged year again, though its content is what was published.
+    assert publish(["Uno", "Two"], "t3") == [("2024", "changed"), ("2025", "unchanged")]
+    assert rows(files.years()) == [("2024", 3, "current"), ("2025", 1, "current")] and rows(files.read()["courses"], "title") == [("Two",), ("Uno",)]
+    # Without courses a year is rejected, without any row it is kept.
+    gone = catalog(spark, ["Uno", "Two"])
+    gone["courses"] = gone["courses"].limit(0)
+    gone["subjects"] = gone["subjects"].where("year = '2024'")
+    assert rows(files.publish(**gone, source="s", generated_at="t4")) == [("2024", "rejected"), ("2025", "kept")] and files.version() == 3
+    # No whole copy at all.
+    for n in (1, 2, 3):
+        files._clear(f"{files.path}/lines/version={n}/year=2024")
+    assert rows(files.years()) == [("2024", None, "unreadable"), ("2025", 1, "current")] and rows(files.read()["courses"], "title") == [("Two",)]

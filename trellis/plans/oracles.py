@@ -8,7 +8,7 @@ from __future__ import annotations
 from trellis.functions import text as T
 from trellis.operators.requirements import WARN_CONNECTOR, WARN_GROUPING
 from trellis.plans import fixtures
-from trellis.plans.queries import BROKEN, RAW_CODES, REFERRING, TITLES
+from trellis.plans.queries import BROKEN, RAW_CODES, REFERRING, TITLES, YEAR_OF
 from trellis.plans.workspace import COURSES, PROGRAM_VIEWS, YEAR
 
 _WS = "[" + T.SPACE_CHARS.replace(r"\x0B", r"\v") + "]"
@@ -179,6 +179,12 @@ _add("a_catalog_trees", "SELECT owner, relation, path, parent_path, kind, code,
 _add("a_catalog_files", """
 SELECT c.code AS code, c.title AS title, c.credits AS credits, coalesce(r.n, 0) AS stated, coalesce(m.n, 0) AS nodes FROM ox_courses c
 LEFT JOIN (SELECT owner, count(*) AS n FROM fx_requirements GROUP BY owner) r ON r.owner = c.code LEFT JOIN (SELECT owner, count(*) AS n FROM ox_nodes GROUP BY owner) m ON m.owner = c.code""")
+_add("a_catalog_fallback", f"""
+SELECT {YEAR_OF} AS year, c.code AS code, CASE k % 5 WHEN 0 THEN c.title || ' (revised)' WHEN 3 THEN NULL ELSE c.title END AS title,
+       CASE WHEN k % 5 = 3 THEN CAST(0 AS BIGINT) ELSE coalesce(m.n, 0) END AS nodes, CAST(v.version AS BIGINT) AS version, v.state AS state, v.second AS second, v.third AS third
+FROM ox_courses c LEFT JOIN (SELECT owner, count(*) AS n FROM ox_nodes GROUP BY owner) m ON m.owner = c.code
+JOIN (VALUES (0, 2, 'current', 'changed', 'unchanged'), (1, 1, 'fallback', 'changed', 'changed'), (2, 1, 'fallback', 'changed', 'changed'),
+ (3, NULL, 'unreadable', 'changed', 'changed'), (4, 1, 'current', 'unchanged', 'unchanged')) AS v(m, version, state, second, third) ON v.m = c.k % 5""")
 _add("a_snapshots", f"SELECT student, '{YEAR}' AS year, 'completed' AS kind, code FROM fx_completed UNION ALL SELECT student, '{YEAR}', 'targets', code FROM fx_targets")
 _add("a_snapshot_checks", """
 SELECT c_custkey AS student, v.outcome AS outcome FROM customer JOIN (VALUES (0, 'not valid JSON'), (1, 'not a snapshot'), (2, 'exported by another application'), (3, 'no usable data'),

@@ -18,7 +18,7 @@ from trellis.operators.ordered import running_total
 from trellis.operators.trees import leaf_rows, tree_depth
 from trellis.plans.workspace import YEAR, Workspace
 from trellis.session import Staged, stage, staging_root
-from trellis.sources import documents, pages, program_files, snapshots
+from trellis.sources import catalog_files, documents, pages, program_files, snapshots
 from trellis.streaming import toggles
 
 QUERIES: dict = {}
@@ -219,6 +219,38 @@ def a_catalog_files(w: Workspace) -> DataFrame:
     return listed.select("code", "title", "credits", F.coalesce("stated", zero).alias("stated"), F.coalesce("nodes", zero).alias("nodes"))
 
 
+YEAR_OF = "'20' || CAST(20 + k % 5 AS STRING) || '-' || CAST(21 + k % 5 AS STRING)"
+
+
+@query
+def a_catalog_fallback(w: Workspace) -> DataFrame:
+    """Five years published twice; then copies are damaged, and each year is read from its newest whole copy."""
+    courses = stage(w.courses.withColumn("year", F.expr(YEAR_OF)))
+    year_of = courses.select("year", F.col("code").alias("owner"))
+    parsed, nodes = w.parsed.join(year_of, "owner"), w.nodes.join(year_of, "owner")
+    subjects = courses.select("year", F.col("subject").alias("code")).distinct().select("*", F.col("code").alias("name"), F.lit("").alias("source_url"), F.lit(True).alias("fetched"))
+    files = catalog_files.CatalogFiles(w.spark, f"{staging_root(w.spark)}/catalogs-{uuid.uuid4().hex}")
+    files.publish(courses.drop("k"), subjects, parsed, nodes, "derived", "first")
+    revised = courses.withColumn("title", F.when(F.col("k") % 5 < 4, F.concat("title", F.lit(" (revised)"))).otherwise(F.col("title"))).drop("k")
+    states = files.publish(revised, subjects, parsed, nodes, "derived", "second")
+
+    def damage(version: int, year: str) -> None:
+        w.spark.range(1).select(F.lit('{"code": "torn').alias("value")).write.mode("append").text(f"{files.path}/lines/version={version}/year={year}/kind=courses")
+
+    damage(2, "2021-22")
+    files._clear(f"{files.path}/lines/version=2/year=2022-23")
+    damage(1, "2023-24")
+    damage(2, "2023-24")
+    again = files.publish(revised, subjects, parsed, nodes, "derived", "third", check=True)
+    back = files.read()
+    sized = back["req_nodes"].groupBy(F.col("owner").alias("code")).agg(F.count(F.lit(1)).alias("nodes"))
+    listed = courses.select("year", "code").join(back["courses"].select("code", "title"), "code", "left").join(sized, "code", "left")
+    years = back["years"].join(states.withColumnRenamed("state", "second"), "year").join(again.withColumnRenamed("state", "third"), "year")
+    return listed.join(years, "year").select(
+        "year", "code", "title", F.coalesce("nodes", F.lit(0)).alias("nodes"), F.col("version").cast("bigint").alias("version"), "state", "second", "third"
+    )
+
+
 def _student_codes(w: Workspace) -> DataFrame:
     done = w.completed.select("student", F.lit(YEAR).alias("year"), F.lit("completed").alias("kind"), "code")
     return done.unionByName(w.targets.select("student", F.lit(YEAR).alias("year"), F.lit("targets").alias("kind"), "code"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from trellis.session import stage
 from trellis.sources.documents import PROGRAM, program_tables, tree_json
+from trellis.sources.publication import Publication
 
 # ---- fixed values ---------------------------------------------------------------------------
 SCHEMA_VERSION = 2
@@ -94,21 +95,9 @@ def _listed_branch_courses(branch_courses: DataFrame) -> DataFrame:
     return branch_courses.groupBy("program", "branch_at").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["x"]).alias("own"))
 
 
-class ProgramFiles:
+class ProgramFiles(Publication):
     """A folder of published program documents."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _folder(self, path: str):
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
-
-    def version(self) -> int:
-        """The newest committed version; 0 before the first."""
-        fs, folder = self._folder(f"{self.path}/COMMIT")
-        return max((int(f.getPath().getName()) for f in fs.listStatus(folder)), default=0) if fs.exists(folder) else 0
-
     def manifest(self) -> DataFrame:
         """Entries of all programs, as of the newest committed version."""
         n = self.version()
@@ -135,16 +124,14 @@ class ProgramFiles:
 
     def _write(self, documents: DataFrame, version: int) -> None:
         for kind in ("documents", "manifest"):  # what an unfinished refresh may have left
-            fs, folder = self._folder(f"{self.path}/{kind}/version={version}")
-            fs.delete(folder, True)
+            self._clear(f"{self.path}/{kind}/version={version}")
         fresh = documents.where("state <> 'unchanged'")
         fresh.repartitionByRange("id").select(F.col("document").alias("value")).write.text(f"{self.path}/documents/version={version}")
         lies = F.when(F.col("state") == "unchanged", F.col("lies")).otherwise(version)
         fields = [c for c in self.spark.createDataFrame([], MANIFEST).columns if c not in ("file", "documentVersion")]
         entries = documents.select(*fields, F.format_string("documents/version=%d", lies).alias("file"), lies.cast("int").alias("documentVersion"))
         entries.repartitionByRange("id").sortWithinPartitions("id").write.option("ignoreNullFields", "false").json(f"{self.path}/manifest/version={version}")
-        fs, folder = self._folder(f"{self.path}/COMMIT/{version}")
-        fs.create(folder, True).close()
+        self._commit(version)
 
     def read(self) -> dict[str, DataFrame]:
         """The tables of :func:`read_programs`, of the documents that the newest manifest names."""
