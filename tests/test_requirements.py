@@ -1,8 +1,9 @@
+import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
 from trellis.functions import text as T
-from trellis.operators import catalog, requirements
+from trellis.operators import catalog, requirements, search_index
 
 
 def test_text_functions(spark):
@@ -90,6 +91,52 @@ def test_search_and_lookup(spark):
     assert [catalog.search_limit(x) for x in (None, 0, "x", 500, -4, 7)] == [30, 30, 30, 100, 1, 7]
 
 
+def test_stored_search(spark, tmp_path):
+    schema = "code string, title string, credits string"
+    first = [("ARTS 2011", "Data Weaving", "3"), ("ARTS 4211", "Machine Knitting", "3"), ("DRAW 4211", "About arts", "4"), ("DRAW 1010", None, "4"), (None, "lost", "1")]
+    asked = spark.createDataFrame([("4211",), ("arts4211",), ("arts",), ("",), (None,), ("w",), ("weaving d",), ("KNIT",), ("dra",)], "query string")
+    # Blocks and shards of a few postings: every common gram is dealt over several.
+    index = search_index.SearchIndex(spark, str(tmp_path / "index"), block=2, shard=40)
+    with pytest.raises(ValueError, match="no index"):
+        index.search(asked)
+    index.update(spark.createDataFrame(first, schema))
+
+    def same(courses, limit=2):
+        plain = catalog.search(spark.createDataFrame(courses, schema), asked, limit)
+        columns = ["query", "code", "title", "credits", "rank", "position"]
+        assert rows(index.search(asked, limit), *columns) == rows(plain, *columns)
+
+    kept = first[:4]
+    same(kept)
+    same(kept, 30)
+    assert rows(index.plan(asked).where("query = 'KNIT'"), "n") == [(1,)] and index.plan(asked).where("query = 'weaving d'").isEmpty()
+    # A replaced title is found by the new one only, a removed course not at all, one taken in again is found.
+    index.update(spark.createDataFrame([("ARTS 4211", "Paper", "2")], schema), spark.createDataFrame([("DRAW 4211",), ("ARTS 4211",), (None,)], "code string"))
+    kept = [kept[0], ("ARTS 4211", "Paper", "2"), kept[3]]
+    same(kept, 30)
+    index.update(spark.createDataFrame([("DRAW 4211", "Knitting", "4")], schema))
+    kept.append(("DRAW 4211", "Knitting", "4"))
+    same(kept)
+    before = index
+    index = index.compact()
+    assert index.version() == 1 and before.version() == 3 and rows(index.courses()) == rows(before.courses())
+    same(kept)
+    # An empty table gives an index without rows.
+    index = search_index.SearchIndex(spark, str(tmp_path / "empty"))
+    index.update(spark.createDataFrame([], schema))
+    assert index.search(asked).isEmpty()
+
+
+def test_search_opens_only_asked_shards(spark, tmp_path):
+    courses = spark.range(3000).select(F.format_string("C%05d", "id").alias("code"), F.sha2(F.col("id").cast("string"), 256).alias("title"))
+    index = search_index.SearchIndex(spark, str(tmp_path / "index"), shard=10_000)
+    index.update(courses)
+    shards = len(list((tmp_path / "index/postings/version=1").glob("shard=*")))
+    found = index.search(spark.createDataFrame([("C01234",)], "query string"))
+    opened = {f.split("shard=")[1].split("/")[0] for f in found.inputFiles() if "shard=" in f}
+    assert shards > 20 and len(opened) == 1 and rows(found, "code", "rank") == [("C01234", 0)]
+
+
 def test_crawl_order_and_cap(spark):
     subjects = spark.createDataFrame([(c,) for c in ["COMP", "MATH", "ELEC", "PHYS", "CHEM", "LIFE"]], "code string")
     edges = spark.createDataFrame(

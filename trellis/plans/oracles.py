@@ -212,6 +212,12 @@ _add("d_search", """
 WITH q AS (SELECT DISTINCT lower(subject) AS query, subject AS q FROM fx_courses UNION SELECT split_part(title, ' ', 2), upper(split_part(title, ' ', 2)) FROM fx_courses UNION SELECT replace(lower(code), ' ', ''), code FROM fx_courses),
 hits AS (SELECT query, code, CASE WHEN code = q THEN 0 WHEN starts_with(code, q) THEN 1 ELSE 2 END AS rank FROM q JOIN fx_courses ON contains(code, q) OR contains(upper(title), q))
 SELECT query, code, CAST(rank AS BIGINT) AS rank, position FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, code) AS position FROM hits) t WHERE position <= 30""")
+_add("d_search_index", """
+WITH q AS (SELECT DISTINCT lower(subject) AS query, subject AS q FROM fx_courses UNION SELECT split_part(title, ' ', 2), upper(split_part(title, ' ', 2)) FROM fx_courses
+  UNION SELECT replace(lower(code), ' ', ''), code FROM fx_courses UNION SELECT v.query, upper(v.query) FROM (VALUES ('renewed'), (''), ('a'), ('no such thing')) AS v(query)),
+c AS (SELECT code, CASE WHEN k % 3 = 1 THEN title || ' renewed' ELSE title END AS title FROM fx_courses WHERE k % 7 <> 5),
+hits AS (SELECT query, code, title, CASE WHEN code = q THEN 0 WHEN starts_with(code, q) THEN 1 ELSE 2 END AS rank FROM q JOIN c ON contains(code, q) OR contains(upper(title), q))
+SELECT query, code, title, CAST(rank AS BIGINT) AS rank, position FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, code) AS position FROM hits) t WHERE position <= 30""")
 _add("d_lookup", f"""
 SELECT c.code AS code, c.title AS title, max(CASE WHEN r.relation = 'prerequisite' THEN raw END) AS prerequisite, max(CASE WHEN r.relation = 'corequisite' THEN raw END) AS corequisite,
        max(CASE WHEN r.relation = 'exclusion' THEN raw END) AS exclusion

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.functions import text as T
-from trellis.operators import catalog, graph, levels, notes, program_sync, program_text, prune, refresh, requirements, students, verdicts
+from trellis.operators import catalog, graph, levels, notes, program_sync, program_text, prune, refresh, requirements, search_index, students, verdicts
 from trellis.operators.ordered import running_total
 from trellis.operators.trees import leaf_rows, tree_depth
 from trellis.plans.workspace import YEAR, Workspace
@@ -328,6 +328,20 @@ def d_search(w: Workspace) -> DataFrame:
     return found.select("query", "code", F.col("rank").cast("bigint").alias("rank"), F.col("position").cast("bigint").alias("position"))
 
 
+@query
+def d_search_index(w: Workspace) -> DataFrame:
+    """A stored index of all courses; then a third gets other titles, one in seven goes, and the same queries are asked."""
+    index = search_index.SearchIndex(w.spark, f"{staging_root(w.spark)}/search-{uuid.uuid4().hex}")
+    index.update(w.courses)
+    renewed = w.courses.where("k % 3 = 1 AND k % 7 <> 5").withColumn("title", F.concat("title", F.lit(" renewed")))
+    index.update(renewed, w.courses.where("k % 7 = 5").select("code"))
+    asked = w.courses.select(F.lower("subject").alias("query")).union(w.courses.select(F.split_part("title", F.lit(" "), F.lit(2)))).union(
+        w.courses.select(F.replace(F.lower("code"), F.lit(" "), F.lit("")))
+    ).union(w.spark.range(1).select(F.explode(F.array(*map(F.lit, ["renewed", "", "a", "no such thing"])))))
+    found = index.search(asked.distinct(), 30)
+    return found.select("query", "code", "title", F.col("rank").cast("bigint").alias("rank"), F.col("position").cast("bigint").alias("position"))
+
+
 @query
 def d_lookup(w: Workspace) -> DataFrame:
     asked = w.sql(RAW_CODES).select(F.col("raw").alias("code"))
