@@ -135,6 +135,34 @@ def test_toggle_stream_is_idempotent(spark, tmp_path):
     assert len(kept) <= 4
 
 
+def test_toggle_buckets_split_with_the_data(spark, tmp_path):
+    nodes, _ = requirements.parse_requirements(spark.createDataFrame([("COMP 2011", "prerequisite", "COMP 1021")], "owner string, relation string, raw string"))
+    nodes = nodes.persist()
+    courses = spark.createDataFrame([("COMP 2011",), ("COMP 1021",)], "code string")
+    events = lambda lo, hi, done=True: spark.range(lo, hi).select(
+        F.col("id").alias("student"), F.lit("COMP 1021").alias("code"), F.lit(done).alias("done"), F.lit(f"2026-01-{1 + lo % 9}").cast("timestamp").alias("ts"), F.col("id").alias("event_id"))
+    targets = spark.range(2000).select(F.col("id").alias("student"), F.lit("COMP 2011").alias("code"))
+    tables = toggles.ToggleTables(spark, str(tmp_path / "t"), 100)
+
+    def sizes(before=None):
+        return {r.bucket: r.rows for r in tables.buckets("toggles", before).collect()}
+
+    # One student with more rows than the bound stays whole and does not hinder the others.
+    own = spark.range(150).select(F.lit(7).cast("long").alias("student"), F.format_string("X %d", "id").alias("code"), F.lit(True).alias("done"), F.lit("2026-01-01").cast("timestamp").alias("ts"), "id").withColumnRenamed("id", "event_id")
+    for n, one in enumerate([events(0, 60), events(60, 900), own, events(900, 2000), events(0, 2000).limit(0), events(5, 6, False)]):
+        for _ in range(2 if n in (1, 5) else 1):  # a replay starts from the buckets before it
+            toggles.apply_batch(tables, one, n, targets, courses, nodes)
+        found = sizes()
+        # The buckets cover every hash once, and hold what the files hold.
+        assert sum(2.0 ** (1 - len(b)) for b in found) == 1 and sum(found.values()) == tables.toggles().count()
+        assert sorted(v for v in found.values() if v > 100) in ([], [150], [151]) and (n or len(found) == 1)
+    assert len(found) > 2150 / 100 and tables.toggles().count() == 2150
+    assert rows(tables.statuses().groupBy("status").count()) == [("met", 1999), ("unmet", 1)]
+    # A batch that touches one student rewrites one bucket, and older versions go.
+    assert len(list((tmp_path / "t/toggles/batch=5").glob("bucket=*"))) == 1
+    assert len(list((tmp_path / "t/toggles").glob("batch=*/bucket=*"))) <= len(found) + 1 and len(list((tmp_path / "t/toggles_buckets").glob("batch=*"))) == 2
+
+
 def test_unique_ids_of_one_base(spark):
     """A hundred thousand sections of one name, between taken numbers."""
     n = 100_000

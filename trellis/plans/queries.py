@@ -1033,7 +1033,7 @@ def j_toggle_stream(w: Workspace) -> DataFrame:
     base = Staged(w.spark).base
     w.sql("fx_toggles").repartition(4).write.mode("overwrite").parquet(f"{base}/log")
     source = w.spark.readStream.schema(toggles.TOGGLE_SCHEMA).option("maxFilesPerTrigger", 2).parquet(f"{base}/log")
-    tables = toggles.ToggleTables(w.spark, f"{base}/tables", 4)
+    tables = toggles.ToggleTables(w.spark, f"{base}/tables", 2_000)
     wanted = w.targets.join(w.sql("SELECT DISTINCT student FROM fx_toggles"), "student", "left_semi")
     toggles.start(source, tables, f"{base}/checkpoint", wanted, w.courses, w.nodes).awaitTermination()
     return tables.statuses()
