@@ -54,6 +54,42 @@ def test_backward_graph(spark, book):
     assert rows(ids, "id") == [("course:COMP 1021",), ("course:COMP 2011",), ("course:COMP 2711",), ("course:COMP 4211",), ("course:MATH 2111",)]
 
 
+def test_cap_inside_the_expansion(spark):
+    """On random rules with cycles and a hub: the same nodes, edges and cuts as cutting the whole graph."""
+    rng = random.Random(5)
+    codes = [f"ARTS {1000 + k}" for k in range(40)]
+    pick = lambda: rng.choice([codes[3], *codes, "GONE 9999"])
+    stated = [(c, rel, " AND ".join(f"({pick()} OR {pick()})" if rng.random() < 0.4 else pick() for _ in range(rng.randint(1, 3)))) for c in codes for rel in ("prerequisite", "corequisite") if rng.random() < 0.6]
+    courses = spark.createDataFrame([(c, "ARTS", "t", "3", "") for c in codes], "code string, subject string, title string, credits string, source_url string")
+    nodes, _ = requirements.parse_requirements(spark.createDataFrame(stated, "owner string, relation string, raw string"))
+    nodes = nodes.persist()
+    level, cycles = levels.dependency_levels(courses, nodes)
+    roots = courses.select(F.col("code").alias("root"))
+    for direction in ("backward", "forward"):
+        whole = graph.build_graph(roots, courses, nodes, level, cycles, direction=direction, max_nodes=None)
+        listed, edges = {}, rows(whole.edges, "root", "source", "target", "relation", "qualifier")
+        for r in whole.nodes.select("root", "id", "order").collect():
+            listed.setdefault(r.root, []).append((r.order, r.id))
+        for cap in (1, 4, 11):
+            small = graph.build_graph(roots, courses, nodes, level, cycles, direction=direction, max_nodes=cap)
+            kept = {(root, i) for root, found in listed.items() for _, i in sorted(found)[:cap]}
+            assert set(rows(small.nodes, "root", "id")) == kept
+            assert rows(small.edges, "root", "source", "target", "relation", "qualifier") == [e for e in edges if (e[0], e[1]) in kept and (e[0], e[2]) in kept]
+            assert rows(small.summary.where("truncated"), "root") == sorted((root,) for root, found in listed.items() if len(found) > cap)
+
+
+def test_capped_reach_stops(spark):
+    """A chain of 300 courses below one that a thousand others need: rows and rounds stay within the cap."""
+    links = [(f"C{k:04d}", f"C{k + 1:04d}") for k in range(300)] + [(f"H{k:04d}", "C0300") for k in range(1000)]
+    hops = spark.createDataFrame(links, "code string, to string")
+    roots = spark.createDataFrame([("C0000",), ("C0295",), ("C0300",)], "root string")
+    found = graph._spread(roots, hops, None, 9)
+    assert rows(found.groupBy("root").agg(F.count("*"), F.max("distance"))) == [("C0000", 9, 8), ("C0295", 6, 5), ("C0300", 1, 0)]
+    back = hops.select(F.col("to").alias("code"), F.col("code").alias("to"))
+    found = rows(graph._spread(roots.where("root = 'C0300'"), back, None, 9), "distance", "code")
+    assert found == [(0, "C0300"), (1, "C0299"), *((1, f"H{k:04d}") for k in range(7))]
+
+
 def test_forward_graph_and_errors(spark, book):
     courses, nodes, level, cycles = book
     g = graph.build_graph(spark.createDataFrame([("COMP 1021",)], "root string"), courses, nodes, level, cycles, direction="forward")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trellis.functions import text as T
 from trellis.operators.catalog import dependents, reference_edges
 from trellis.operators.requirements import RELATIONS
-from trellis.session import grow, stage
+from trellis.session import Bucketed, fresh_rows, grow, stage
 
 # ---- fixed values ---------------------------------------------------------------------------
 ALIASES = {
@@ -66,9 +66,14 @@ def check_roots(roots: DataFrame, courses: DataFrame) -> tuple[DataFrame, DataFr
     return judged.where(F.col("error").isNull()).select("root").distinct(), judged.where(F.col("error").isNotNull()).select("requested", "error")
 
 
-def _spread(roots: DataFrame, hops: DataFrame, depth: int | None) -> DataFrame:
-    """Shortest-hop reach ``(root, code, distance)`` over ``hops(code, to)``, depth 0 = the root only."""
+def _spread(roots: DataFrame, hops: DataFrame, depth: int | None, budget: int | None = None) -> DataFrame:
+    """Shortest-hop reach ``(root, code, distance)`` over ``hops(code, to)``, depth 0 = the root only.
+
+    With a ``budget`` only the first courses of each root in (distance, code) order, as many as that.
+    """
     seed = roots.select("root", F.col("root").alias("code"), F.lit(0).alias("distance"))
+    if budget is not None:
+        return _spread_within(seed, hops, depth, budget)
 
     def step(front, hop):
         return front.join(hops, "code").select("root", F.col("to").alias("code"), F.lit(hop).alias("distance")).distinct()
@@ -76,18 +81,40 @@ def _spread(roots: DataFrame, hops: DataFrame, depth: int | None) -> DataFrame:
     return grow(seed, ["root", "code"], step, depth)
 
 
-def reach_backward(roots: DataFrame, courses: DataFrame, req_nodes: DataFrame, relations=None, depth: int | None = None) -> DataFrame:
-    """Catalog courses a root's requirements lead to, within ``depth`` hops."""
+def _spread_within(seed: DataFrame, hops: DataFrame, depth: int | None, budget: int) -> DataFrame:
+    """Expansion that stops for a root as soon as it has ``budget`` courses.
+
+    Every row carries how many courses its root has (``total``), so a round knows what is left of the budget.  Of the
+    targets of one course only the first ``2 * budget`` can matter: fewer than ``budget`` of them are known already.
+    """
+    first = F.row_number().over(Window.partitionBy("code").orderBy("to"))
+    near = stage(hops.distinct().withColumn("_n", first).where(F.col("_n") <= 2 * budget).drop("_n"))
+    store = Bucketed(seed.sparkSession, ["root", "code"])
+    found = store.append(store.dealt(seed.withColumn("total", F.lit(1))))["rows"]
+    by_root, rounds = Window.partitionBy("root"), 0
+    while found and (depth is None or rounds < depth):
+        rounds += 1
+        front = store.last().where(F.col("total") < budget)
+        candidates = front.join(near, "code").select("root", F.col("to").alias("code"), F.lit(rounds).alias("distance"), "total")
+        placed = fresh_rows(store, candidates).withColumn("_place", F.row_number().over(by_root.orderBy("code")))
+        kept = placed.where((F.col("_place") <= budget) & (F.col("_place") + F.col("total") <= budget))
+        counted = kept.withColumn("total", (F.col("total") + F.max("_place").over(by_root)).cast("int")).drop("_place")
+        found = store.append(store.dealt(counted))["rows"]
+    return store.close().drop("total")
+
+
+def reach_backward(roots: DataFrame, courses: DataFrame, req_nodes: DataFrame, relations=None, depth: int | None = None, budget: int | None = None) -> DataFrame:
+    """Catalog courses a root's requirements lead to, within ``depth`` hops; see :func:`_spread` for ``budget``."""
     picked = req_nodes.where(F.col("relation").isin(pick_relations(relations)))
     hops = reference_edges(picked).select(F.col("owner").alias("code"), F.col("ref").alias("to")).distinct()
     known = courses.select(F.col("code").alias("to"))
-    return _spread(roots, stage(hops.join(known, "to", "left_semi").select("code", "to")), depth)
+    return _spread(roots, stage(hops.join(known, "to", "left_semi").select("code", "to")), depth, budget)
 
 
-def reach_forward(roots: DataFrame, req_nodes: DataFrame, depth: int | None = None) -> DataFrame:
-    """Courses that depend on a root through prerequisites, within ``depth`` hops."""
+def reach_forward(roots: DataFrame, req_nodes: DataFrame, depth: int | None = None, budget: int | None = None) -> DataFrame:
+    """Courses that depend on a root through prerequisites, within ``depth`` hops; see :func:`_spread` for ``budget``."""
     hops = dependents(req_nodes).select(F.col("reference").alias("code"), F.col("dependent").alias("to"))
-    return _spread(roots, stage(hops), depth)
+    return _spread(roots, stage(hops), depth, budget)
 
 
 def _course_id(code) -> Column:
@@ -166,7 +193,10 @@ def build_graph(
     Backward expands what a course needs, over the picked relations; forward lists what uses it,
     with that course's whole prerequisite expression whose other leaves stay unexpanded.
     ``max_nodes`` keeps the first nodes per root in (distance, owner, place) order and reports
-    the cut; None keeps all.
+    the cut; None keeps all.  A root stops to expand at one course more than that: courses come
+    before everything found later, so nothing beyond can be kept.  (In both directions at once a
+    course that is kept as a dependent may still need its place among the requirements, so there
+    the whole reach is taken and then cut.)
     """
     picked = pick_relations(relations)
     if direction not in DIRECTIONS:
@@ -175,15 +205,16 @@ def build_graph(
         max_nodes = max(1, min(int(max_nodes), MAX_NODES))
     depth = None if depth is None else max(0, int(depth))
 
+    budget = None if max_nodes is None or direction == "both" else max_nodes + 1
     reached, expanded = [], []
     if direction in ("backward", "both"):
-        back = reach_backward(roots, courses, req_nodes, picked, depth)
+        back = reach_backward(roots, courses, req_nodes, picked, depth, budget)
         reached.append(back)
         inner = back if depth is None else back.where(F.col("distance") < depth)
         every = F.explode(F.array(*map(F.lit, picked))).alias("relation")
         expanded.append(inner.select("root", F.col("code").alias("owner"), every, F.col("distance").alias("far")))
     if direction in ("forward", "both"):
-        ahead = reach_forward(roots, req_nodes, depth) if "prerequisite" in picked else _spread_none(roots)
+        ahead = reach_forward(roots, req_nodes, depth, budget) if "prerequisite" in picked else _spread_none(roots)
         reached.append(ahead)
         outer = ahead.where(F.col("distance") > 0)
         expanded.append(outer.select("root", F.col("code").alias("owner"), F.lit("prerequisite").alias("relation"), (F.col("distance") - 1).alias("far")))

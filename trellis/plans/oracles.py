@@ -264,6 +264,20 @@ SELECT DISTINCT root, source, target, relation, qualifier FROM (
 _add("e_truncated", """
 WITH n AS (SELECT owner AS root, id FROM ox_ids UNION SELECT code, 'course:' || code FROM fx_courses)
 SELECT root, least(count(*), 3) AS nodes, count(*) > 3 AS truncated FROM n GROUP BY root""")
+def _capped(walk: str, owners: str) -> str:
+    return f"""
+WITH w AS ({walk}),
+n AS (SELECT root, 'course:' || code AS id, distance - 1 AS far, '' AS owner, '' AS path FROM w
+  UNION ALL SELECT o.root, i.id, o.far, i.owner, i.path FROM ({owners}) o JOIN ox_ids i ON i.owner = o.code AND i.relation = 'prerequisite'),
+f AS (SELECT *, row_number() OVER (PARTITION BY root, id ORDER BY far, owner, path) AS rn FROM n)
+SELECT root, id, place FROM (SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY far, owner, path, id) AS place FROM f WHERE rn = 1) t WHERE place <= 7"""
+
+
+_add("e_capped", _capped(_walk_all, "SELECT root, code, distance AS far FROM w"))
+_add("e_capped_forward", _capped("""
+WITH RECURSIVE r AS (SELECT code AS root, code, 0 AS distance FROM fx_courses
+  UNION SELECT r.root, p.owner, r.distance + 1 FROM r JOIN ox_pre p ON p.ref = r.code WHERE r.distance < 20)
+SELECT root, code, CAST(min(distance) AS BIGINT) AS distance FROM r GROUP BY root, code""", "SELECT root, code, distance - 1 AS far FROM w WHERE distance > 0"))
 _add("e_diagnostics", """
 SELECT DISTINCT root, 'unresolved' AS type, 'Some referenced courses are not present in the cached catalog' AS message, 'ZZZZ 9999' AS courses FROM ox_graph2 WHERE code = 'ZZZZ 9999'
 UNION ALL

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions import text as T
@@ -421,6 +421,23 @@ def e_truncated(w: Workspace) -> DataFrame:
     return g.summary.join(n, "root").select("root", "nodes", "truncated")
 
 
+def _placed(nodes: DataFrame) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("root").orderBy("order", "id"))
+    return nodes.select("root", "id", place.cast("bigint").alias("place"))
+
+
+@query
+def e_capped(w: Workspace) -> DataFrame:
+    """The first seven nodes of what each course needs, to any depth."""
+    return _placed(w.graph(depth=None, max_nodes=7, relations=["prerequisite"]).nodes)
+
+
+@query
+def e_capped_forward(w: Workspace) -> DataFrame:
+    """The first seven nodes of what depends on each course, to any depth."""
+    return _placed(w.graph("forward", depth=None, max_nodes=7).nodes)
+
+
 @query
 def e_diagnostics(w: Workspace) -> DataFrame:
     return w.graph(depth=2).diagnostics.select("root", "type", "message", F.array_join("courses", ",").alias("courses"))
