@@ -39,9 +39,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document of the smallest id."""
-    others = near_duplicates(docs).where("class_id <> doc_id").select("doc_id")
-    return docs.join(others.hint("merge"), "doc_id", "left_anti").select(*(docs[f"`{c}`"] for c in docs.columns))
+    """Of each class of near duplicates, one row: of the smallest id, and of the smaller hash of the text where ids repeat.
+
+    Rows are told apart by id and text, so a text stays if only another text of its id is a copy; of equal rows one
+    stays.  Rows without an id and rows without a word stay.
+    """
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("hash")))
+    keyed = _packed(docs).withColumn("_key", key)
+    found = stage(near_duplicates(keyed, doc_id="_key").select("_key", "class_id", "n_copies"))
+    heads, others = found.where("class_id = _key AND n_copies > 1"), found.where("class_id <> _key").select("_key").distinct()
+    kept = keyed.join(others.hint("merge"), "_key", "left_anti")
+    repeated = stage(heads.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key"))
+    if not repeated.isEmpty():
+        again = kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+        kept = kept.join(repeated, "_key", "left_anti").unionByName(again)
+    return _unpacked(kept, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
