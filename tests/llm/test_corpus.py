@@ -291,9 +291,22 @@ def test_stages_handle_nulls_repeats_and_clashing_columns(spark, tmp_path):
     rows = [(1, "one text of some words"), (1, "one text of some words"), (2, None), (None, "no id"), (3, "")]
     extra = "n_chars long, predicted int, n_hit int, _rest string, `a b.c` string, class_id long, _text string"
     docs = spark.createDataFrame([(*r, 5, 1, 1, "r", "q", None, "t") for r in rows], f"doc_id long, text string, {extra}")
-    for _, step in corpus_pipeline.STAGES[:-1]:
+    for name, step in corpus_pipeline.STAGES[:-1]:
         out = step(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
-        assert sorted((r[0], r[1] or "", *r[3:]) for r in out.collect() if r[0]) == sorted((r[0], r[1] or "", *r[3:]) for r in docs.collect() if r[0])
+        stay = docs.distinct() if name == "near duplicates" else docs  # one of the equal rows stays there; the other stages keep both
+        assert sorted((r[0], r[1] or "", *r[3:]) for r in out.collect() if r[0]) == sorted((r[0], r[1] or "", *r[3:]) for r in stay.collect() if r[0])
+        assert sum(r[0] is None for r in out.collect()) == 1
         assert step(spark, docs.limit(0), str(tmp_path)).collect() == []
     assert len(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()) == 5
+
+
+def test_near_copies_go_by_id_and_text(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (5, a + " more"), (5, b), (5, b), (5, c), (6, c.upper()), (7, None), (7, None), (None, a), (8, a), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, a), (5, b), (5, c), (7, None), (7, None), (None, a), (5, "")], key=repr)
