@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pytest
 
 from brute import exact, lines, near
 from trellis.llm import exact_dedup, line_dedup, near_dup
+from trellis.session import stage
 
 
 def corpus(n=60, seed=2):
@@ -102,6 +104,74 @@ def test_near_duplicates_repeated_rows_and_null_ids(spark):
     assert rows == [(1, 1, 2, 1, 1), (1, 1, 2, 1, 1), (2, 2, 1, 1, 1), (None, None, 1, None, 0)]
 
 
+def labelled(seed, n):
+    """(node, labels) of sets in families: a hot one of close sets, small looser ones, and sets on their own."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        family, share = (0, 0.99) if k < n // 3 else (1 + k % 9, 0.8) if k < 2 * n // 3 else (10 + k, 1.0)
+        drawn = np.random.default_rng([seed, family]).integers(0, 256, near_dup.TREES * near_dup.DEPTH)
+        own = np.where(rng.random(len(drawn)) < share, drawn, rng.integers(0, 256, len(drawn))).astype(np.uint8)
+        out.append((k, own.reshape(near_dup.TREES, near_dup.DEPTH).view(">u8").reshape(-1).astype(np.int64).tolist()))
+    return out
+
+
+def common(a, b):
+    """Leading bytes that two labels share."""
+    return next((k for k in range(near_dup.DEPTH) if (a ^ b) >> 8 * (near_dup.DEPTH - 1 - k) & 255), near_dup.DEPTH)
+
+
+def groups(links, nodes):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("floor,parts,batch", [(7, 5, 10_000), (5, 40, 3), (7, 3, 1)])
+def test_forest_opens_the_nodes_that_sets_come_down_to(spark, floor, parts, batch):
+    rows = labelled(7, 60)
+    sets = spark.createDataFrame(rows, "node long, labels array<long>")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        walked = stage(near_dup.company(sets, floor))
+        prefixes = stage(near_dup.own_prefixes(walked, 0.8, floor, near_dup.RECALL))
+        own = {r.node: r.prefix for r in prefixes.collect()}
+        links = [tuple(r) for r in near_dup.candidate_links(walked, prefixes, floor).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    wanted = []
+    for a, of_a in rows:
+        for b, of_b in rows[:a]:
+            deepest = max(map(common, of_a, of_b))
+            if deepest >= floor:
+                assert a in own and b in own
+                if deepest >= min(own[a], own[b]):
+                    wanted.append((b, a))
+    assert groups(links, own) == groups(wanted, own)
+    assert len(links) <= len(rows) * near_dup.TREES * (near_dup.DEPTH - floor + 1)
+
+
+def test_prefixes_adapt_to_the_company_of_a_set(spark):
+    rows = labelled(11, 90)
+    sets = spark.createDataFrame(rows, "node long, labels array<long>")
+    walked = stage(near_dup.company(sets, 7))
+    own = {r.node: r.prefix for r in near_dup.own_prefixes(walked, 0.8, 7, near_dup.RECALL).collect()}
+    assert {own[k] for k in range(30)} == {near_dup.DEPTH}  # among close ones: full length
+    assert {own[k] for k in range(60, 90) if k in own} <= {7}  # on their own: down to the floor
+
+
 def test_prefix_length_reaches_the_recall():
     n = near_dup.prefix_length(0.8)
     assert 1 - (1 - 0.8**n) ** near_dup.TREES >= near_dup.RECALL

@@ -4,10 +4,14 @@ Sketch.  A text is its set of 5-word shingles (64-bit hashes).  Texts of one set
 are joined once.  Each of ``TREES`` trees labels a set with ``DEPTH`` one-byte MinHash values, most significant
 first, in one 64-bit number: sorted labels are a prefix trie, and a shorter prefix is a shift.
 
-Candidates.  Full-length prefixes are shortened level by level until sets at the threshold meet in some tree with
-the target recall (``prefix_length``); sets below one trie node of that depth are candidates of each other.  A node
-links its members to its smallest one, so it gives as many rows as it has members, and chains of nodes give candidate
-components.
+Candidates.  Each tree's labels are sorted (range-partitioned by tree, label and set, so that a prefix shared by a third
+of all sets is split over tasks), and one pass along them compares every label with its neighbours: that is how deep
+a set has company in the trie.  Every set starts at full length and shortens its prefix byte by byte until its own estimated
+recall reaches the target (``own_prefixes``): over the partners that it met, at the similarity that the share of
+trees with company tells, and one unmet partner at the threshold.  Sets among many close ones keep long prefixes, lonely ones
+go down to ``prefix_length``, where even a pair at the threshold meets with the target recall.  A trie node is opened if a
+set below it came down to its depth; all sets below an open node are candidates of each other.  It links its members to
+its smallest one, so it gives as many rows as it has members, and chains of nodes give candidate components.
 
 Verification.  All pairs of a candidate component are compared exactly, inside tasks: intersections are counted
 through posting lists, and a task returns one row per set (number of links, smallest set it hangs together
@@ -42,7 +46,7 @@ REMEMBERED_WORDS = 300_000
 
 
 def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """Longest prefix at which a pair at the threshold meets in some tree with the wanted probability."""
+    """Longest prefix at which a pair at the threshold meets in some tree with the wanted probability: no set goes below it."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
@@ -104,13 +108,75 @@ def sketches(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, digest binary, size long, labels array<long>")
 
 
-def candidate_links(sets: DataFrame, prefix: int) -> DataFrame:
-    """(a, b): every set below a trie node of depth ``prefix``, with the node's smallest set."""
-    placed = sets.select("node", F.posexplode("labels").alias("tree", "label")).select(
-        "tree", F.shiftrightunsigned("label", 8 * (DEPTH - prefix)).alias("prefix"), "node"
-    )
-    nodes = placed.groupBy("tree", "prefix").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return placed.join(nodes, ["tree", "prefix"]).where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
+def company(sets: DataFrame, floor: int) -> DataFrame:
+    """(tree, label, node, depth, before, prior, after, next): labels that share ``floor`` bytes with a neighbour in sorted order.
+
+    ``before`` and ``after`` count the bytes shared with the neighbours ``prior`` and ``next``, depth is the larger one.  First and last
+    labels of a partition, whose neighbours lie elsewhere, are always kept and may share up to DEPTH bytes.
+    """
+    placed = sets.select("node", F.posexplode("labels").alias("tree", "label")).select(F.col("tree").cast("byte").alias("tree"), "label", "node")
+    ordered = placed.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+
+    def walked(tree: np.ndarray, label: np.ndarray, node: np.ndarray, begin: int, end: int, edges: list[int]) -> pa.RecordBatch:
+        differing = (label[1:] ^ label[:-1]).view(np.uint64)
+        shared = np.zeros(len(differing), np.int8)
+        for depth in range(1, DEPTH + 1):
+            shared += differing >> np.uint64(8 * (DEPTH - depth)) == 0
+        shared[tree[1:] != tree[:-1]] = 0
+        before, after = np.concatenate([[0], shared]), np.concatenate([shared, [0]])
+        depth = np.maximum(before, after)
+        depth[edges] = DEPTH
+        rows = begin + np.flatnonzero(depth[begin:end] >= floor)
+        columns = (tree, label, node, depth, before, np.roll(node, 1), after, np.roll(node, -1))
+        names = ["tree", "label", "node", "depth", "before", "prior", "after", "next"]
+        kinds = [np.int8 if name in ("tree", "depth", "before", "after") else np.int64 for name in names]
+        return pa.RecordBatch.from_arrays([pa.array(c[rows].astype(kind)) for c, kind in zip(columns, kinds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None  # the last label, which waits for its successor, and the one before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [column.to_numpy(zero_copy_only=False) for column in batch.columns]
+            begin = 0 if kept is None else len(kept[0]) - 1
+            first = kept is None or begin == 0
+            rows = new if kept is None else [np.concatenate(pair) for pair in zip(kept, new)]
+            if len(rows[0]) > 1:
+                yield walked(*rows, begin, len(rows[0]) - 1, [0] if first else [])
+            kept = [column[-2:] for column in rows]
+        if kept is not None:
+            n = len(kept[0])
+            yield walked(*kept, n - 1, n, [n - 1])
+
+    return ordered.mapInArrow(run, "tree byte, label long, node long, depth byte, before byte, prior long, after byte, next long")
+
+
+def own_prefixes(walked: DataFrame, threshold: float, floor: int, recall: float) -> DataFrame:
+    """(node, prefix): the longest prefix at which a set's estimated recall reaches the target, ``floor`` at the least.
+
+    With n different partners next to it at a length, met in m of the TREES trees, they are met again with a probability of
+    1 - (1 - m / TREES)^TREES each; one more partner at the threshold may be unmet.  The estimate is the mean over all n + 1.
+    """
+    longer = range(DEPTH, floor, -1)
+    met = [F.sum((F.greatest("before", "after") >= p).cast("int")).alias(f"m{p}") for p in longer]
+    partners = [F.size(F.array_union(F.collect_set(F.when(F.col("before") >= p, F.col("prior"))), F.collect_set(F.when(F.col("after") >= p, F.col("next"))))).alias(f"n{p}") for p in longer]
+    reached = [
+        F.when(
+            F.col(f"n{p}") * (1 - F.pow(1 - F.col(f"m{p}") / TREES, F.lit(TREES))) + (1 - (1 - threshold**p) ** TREES) >= recall * (F.col(f"n{p}") + 1),
+            F.lit(p),
+        )
+        for p in longer
+    ]
+    return walked.groupBy("node").agg(F.count(F.lit(1)).alias("trees"), *met, *partners).select("node", F.coalesce(*reached, F.lit(floor)).alias("prefix"))
+
+
+def candidate_links(walked: DataFrame, prefixes: DataFrame, floor: int) -> DataFrame:
+    """(a, b): every set below an open trie node, with the node's smallest set."""
+    below = walked.join(prefixes, "node").select("tree", "label", "node", "prefix", F.explode(F.sequence(F.lit(floor), F.col("depth").cast("int"))).alias("length"))
+    below = below.withColumn("start", F.expr(f"shiftrightunsigned(label, 8 * ({DEPTH} - length))")).drop("label")
+    key = ["tree", "length", "start"]
+    opened = below.groupBy(*key).agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n"), F.min("prefix").alias("least")).where("n > 1 AND least <= length")
+    return below.join(opened.select(*key, "a"), key).where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
 
 
 def compare(sets: list[np.ndarray], side: np.ndarray | None, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +286,11 @@ def near_duplicates(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("labels").alias("labels")
     )
     sets = stage(grouped.withColumn("node", F.monotonically_increasing_id()))
-    links = stage(candidate_links(sets, prefix_length(threshold[0] / threshold[1], recall=recall)))
+    similarity = threshold[0] / threshold[1]
+    floor = prefix_length(similarity, recall=recall)
+    walked = stage(company(sets, floor))
+    prefixes = stage(own_prefixes(walked, similarity, floor, recall))
+    links = stage(candidate_links(walked, prefixes, floor))
     components = _components(links)
     members = stage(sets.select("node", "id", "digest", "size").join(components, "node"))
     texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
