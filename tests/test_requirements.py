@@ -127,6 +127,19 @@ def test_stored_search(spark, tmp_path):
     assert index.search(asked).isEmpty()
 
 
+def test_codes_of_one_subject_meet_their_own_course(spark, tmp_path):
+    courses = spark.range(300).select(F.format_string("COMP %d", F.col("id") * 7 + 1000).alias("code"), F.lit("Long introduction to computing").alias("title"))
+    asked = courses.select(F.lower(F.replace("code", F.lit(" "), F.lit(""))).alias("query"))
+    longer = asked.union(spark.createDataFrame([("COMP 1000 x",), ("introduction to nothing",), ("introduction to computing",)], "query string"))
+    assert catalog._meetings(courses, asked).count() == 300
+    found = catalog.search(courses, longer)
+    assert found.where("rank = 0").count() == 300 and found.where("query = 'introduction to computing'").count() == 30 and found.count() == 330
+    index = search_index.SearchIndex(spark, str(tmp_path / "index"))
+    index.update(courses)
+    assert index.plan(asked).agg(F.sum("n")).first()[0] == 300
+    assert rows(index.search(longer), "query", "code", "rank", "position") == rows(found, "query", "code", "rank", "position")
+
+
 def test_search_opens_only_asked_shards(spark, tmp_path):
     courses = spark.range(3000).select(F.format_string("C%05d", "id").alias("code"), F.sha2(F.col("id").cast("string"), 256).alias("title"))
     index = search_index.SearchIndex(spark, str(tmp_path / "index"), shard=10_000)

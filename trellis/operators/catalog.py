@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from trellis.functions import text as T
 from trellis.operators.requirements import RELATIONS
-from trellis.session import Staged
+from trellis.session import Staged, stage
 
 # ---- fixed values ---------------------------------------------------------------------------
 DEFAULT_LIMIT, MAX_LIMIT = 30, 100
 SEED_SUBJECTS = ["COMP", "MATH", "ELEC"]
 PARTIAL_NOTE = "{} was only partially parsed."
+#: Characters of a query that it meets courses by.
+LONGEST_GRAM = 16
 # ---------------------------------------------------------------------------------------------
 
 
@@ -32,22 +34,32 @@ def _grams(c, size: int):
     return F.array_distinct(F.transform(spots, lambda i: F.substring(c, i, F.lit(size))))
 
 
+def _meetings(courses: DataFrame, queries: DataFrame) -> DataFrame:
+    """``courses`` with each ``query`` (and ``_q``, how it is compared) whose first characters they contain."""
+    cleaned = F.upper(T.clean_text("query"))
+    wanted = queries.select("query", F.coalesce(T.strict_code(cleaned), cleaned).alias("_q")).distinct()
+    wanted = stage(wanted.withColumn("_gram", F.left("_q", F.lit(LONGEST_GRAM))))
+    sizes = [r[0] for r in wanted.select(F.length("_gram")).distinct().collect()]  # at most LONGEST_GRAM + 1 numbers
+    code, title = F.upper("code"), F.upper(T._text("title"))
+    pieces = [F.array(F.lit("")) if n == 0 else _grams(c, n) for n in sizes for c in (code, title)]
+    grams = F.array_distinct(F.flatten(F.array(*pieces))) if pieces else F.array().cast("array<string>")
+    # The planner takes the substrings for as small as the courses, so it is told to merge.
+    spread = courses.repartition(int(courses.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.withColumn("_gram", F.explode(grams)).join(wanted.hint("merge"), "_gram")
+
+
 def search(courses: DataFrame, queries: DataFrame, limit=None) -> DataFrame:
     """Top matches per query: exact code first, then code prefix, then any hit in code or title.
 
-    ``queries(query)``.  A course that contains the query contains its first three characters, so
-    queries meet courses in an equi join on short substrings and the hit is verified after it.  The
-    rank limit is applied per task before the shuffle, so a query that hits everything stays cheap.
+    ``queries(query)``.  A course that contains the query contains its first ``LONGEST_GRAM`` characters, so
+    queries meet courses in an equi join on substrings of the queries' own lengths; up to that length only hits
+    meet, longer ones are verified.  The rank limit is applied per task before the shuffle, so a query that hits
+    everything stays cheap.
     """
-    cleaned = F.upper(T.clean_text("query"))
-    wanted = queries.select("query", F.coalesce(T.strict_code(cleaned), cleaned).alias("_q")).distinct()
-    wanted = wanted.withColumn("_gram", F.left("_q", F.lit(3)))
     code, title = F.upper("code"), F.upper(T._text("title"))
-    both = F.array(code, title)
-    grams = F.array_union(F.array(F.lit("")), F.array_distinct(F.flatten(F.transform(both, lambda c: F.flatten(F.array(*[_grams(c, n) for n in (1, 2, 3)]))))))
     hit = code.contains(F.col("_q")) | title.contains(F.col("_q"))
     rank = F.when(F.col("code") == F.col("_q"), 0).when(F.col("code").startswith(F.col("_q")), 1).otherwise(2)
-    hits = courses.withColumn("_gram", F.explode(grams)).join(wanted, "_gram").where(hit).withColumn("rank", rank)
+    hits = _meetings(courses, queries).where(hit).withColumn("rank", rank)
     best = Window.partitionBy("query").orderBy("rank", "code")
     top = hits.withColumn("position", F.row_number().over(best)).where(F.col("position") <= search_limit(limit))
     return top.drop("_q", "_gram")

@@ -2,16 +2,18 @@
 
 An index is a folder::
 
-    postings/version=<n>/shard=<s>/   gram, block, code, title: one row per course and distinct substring of 1 to 3 characters
+    postings/version=<n>/shard=<s>/   gram, block, code, title: one row per course and distinct substring of 1, 2, 3, 6 and 12 characters
     counts/version=<n>/               gram, n, blocks, shard: how many postings a gram has, over how many blocks they are dealt, and where
     courses/version=<n>/              the records that came with version n
     gone/version=<n>/                 codes whose older postings and records no longer count
     COMMIT/<n>                        written last
 
 An update writes the changed courses as a version of its own; nothing older is rewritten, and ``compact`` puts all
-versions together again.  A course that contains a query has all the query's 3-grams, so in each version a query needs
-the postings of its rarest gram only, and none where one of its grams has no postings.  A search opens only the shards
-of those grams.  A gram with many postings is dealt over blocks of about ``BLOCK`` rows: the join key is (version, gram,
+versions together again.  A course that contains a query has all the query's substrings of a size, so in each version a
+query needs the postings of its rarest gram of its largest size only, and none where one of those grams has no postings.
+Codes with the same four digits or letters share all short grams; the longer ones keep what a query meets near what it
+hits, however many courses there are.  A search opens only the shards of those grams.  (Folders written with 1 to 3
+characters alone must be written again.)  A gram with many postings is dealt over blocks of about ``BLOCK`` rows: the join key is (version, gram,
 block), so no key holds more than that.
 """
 
@@ -31,10 +33,12 @@ POSTINGS = "gram string, block int, code string, title string, version int, shar
 COUNTS = "gram string, n long, blocks int, shard int, version int"
 #: Postings of one gram that one join key holds, and postings of a shard, about.
 BLOCK, SHARD = 100_000, 4_000_000
+#: Characters of the stored substrings.
+SIZES = [1, 2, 3, 6, 12]
 
 
 def _all_grams(c: Column) -> Column:
-    return F.flatten(F.array(*[_grams(c, n) for n in (1, 2, 3)]))
+    return F.flatten(F.array(*[_grams(c, n) for n in SIZES]))
 
 
 class SearchIndex(Publication):
@@ -72,7 +76,8 @@ class SearchIndex(Publication):
         courses.write.parquet(f"{self.path}/courses/version={version}")
         code, title = F.upper("code"), F.upper(T._text("title"))
         grams = F.array_distinct(F.concat(F.array(F.lit("")), _all_grams(code), _all_grams(title)))
-        rows = courses.select(F.explode(grams).alias("gram"), "code", title.alias("title"))
+        spread = courses.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = spread.select(F.explode(grams).alias("gram"), "code", title.alias("title"))
         counts = stage(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
         shards = max(1, -(-(counts.agg(F.sum("n")).first()[0] or 0) // self.shard))
         shard = F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int")
@@ -107,9 +112,11 @@ class SearchIndex(Publication):
         """``(query, _q, version, gram, n, blocks, shard)``: each query's rarest gram in each version that has all its grams."""
         cleaned = F.upper(T.clean_text("query"))
         wanted = queries.select("query", F.coalesce(T.strict_code(cleaned), cleaned).alias("_q")).distinct()
-        own = F.when(F.length("_q") < 3, F.array("_q")).otherwise(_grams(F.col("_q"), 3))
+        own = F.array("_q")  # the empty query has a gram of its own
+        for n in SIZES:
+            own = F.when(F.length("_q") >= n, _grams(F.col("_q"), n)).otherwise(own)
         asked = wanted.withColumn("_grams", own).withColumn("_of", F.size("_grams")).withColumn("gram", F.explode("_grams")).drop("_grams")
-        met = asked.join(self._read("counts", COUNTS), "gram")
+        met = asked.join(self._read("counts", COUNTS).hint("merge"), "gram")  # the grams are more than the planner takes them for
         rarest = F.min_by(F.struct("gram", "n", "blocks", "shard"), F.struct("n", "gram"))
         found = met.groupBy("query", "_q", "_of", "version").agg(F.count(F.lit(1)).alias("_met"), rarest.alias("g"))
         return found.where(F.col("_met") == F.col("_of")).select("query", "_q", "version", "g.*")
