@@ -85,6 +85,16 @@ def test_encode_and_decode(docs):
     assert transducer.encode(docs.limit(0), WORDS).collect() == []
 
 
+def test_round_trip_in_one_worker(docs):
+    encoded = transducer.encode(docs, WORDS, keep=("doc_id", "text"))
+    both = transducer.round_trip(docs, WORDS)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    decoded = transducer.decode(encoded.select("doc_id", "ids", F.col("ids").alias("kept")), WORDS, keep=("doc_id", "kept"))
+    want = sorted((r.doc_id, r.kept, r.text) for r in decoded.where("doc_id IS NOT NULL").collect())
+    assert sorted(tuple(r) for r in both.where("doc_id IS NOT NULL").collect()) == want and both.count() == docs.count()
+    assert transducer.round_trip(docs.limit(0), WORDS).collect() == []
+
+
 def test_token_counts(docs):
     want, _ = library(BYTES)
     rows = docs.select("doc_id", "text").collect()

@@ -48,14 +48,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_and_decoded(docs: DataFrame, path: str) -> DataFrame:
     """Digests of the ids of every text and of the text that they decode to."""
-    from trellis.llm.transducer import decode, encode
+    from trellis.llm.transducer import round_trip
 
-    encoded = encode(docs, path).select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return round_trip(docs, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
-    decoded = decode(encoded, path, keep=("doc_id", "n_tokens", "ids_sha256"))
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

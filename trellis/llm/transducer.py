@@ -281,3 +281,32 @@ def decode(encoded: DataFrame, path: str, *, ids: str = "ids", keep: tuple[str,
         return pa.array(("".join(vocab.decode(ids)) for ids in numbers), pa.string())
 
     return _mapped(encoded.select(*keep, encoded[ids].alias(text)), text, "string", run)
+
+
+#: Rows that a round trip holds as ids and as text at once.
+ROUND_TRIP_ROWS = 256
+
+
+def round_trip(docs: DataFrame, path: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``keep`` columns, the token ids of every whole text and the text that these decode to.
+
+    The same as :func:`encode` and :func:`decode` one after the other, with one worker and one vocabulary a task
+    instead of two, and few rows at a time.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(*keep, docs[text].alias(ids))
+    schema = StructType([*rows.schema.fields[:-1], *extended([], f"`{ids}` array<int>, `{decoded}` string").fields])
+    names = schema.names
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROUND_TRIP_ROWS):
+                batch = whole.slice(at, ROUND_TRIP_ROWS)
+                vocab = vocabulary(path)
+                numbers = [np.concatenate([np.zeros(0, np.int32), *vocab.encode(v.as_py() or "")]) for v in batch.column(batch.num_columns - 1)]
+                ends = np.cumsum([0, *map(len, numbers)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(numbers)))
+                texts = pa.array(("".join(vocab.decode(n)) for n in numbers), pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, texts], names=names)
+
+    return rows.mapInArrow(each, schema)
