@@ -291,3 +291,23 @@ def test_a_vertex_counts_down_once(spark):
     assert (found["top"], found["mid"], found["lone"], found["a"], found["b"], found["after"]) == (498, 1, -1, None, None, None)
     assert len(found) == got.count() == 505
     assert asked[0] == [("a", "b"), ("b", "a"), ("b", "after")]
+
+
+def test_buckets_of_a_loop_follow_its_rows(spark, monkeypatch):
+    """A small loop does not write a file per shuffle partition in every round; a loop that outgrows its buckets gets more."""
+    seen, real = [], session.Bucketed.append
+    monkeypatch.setattr(session.Bucketed, "append", lambda self, *a: seen.append(self.buckets) or real(self, *a))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", str(8 * cores))
+    try:
+        step = lambda front, n: front.where(F.col("id") < 2**10).select(F.explode(F.array(F.col("id") * 2, F.col("id") * 2 + 1)).alias("id"))
+        one = spark.range(1, 2)
+        assert session.grow(one, ["id"], step, 3).count() == 15
+        assert set(seen) == {cores}
+        monkeypatch.setattr(session.Bucketed, "BUCKET_ROWS", 8)
+        seen.clear()
+        assert rows(session.grow(one, ["id"], step)) == sorted([(i,) for i in range(1, 2**11)], key=repr)
+        assert seen[0] == cores and seen[-1] == 8 * cores
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)

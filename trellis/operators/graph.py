@@ -90,7 +90,7 @@ def _spread_within(seed: DataFrame, hops: DataFrame, depth: int | None, budget:
     first = F.row_number().over(Window.partitionBy("code").orderBy("to"))
     near = stage(hops.distinct().withColumn("_n", first).where(F.col("_n") <= 2 * budget).drop("_n"))
     store = Bucketed(seed.sparkSession, ["root", "code"])
-    found = store.append(store.dealt(seed.withColumn("total", F.lit(1))))["rows"]
+    found = store.start(seed.withColumn("total", F.lit(1)))
     by_root, rounds = Window.partitionBy("root"), 0
     while found and (depth is None or rounds < depth):
         rounds += 1

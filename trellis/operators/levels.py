@@ -149,7 +149,7 @@ def _colour(edges: DataFrame) -> DataFrame:
     """``(vertex, colour)``.  A round offers the colours that rose in the round before, and writes those that rise."""
     names = edges.select(F.col("src").alias("vertex")).union(edges.select("dst")).distinct()
     store = Bucketed(edges.sparkSession, ["vertex"])
-    risen = store.append(store.dealt(names.select("vertex", F.col("vertex").alias("colour"))))["rows"]
+    risen = store.start(names.select("vertex", F.col("vertex").alias("colour")))
     top = lambda rows: rows.groupBy("vertex").agg(F.max("colour").alias("colour"))
     while risen:
         offered = store.last().withColumnRenamed("vertex", "src").join(edges, "src").groupBy(F.col("dst").alias("vertex")).agg(F.max("colour").alias("offer"))

@@ -79,13 +79,18 @@ class Bucketed:
     all rounds bucket by bucket, without shuffling them; a round can also be read by itself.  The files of a bucket
     are put together again after ``FILES`` rounds, or earlier while they are so small (``SMALL_ROWS`` in all) that
     opening them takes longer.
+
+    There are as many buckets as shuffle partitions, or, for a table that begins with :meth:`start`, as its rows need:
+    a bucket for every ``BUCKET_ROWS``, one per core at least.  A round of a loop costs a task and a file per bucket
+    however few rows it finds, so buckets that hold little make every round dearer.
     """
 
     FILES, FEW_FILES, SMALL_ROWS = 64, 6, 1_000_000
+    BUCKET_ROWS = 100_000
 
     def __init__(self, spark: SparkSession, keys: list[str]):
         self.spark, self.keys, self.schema, self.rounds, self.rows = spark, keys, None, 0, 0
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets, self.sized = int(spark.conf.get("spark.sql.shuffle.partitions")), False
         self._new_table()
 
     def _new_table(self) -> None:
@@ -93,6 +98,16 @@ class Bucketed:
         self.base = f"{staging_root(self.spark)}/{self.name}"
         self.files = 0
 
+    def _fitting(self, rows: int) -> int:
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return min(most, max(self.spark.sparkContext.defaultParallelism, -(-rows // self.BUCKET_ROWS)))
+
+    def start(self, df: DataFrame) -> int:
+        """Write the first round into as many buckets as its rows need; returns its row count."""
+        plain = Staged(self.spark)
+        self.buckets, self.sized = self._fitting(plain.append(df)["rows"]), True
+        return self.append(self.dealt(plain.last()))["rows"]
+
     def dealt(self, df: DataFrame) -> DataFrame:
         """``df`` dealt out the same way."""
         return df.repartition(self.buckets, *self.keys)
@@ -110,14 +125,17 @@ class Bucketed:
         self._write(observed.select(*(F.col(f"`{f.name}`") for f in self.schema), F.lit(self.rounds).alias("_round")))
         self.rounds += 1
         self.rows += seen.get["rows"]
-        if self.files >= (self.FEW_FILES if self.rows < self.SMALL_ROWS else self.FILES):
+        outgrown = self.sized and self._fitting(self.rows) > 4 * self.buckets
+        if outgrown or self.files >= (self.FEW_FILES if self.rows < self.SMALL_ROWS else self.FILES):
             self._compact()
         return seen.get
 
     def _compact(self) -> None:
-        """The last round stays by itself."""
+        """The last round stays by itself; the number of buckets follows the rows."""
         older = F.when(F.col("_round") < self.rounds - 1, 0).otherwise(F.col("_round"))
         old, name = self._read().withColumn("_round", older), self.name
+        if self.sized:
+            self.buckets = self._fitting(self.rows)
         self._new_table()
         self._write(self.dealt(old))
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -151,7 +169,7 @@ def grow(seed: DataFrame, keys: list[str], step, max_rounds: int | None = None)
     key, and meets the known ones where they lie.
     """
     store = Bucketed(seed.sparkSession, keys)
-    found = store.append(store.dealt(seed))["rows"]
+    found = store.start(seed)
     rounds = 0
     while found and (max_rounds is None or rounds < max_rounds):
         rounds += 1
@@ -186,8 +204,9 @@ def countdown(links: DataFrame, node: list[str], arrived: DataFrame | None, sett
     values = [c for c in settled.columns if c not in node]
     payload = [c for c in links.columns if c not in (*source, *target, "of")]
     roads = Bucketed(spark, source)
-    roads.append(roads.dealt(links))
+    roads.start(links)
     stock = Bucketed(spark, target)
+    stock.buckets = roads.buckets  # what is settled in a bucket meets its links without a shuffle
     columns = [*source, *target, "of", "linked", *payload, *values]
 
     def send(nodes: DataFrame, roads: DataFrame) -> DataFrame:
