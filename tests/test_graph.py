@@ -311,3 +311,21 @@ def test_buckets_of_a_loop_follow_its_rows(spark, monkeypatch):
         assert seen[0] == cores and seen[-1] == 8 * cores
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def test_merge_looks_ends_up_per_root(spark, book):
+    """Edges whose ends their own root has never meet the group's nodes; the others still do."""
+    courses, nodes, level, cycles = book
+    roots = spark.createDataFrame([("COMP 4211",), ("COMP 2011",)], "root string")
+    members = spark.createDataFrame([("both", "COMP 4211"), ("both", "COMP 2011"), ("one", "COMP 4211")], "group string, root string")
+    g = graph.build_graph(roots, courses, nodes, level, cycles, depth=2)
+    whole = graph.merge_graphs(g, members).edges
+    assert "LeftSemi" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    # COMP 4211 loses two nodes: COMP 1021 is in the other root's graph, MATH 2111 in no other.
+    lost = (F.col("root") == "COMP 4211") & F.col("id").isin("course:COMP 1021", "course:MATH 2111")
+    g.nodes = g.nodes.where(~lost)
+    touched = rows(whole.where(F.array_contains(F.array("source", "target"), "course:MATH 2111")), "group", "source", "target")
+    alone = rows(whole.where((F.col("group") == "one") & F.array_contains(F.array("source", "target"), "course:COMP 1021")), "group", "source", "target")
+    assert len(touched) == 2 and len(alone) == 1
+    got = rows(graph.merge_graphs(g, members).edges, "group", "source", "target")
+    assert got == [e for e in rows(whole, "group", "source", "target") if e not in touched and e not in alone]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trellis.functions import text as T
 from trellis.operators.catalog import dependents, reference_edges
 from trellis.operators.requirements import RELATIONS
-from trellis.session import Bucketed, fresh_rows, grow, stage
+from trellis.session import Bucketed, Staged, fresh_rows, grow, stage
 
 # ---- fixed values ---------------------------------------------------------------------------
 ALIASES = {
@@ -335,12 +335,25 @@ def merge_graphs(graph: Graph, members: DataFrame) -> Graph:
     fields = [c for c in graph.nodes.columns if c not in ("root", "id")]
     named = graph.nodes.join(members, "root").withColumn("_rank", F.struct((-node_score()).alias("score"), F.col("root")))
     best = named.groupBy("group", "id").agg(F.min_by(F.struct(*fields), "_rank").alias("n"))
-    nodes = stage(best.select("group", "id", "n.*"))
-    ranked = graph.edges.join(members, "root").withColumn("order", F.struct(F.col("root").alias("from_root"), F.col("order").alias("order")))
-    edges = dedupe_edges(ranked, "group", keep_qualifier=True).drop("order")
-    ends = nodes.select("group", "id")
-    edges = edges.join(ends.withColumnRenamed("id", "source"), ["group", "source"], "left_semi")
-    edges = edges.join(ends.withColumnRenamed("id", "target"), ["group", "target"], "left_semi")
+    nodes = best.select("group", "id", "n.*")
+    # Equal edges have the same ends.  Ends that the edge's own root has are in every group of the root, so they
+    # are looked up once per root; only edges that lost an end there meet the nodes of the whole group.
+    at = graph.nodes.select("root", "id").distinct()
+    marked = graph.edges
+    for end in ("source", "target"):
+        marked = marked.join(at.select("root", F.col("id").alias(end), F.lit(True).alias(f"_{end}")), ["root", end], "left")
+    marked = marked.withColumn("_whole", F.col("_source").isNotNull() & F.col("_target").isNotNull()).drop("_source", "_target")
+    store = Staged(graph.edges.sparkSession)
+    loose = store.append(marked, F.count_if(~F.col("_whole")).alias("loose"))["loose"]
+    ranked = store.last().join(members, "root").withColumn("order", F.struct(F.col("root").alias("from_root"), F.col("order").alias("order")))
+    kept = ranked.where("_whole")
+    if loose:
+        ends = named.select("group", "id").distinct()
+        found = ranked.where("NOT _whole")
+        for end in ("source", "target"):
+            found = found.join(ends.withColumnRenamed("id", end), ["group", end], "left_semi")
+        kept = kept.unionByName(found)
+    edges = dedupe_edges(kept.drop("_whole"), "group", keep_qualifier=True).drop("order")
     diagnostics = graph.diagnostics.join(members, "root").drop("root").distinct()
     parts = graph.summary.join(members, "root")
     names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("relations"))))
