@@ -329,3 +329,12 @@ def test_merge_looks_ends_up_per_root(spark, book):
     assert len(touched) == 2 and len(alone) == 1
     got = rows(graph.merge_graphs(g, members).edges, "group", "source", "target")
     assert got == [e for e in rows(whole, "group", "source", "target") if e not in touched and e not in alone]
+
+
+def test_direct_groups_need_no_projection(spark, book, monkeypatch):
+    courses, nodes, level, cycles = book
+    roots = spark.createDataFrame([("COMP 4211",)], "root string")
+    g = graph.build_graph(roots, courses, nodes, level, cycles, depth=1)
+    monkeypatch.setattr(graph, "project_edges", None)
+    found = graph.requirement_groups(g.nodes, g.edges, roots.select("root", F.concat(F.lit("course:"), "root").alias("id")), 1)
+    assert rows(found, "id", "hops") == [("course:COMP 2011", 1), ("course:COMP 2711", 1), ("course:MATH 2111", 1)]

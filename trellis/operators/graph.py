@@ -465,6 +465,9 @@ def requirement_groups(nodes: DataFrame, edges: DataFrame, owners: DataFrame, ma
         return under.select(key, "owner", "arm", F.col("from").alias("id")).distinct().join(is_course, [key, "id"]).select(*seed.columns)
 
     first = grow(seed, [key, "owner", "arm", "id"], deeper).where("course").select(key, "owner", "arm", "id", F.lit(1).alias("hops"))
+    limit = None if max_depth is None else max(1, int(max_depth)) - 1
+    if limit == 0:
+        return first
     hops = project_edges(nodes, edges.where(F.col("relation") == "prerequisite"), key)
     course_ids = nodes.where(F.col("type") == "course").select(key, F.col("id").alias("source"))
     hops = stage(hops.join(course_ids, [key, "source"], "left_semi").select(key, F.col("target").alias("id"), F.col("source").alias("from")).distinct())
@@ -472,7 +475,6 @@ def requirement_groups(nodes: DataFrame, edges: DataFrame, owners: DataFrame, ma
     def onward(front, hop):
         return front.join(hops, [key, "id"]).select(key, "owner", "arm", F.col("from").alias("id"), F.lit(hop + 1).alias("hops")).distinct()
 
-    limit = None if max_depth is None else max(1, int(max_depth)) - 1
     found = grow(first, [key, "owner", "arm", "id"], onward, limit)
     return found.select(key, "owner", "arm", "id", "hops")
 
