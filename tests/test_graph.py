@@ -338,3 +338,17 @@ def test_direct_groups_need_no_projection(spark, book, monkeypatch):
     monkeypatch.setattr(graph, "project_edges", None)
     found = graph.requirement_groups(g.nodes, g.edges, roots.select("root", F.concat(F.lit("course:"), "root").alias("id")), 1)
     assert rows(found, "id", "hops") == [("course:COMP 2011", 1), ("course:COMP 2711", 1), ("course:MATH 2111", 1)]
+
+
+def test_views_without_levels_keep_nodes_and_edges(spark, book):
+    """Without levels and cycles a graph has the same nodes, edges and other diagnostics."""
+    courses, nodes, level, cycles = book
+    roots = courses.select(F.col("code").alias("root"))
+    for direction, cap in (("backward", None), ("forward", 3)):
+        full = graph.build_graph(roots, courses, nodes, level, cycles, direction=direction, depth=1, max_nodes=cap)
+        bare = graph.build_graph(roots, courses, nodes, None, None, direction=direction, depth=1, max_nodes=cap)
+        shown = [c for c in full.nodes.columns if c != "level"]
+        assert rows(bare.nodes, *shown) == rows(full.nodes, *shown) and bare.nodes.where("level IS NOT NULL").isEmpty()
+        assert bare.nodes.columns == full.nodes.columns
+        assert rows(bare.edges) == rows(full.edges)
+        assert rows(bare.diagnostics, "root", "type", "courses") == rows(full.diagnostics.where("type <> 'cycle'"), "root", "type", "courses")

@@ -181,8 +181,8 @@ def build_graph(
     roots: DataFrame,
     courses: DataFrame,
     req_nodes: DataFrame,
-    levels: DataFrame,
-    cycles: DataFrame,
+    levels: DataFrame | None,
+    cycles: DataFrame | None,
     relations=None,
     direction: str = "backward",
     depth: int | None = None,
@@ -197,6 +197,8 @@ def build_graph(
     before everything found later, so nothing beyond can be kept.  (In both directions at once a
     course that is kept as a dependent may still need its place among the requirements, so there
     the whole reach is taken and then cut.)
+    Views that show no levels or no cycles pass None for them: the nodes' level is null then, or the
+    diagnostics name no cycles.
     """
     picked = pick_relations(relations)
     if direction not in DIRECTIONS:
@@ -234,9 +236,7 @@ def build_graph(
     )
     course_nodes = course_hits.groupBy("root", "code").agg(F.min("order").alias("order"))
     course_nodes = _describe_courses(course_nodes, courses, levels)
-    rules = trees.where(F.col("kind") != "course").join(
-        levels.select(F.col("code").alias("owner"), "level"), "owner", "left"
-    )
+    rules = _levelled(trees.where(F.col("kind") != "course"), levels, "owner")
     rules = rules.select(
         "root", "id", F.col("kind").alias("type"), "order", "level", "label", "relation", "text",
         F.col("pat_subject").alias("subject"), F.col("pat_min_level").alias("minimum_level"), F.lit(False).alias("placeholder"),
@@ -270,11 +270,17 @@ def _spread_none(roots: DataFrame) -> DataFrame:
     return roots.select("root", F.col("root").alias("code"), F.lit(0).alias("distance"))
 
 
-def _describe_courses(course_nodes: DataFrame, courses: DataFrame, levels: DataFrame) -> DataFrame:
+def _levelled(rows: DataFrame, levels: DataFrame | None, code: str) -> DataFrame:
+    if levels is None:
+        return rows.withColumn("level", F.lit(None).cast("int"))
+    return rows.join(levels.select(F.col("code").alias(code), "level"), code, "left")
+
+
+def _describe_courses(course_nodes: DataFrame, courses: DataFrame, levels: DataFrame | None) -> DataFrame:
     """Catalog fields of course nodes; courses the catalog lacks become placeholders."""
     optional = {"subject": "string", "title": "string", "credits": "string", "source_url": "string"}
     have = [F.col(c) if c in courses.columns else F.lit(None).cast(t).alias(c) for c, t in optional.items()]
-    records = courses.select("code", *have, F.lit(True).alias("_known")).join(levels, "code", "left")
+    records = _levelled(courses.select("code", *have, F.lit(True).alias("_known")), levels, "code")
     joined = course_nodes.join(records, "code", "left")
     lost = F.col("_known").isNull()
     return joined.select(
@@ -287,15 +293,14 @@ def _describe_courses(course_nodes: DataFrame, courses: DataFrame, levels: DataF
     )
 
 
-def diagnose(nodes: DataFrame, cycles: DataFrame, cut: DataFrame | None, max_nodes: int | None) -> DataFrame:
+def diagnose(nodes: DataFrame, cycles: DataFrame | None, cut: DataFrame | None, max_nodes: int | None) -> DataFrame:
     """``(root, type, relation, message, courses)``: cycles that touch the graph, unresolved courses, cuts."""
     none = F.lit(None).cast("string")
-    touching = cycles.withColumn("code", F.explode("courses")).join(nodes.select("root", "code"), "code")
-    touched = touching.select("root", "type", "relation", "message", "courses").distinct()
     lost = nodes.where(F.col("placeholder")).groupBy("root").agg(F.array_sort(F.collect_set("code")).alias("courses"))
-    rows = touched.unionByName(
-        lost.select("root", F.lit("unresolved").alias("type"), none.alias("relation"), F.lit(UNRESOLVED_MESSAGE).alias("message"), "courses")
-    )
+    rows = lost.select("root", F.lit("unresolved").alias("type"), none.alias("relation"), F.lit(UNRESOLVED_MESSAGE).alias("message"), "courses")
+    if cycles is not None:
+        touching = cycles.withColumn("code", F.explode("courses")).join(nodes.select("root", "code"), "code")
+        rows = touching.select("root", "type", "relation", "message", "courses").distinct().unionByName(rows)
     if cut is not None:
         rows = rows.unionByName(cut.select(
             "root", F.lit("truncated").alias("type"), none.alias("relation"),

@@ -87,9 +87,11 @@ class Workspace:
     def roots(self) -> DataFrame:
         return self.courses.select(F.col("code").alias("root"))
 
-    def graph(self, direction="backward", depth=1, max_nodes=None, relations=None):
+    def graph(self, direction="backward", depth=1, max_nodes=None, relations=None, bare=False):
+        """``bare``: for queries that show neither levels nor cycles, which then need not be found."""
+        levels, cycles = (None, None) if bare else (self.levels, self.cycles)
         return graph.build_graph(
-            self.roots, self.courses, self.nodes, self.levels, self.cycles, relations, direction, depth, max_nodes
+            self.roots, self.courses, self.nodes, levels, cycles, relations, direction, depth, max_nodes
         )
 
     @functools.cached_property
@@ -97,6 +99,11 @@ class Workspace:
         """Backward graphs of depth 1 of every course."""
         return self.graph()
 
+    @functools.cached_property
+    def bare_hop(self):
+        """The same graphs, maybe without levels and cycles."""
+        return self.__dict__.get("one_hop") or self.graph(bare=True)
+
     @functools.cached_property
     def completed(self) -> DataFrame:
         return stage(self.sql("fx_completed"))
