@@ -352,3 +352,17 @@ def test_views_without_levels_keep_nodes_and_edges(spark, book):
         assert bare.nodes.columns == full.nodes.columns
         assert rows(bare.edges) == rows(full.edges)
         assert rows(bare.diagnostics, "root", "type", "courses") == rows(full.diagnostics.where("type <> 'cycle'"), "root", "type", "courses")
+
+
+def test_projection_walks_junctions_only(spark, book, monkeypatch):
+    """Edges that meet no junction are not walked; with sources only their edges come, the same ones."""
+    courses, nodes, level, cycles = book
+    roots = courses.select(F.col("code").alias("root"))
+    g = graph.build_graph(roots, courses, nodes, level, cycles, direction="forward", depth=1)
+    seeds = []
+    monkeypatch.setattr(graph, "grow", lambda seed, *rest: (seeds.append(seed), session.grow(seed, *rest))[1])
+    whole = rows(graph.project_edges(g.nodes, g.edges))
+    own = roots.select("root", F.concat(F.lit("course:"), "root").alias("id"))
+    some = rows(graph.project_edges(g.nodes, g.edges, sources=own))
+    assert some == [e for e in whole if e[1] == "course:" + e[0]] and 0 < len(some) < len(whole)
+    assert all(s.where("NOT through").isEmpty() for s in seeds)

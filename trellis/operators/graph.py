@@ -381,25 +381,27 @@ def load_report(requests: DataFrame, bad: DataFrame) -> DataFrame:
     )
 
 
-def project_edges(nodes: DataFrame, edges: DataFrame, key: str = "root") -> DataFrame:
+def project_edges(nodes: DataFrame, edges: DataFrame, key: str = "root", sources: DataFrame | None = None) -> DataFrame:
     """Junctions contracted away: direct edges between the remaining nodes.
 
     A path runs through junctions of one relation; its first non-empty qualifier counts; it is
-    symmetric if any part is; self loops are dropped.
+    symmetric if any part is; self loops are dropped.  With ``sources(key, id)`` only the edges that
+    start at these nodes.  Edges that meet no junction are not walked.
     """
-    rules = nodes.where(F.col("type").isin("all", "any")).select(key, F.col("id").alias("at"))
+    rules = nodes.where(F.col("type").isin("all", "any")).select(key, F.col("id").alias("at"), F.lit(True).alias("through")).distinct()
     none = F.nullif(F.col("qualifier"), F.lit(""))
     links = edges.select(key, "source", F.col("target").alias("at"), "relation", none.alias("qualifier"), "symmetric")
-    junction = rules.withColumn("through", F.lit(True))
-    links = links.join(junction, [key, "at"], "left").withColumn("through", F.coalesce("through", F.lit(False)))
-    from_rule = rules.withColumnRenamed("at", "source")
-    starts = links.join(from_rule, [key, "source"], "left_anti")
-    onward = stage(links.join(from_rule, [key, "source"], "left_semi").select(
+    links = links.join(rules, [key, "at"], "left").join(rules.select(key, F.col("at").alias("source"), F.col("through").alias("within")), [key, "source"], "left")
+    links = stage(links.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("through", "within")}))
+    starts = links.where(~F.col("within"))
+    if sources is not None:
+        starts = starts.join(sources.select(key, F.col("id").alias("source")), [key, "source"], "left_semi")
+    onward = links.where("within").select(
         key, F.col("source").alias("at"), F.col("at").alias("next"), "relation",
         F.col("qualifier").alias("next_qualifier"), F.col("symmetric").alias("next_symmetric"), F.col("through").alias("next_through"),
-    ))
+    )
     columns = [key, "source", "at", "relation", "qualifier", "symmetric", "through"]
-    seed = starts.select(*columns).withColumn("qualifier", F.coalesce("qualifier", F.lit("")))
+    starts = starts.select(*columns).withColumn("qualifier", F.coalesce("qualifier", F.lit("")))
 
     def step(front, _):
         moved = front.where("through").join(onward, [key, "at", "relation"])
@@ -410,8 +412,9 @@ def project_edges(nodes: DataFrame, edges: DataFrame, key: str = "root") -> Data
         )
         return hop.groupBy(key, "source", "at", "relation", "qualifier", "through").agg(F.bool_or("symmetric").alias("symmetric"))
 
-    walked = grow(seed, [key, "source", "at", "relation", "qualifier"], step)
-    ended = walked.where(~F.col("through") & (F.col("source") != F.col("at")))
+    walked = grow(starts.where("through"), [key, "source", "at", "relation", "qualifier"], step)
+    ended = walked.unionByName(starts.where(~F.col("through")))
+    ended = ended.where(~F.col("through") & (F.col("source") != F.col("at")))
     return ended.groupBy(key, "source", F.col("at").alias("target"), "relation", "qualifier").agg(F.bool_or("symmetric").alias("symmetric"))
 
 
