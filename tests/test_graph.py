@@ -366,3 +366,14 @@ def test_projection_walks_junctions_only(spark, book, monkeypatch):
     some = rows(graph.project_edges(g.nodes, g.edges, sources=own))
     assert some == [e for e in whole if e[1] == "course:" + e[0]] and 0 < len(some) < len(whole)
     assert all(s.where("NOT through").isEmpty() for s in seeds)
+
+
+def test_far_groups_need_no_projection(spark, book, monkeypatch):
+    courses, nodes, level, cycles = book
+    roots = spark.createDataFrame([("COMP 4211",)], "root string")
+    g = graph.build_graph(roots, courses, nodes, level, cycles, relations="prerequisite")
+    monkeypatch.setattr(graph, "project_edges", None)
+    own = roots.select("root", F.concat(F.lit("course:"), "root").alias("id"))
+    for depth in (2, None):
+        found = graph.requirement_groups(g.nodes, g.edges, own, depth)
+        assert rows(found, "id", "hops") == [("course:COMP 1021", 2), ("course:COMP 2011", 1), ("course:COMP 2711", 1), ("course:MATH 2111", 1)]

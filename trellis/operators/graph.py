@@ -453,32 +453,37 @@ def requirement_groups(nodes: DataFrame, edges: DataFrame, owners: DataFrame, ma
     A single top ALL gives one group per arm, anything else one group; courses up to ``max_depth``
     course hops away belong to it (at least 1; None = all).
     """
-    pre = stage(edges.where(F.col("relation") == "prerequisite").select(key, F.col("target").alias("at"), F.col("source").alias("from")).distinct())
-    kinds = nodes.select(key, F.col("id").alias("from"), "type")
-    tops = owners.select(key, F.col("id").alias("owner")).join(pre.withColumnRenamed("at", "owner"), [key, "owner"]).join(kinds, [key, "from"])
+    pre = edges.where(F.col("relation") == "prerequisite").select(key, F.col("target").alias("at"), F.col("source").alias("from")).distinct()
+    pre = stage(pre.join(nodes.select(key, F.col("id").alias("from"), "type"), [key, "from"]))
+    tops = owners.select(key, F.col("id").alias("owner")).join(pre.withColumnRenamed("at", "owner"), [key, "owner"])
     shape = tops.groupBy(key, "owner").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("type") == "all").alias("is_all"))
     split = tops.join(shape, [key, "owner"]).withColumn("by_arm", (F.col("n") == 1) & F.col("is_all"))
-    whole = split.where(~F.col("by_arm")).select(key, "owner", F.lit("").alias("arm"), F.col("from").alias("id"))
+    whole = split.where(~F.col("by_arm")).select(key, "owner", F.lit("").alias("arm"), F.col("from").alias("id"), "type")
     arms = split.where("by_arm").select(key, "owner", F.col("from").alias("at")).join(pre, [key, "at"]).select(
-        key, "owner", F.col("from").alias("arm"), F.col("from").alias("id")
+        key, "owner", F.col("from").alias("arm"), F.col("from").alias("id"), "type"
     )
-    starts = whole.unionByName(arms).distinct()
-    # Down to the first courses, through junctions only.
-    is_course = nodes.select(key, "id", (F.col("type") == "course").alias("course"))
-    below = pre.withColumnRenamed("at", "id")
-    seed = starts.join(is_course, [key, "id"])
+    below = pre.select(key, F.col("at").alias("id"), F.col("from"), "type")
 
-    def deeper(front, _):
-        under = front.where(~F.col("course")).join(below, [key, "id"])
-        return under.select(key, "owner", "arm", F.col("from").alias("id")).distinct().join(is_course, [key, "id"]).select(*seed.columns)
+    def first_courses(starts: DataFrame, name: list[str]) -> DataFrame:
+        """``(key, name..., id)``: from ``starts`` down to the first courses, through junctions only."""
 
-    first = grow(seed, [key, "owner", "arm", "id"], deeper).where("course").select(key, "owner", "arm", "id", F.lit(1).alias("hops"))
+        def deeper(front, _):
+            under = front.where(F.col("type") != "course").drop("type").join(below, [key, "id"])
+            return under.select(key, *name, F.col("from").alias("id"), "type").distinct()
+
+        open_ends = starts.where(F.col("type").isin("all", "any"))
+        met = starts.unionByName(grow(open_ends, [key, *name, "id"], deeper))
+        return met.where(F.col("type") == "course").select(key, *name, "id").distinct()
+
+    first = stage(first_courses(whole.unionByName(arms).distinct(), ["owner", "arm"]).withColumn("hops", F.lit(1)))
     limit = None if max_depth is None else max(1, int(max_depth)) - 1
     if limit == 0:
         return first
-    hops = project_edges(nodes, edges.where(F.col("relation") == "prerequisite"), key)
-    course_ids = nodes.where(F.col("type") == "course").select(key, F.col("id").alias("source"))
-    hops = stage(hops.join(course_ids, [key, "source"], "left_semi").select(key, F.col("target").alias("id"), F.col("source").alias("from")).distinct())
+    # What each course needs first; if there is one hop to go, of the first courses only.
+    starts = below.withColumnRenamed("id", "of").withColumnRenamed("from", "id")
+    asked = first.select(key, F.col("id").alias("of")) if limit == 1 else nodes.where(F.col("type") == "course").select(key, F.col("id").alias("of"))
+    hops = first_courses(starts.join(asked.distinct(), [key, "of"], "left_semi"), ["of"])
+    hops = stage(hops.select(key, F.col("of").alias("id"), F.col("id").alias("from")))
 
     def onward(front, hop):
         return front.join(hops, [key, "id"]).select(key, "owner", "arm", F.col("from").alias("id"), F.lit(hop + 1).alias("hops")).distinct()
