@@ -377,3 +377,14 @@ def test_far_groups_need_no_projection(spark, book, monkeypatch):
     for depth in (2, None):
         found = graph.requirement_groups(g.nodes, g.edges, own, depth)
         assert rows(found, "id", "hops") == [("course:COMP 1021", 2), ("course:COMP 2011", 1), ("course:COMP 2711", 1), ("course:MATH 2111", 1)]
+
+
+def test_cycles_without_levels(spark):
+    req = [("AAAA 1001", "BBBB 1001"), ("BBBB 1001", "AAAA 1001 OR CCCC 1001"), ("CCCC 1001", "DDDD 1001"), ("EEEE 1001", "EEEE 1001 AND AAAA 1001"), ("DDDD 1001", "ZZZZ 9999")]
+    courses = spark.createDataFrame([(f"{c * 4} 1001",) for c in "ABCDE"], "code string")
+    nodes, _ = requirements.parse_requirements(spark.createDataFrame([(o, "prerequisite", r) for o, r in req], "owner string, relation string, raw string"))
+    nodes = session.stage(nodes)
+    whole = levels.dependency_levels(courses, nodes)[1]
+    alone = levels.dependency_cycles(courses, nodes)
+    assert alone.columns == whole.columns
+    assert rows(alone) == rows(whole) and len(rows(alone)) == 2

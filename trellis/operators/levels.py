@@ -208,6 +208,16 @@ def dependency_levels(courses: DataFrame, req_nodes: DataFrame) -> tuple[DataFra
     return stage(levels), _cycle_rows(found["cyclic"], leaves)
 
 
+def dependency_cycles(courses: DataFrame, req_nodes: DataFrame) -> DataFrame:
+    """The cycles of :func:`dependency_levels` without the levels: the strong components of all references."""
+    components = stage(corequisite_components(courses, req_nodes))
+    trees = req_nodes.where(F.col("relation") == "prerequisite").join(components.withColumnRenamed("code", "owner"), "owner")
+    needs = components.select("code", F.col("component").alias("needs"))
+    leaves = stage(leaf_rows(trees, "owner", "component", "code").join(needs, "code"))
+    cyclic = strong_components(leaves.select(F.col("component").alias("src"), F.col("needs").alias("dst")))
+    return _cycle_rows(cyclic, leaves)
+
+
 def _cycle_rows(cyclic: DataFrame, leaves: DataFrame) -> DataFrame:
     """One row per cycle: the courses whose references stay inside it, and those references."""
     inside = leaves.join(cyclic.select(F.col("vertex").alias("component"), "scc"), "component").join(

@@ -75,6 +75,11 @@ class Workspace:
         level, cycles = levels.dependency_levels(self.courses.select("code"), self.nodes)
         return level, stage(cycles)
 
+    @functools.cached_property
+    def cycles_alone(self) -> DataFrame:
+        """The cycles, for queries that show no levels."""
+        return self.cycles if "_levels" in self.__dict__ else stage(levels.dependency_cycles(self.courses.select("code"), self.nodes))
+
     @property
     def levels(self) -> DataFrame:
         return self._levels[0]
