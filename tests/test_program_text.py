@@ -1,5 +1,8 @@
 from helpers import rows
+from pyspark.sql import functions as F
 
+from trellis.functions import text as T
+from trellis.operators import program_text
 from trellis.operators.notes import parse_notes
 from trellis.operators.program_text import parse_programs, text_lines
 
@@ -110,3 +113,22 @@ def test_notes(spark):
     ]
     assert out["c"] == [("0", "or"), ("0.0", "and"), ("0.0.0", "COMP 2011"), ("0.0.1", "COMP 2012"), ("0.1", "COMP 2012H")]
     assert out["g"] == [("0", "COMP 1021")]
+
+
+def test_branches_need_no_trees(spark, monkeypatch):
+    def unwanted(*_):
+        raise AssertionError("only branches were asked for")
+
+    monkeypatch.setattr(program_text, "section_rows", unwanted)
+    monkeypatch.setattr(program_text, "section_trees", unwanted)
+    got = parse(spark)
+    assert ("A", "Museum Guide Track") in rows(got.branches, "program", "title")
+
+
+def test_trimming_takes_every_kind_of_space(spark):
+    texts = ["", " ", "a", "\t a b　 \n", "﻿\xa0x\x0b", "​z​"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pattern = rf"^{T.SPACE}+|{T.SPACE}+\z"
+    got = df.select("t", T.trim_space("t"), T.trim_end(F.col("t")), F.regexp_replace("t", pattern, ""), F.regexp_replace("t", rf"{T.SPACE}+\z", "")).collect()
+    assert all(r[1] == r[3] and r[2] == r[4] for r in got)
+    assert {r[0]: r[1] for r in got} == dict(zip(texts, ["", "", "a", "a b", "x", "​z​"]))

@@ -93,6 +93,20 @@ def test_blocked_scans_cross_blocks(spark):
     assert all(r.before == sum(x for x in range(r.n) if x % 2 == r.k) for r in sums.collect())
 
 
+def test_scans_read_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(n):
+        seen.add(1)
+        return n
+
+    df = spark.range(300).select(F.lit("a").alias("k"), F.udf(note, "long")("id").alias("n"))
+    for block, times in ((16, 1), (8192, 2)):  # many blocks, and one
+        got = rows(ordered.carry(df, ["k"], "n", {"last": F.when(F.col("n") % 7 == 0, F.col("n"))}, block=block), "n", "last")
+        assert got == sorted(((n, (n - 1) // 7 * 7 if n else None) for n in range(300)), key=repr)
+        assert seen.value == 300 * times
+
+
 def test_parent_chains(spark):
     items = spark.createDataFrame([("p", f"n{i}", f"n{i - 1}" if i else None) for i in range(15)] + [("p", "x", "y"), ("p", "y", "x"), ("p", "z", "gone")], "program string, id string, parent string")
     depth = dict(rows(program_sync.parent_depths(items), "id", "depth"))

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 # White space as browsers define it (NBSP, the Unicode spaces, BOM); Java's \s is ASCII only.
 _OTHER_SPACES = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 SPACE_CHARS = r"\t\n\x0B\f\r " + "".join(map(chr, _OTHER_SPACES))
-SPACE = f"[{SPACE_CHARS}]"
+# The same characters as ranges: a pattern tests a character against every member of its class.
+SPACE = r"[\t-\r \xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+_SPACES = "\t\n\x0B\f\r " + "".join(map(chr, _OTHER_SPACES))
 # Typographic dashes U+2010..U+2015 and the minus sign, read as "-".
 DASHES = "".join(map(chr, [*range(0x2010, 0x2016), 0x2212]))
 # A course reference inside text: four letters, optional - or _, four digits, optional letter.
@@ -50,7 +52,12 @@ def _text(c) -> Column:
 
 def trim_space(c) -> Column:
     """Strip every kind of white space from both ends."""
-    return F.regexp_replace(_text(c), rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(_text(c), F.lit(_SPACES))
+
+
+def trim_end(c) -> Column:
+    """Strip every kind of white space from the end; NULL stays."""
+    return F.rtrim(c, F.lit(_SPACES))
 
 
 def clean_text(c) -> Column:

@@ -6,7 +6,7 @@ section, open row, current branch) is carried by blocked scans; rows attach to i
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,14 +52,62 @@ MAX_TITLE, MAX_WORDS, MAX_LOWER, MAX_INDENT = 95, 9, 4, 3
 _CUT = chr(0xFDD1)
 
 
-@dataclass
 class ProgramText:
-    sections: DataFrame  # program, section_at, title, credits
-    tree: DataFrame  # program, section_at, path, parent_path, steps, kinds, kind, code, note
-    courses: DataFrame  # program, section_at, code, first_at, title, credits
-    branches: DataFrame  # program, branch_at, number, id, kind, title, parent, group, rule, credits
-    branch_courses: DataFrame  # program, branch_at, line_no, code, title, credits
-    failed: DataFrame  # program, reason
+    """The tables of all programs; each is worked out when it is first asked for."""
+
+    def __init__(self, lines: DataFrame):
+        self._given = lines
+
+    @cached_property
+    def _lines(self) -> DataFrame:
+        return stage(self._given.select("program", "line_no", "line"))
+
+    @cached_property
+    def _regions(self) -> tuple[DataFrame, DataFrame]:
+        return region_bounds(self._lines)
+
+    @cached_property
+    def _rows(self) -> tuple[DataFrame, DataFrame]:
+        return section_rows(self._lines, self._regions[0])
+
+    @cached_property
+    def _trees(self) -> tuple[DataFrame, DataFrame]:
+        return section_trees(self._rows[1])
+
+    @cached_property
+    def _branches(self) -> tuple[DataFrame, DataFrame]:
+        return branch_tables(self._lines, self._regions[0])
+
+    @cached_property
+    def sections(self) -> DataFrame:
+        """``(program, section_at, title, credits)``"""
+        sections, rows = self._rows
+        return sections.join(section_credits(rows), ["program", "section_at"], "left")
+
+    @property
+    def tree(self) -> DataFrame:
+        """``(program, section_at, path, parent_path, steps, kinds, kind, code, note)``"""
+        return self._trees[0]
+
+    @property
+    def courses(self) -> DataFrame:
+        """``(program, section_at, code, first_at, title, credits)``"""
+        return self._trees[1]
+
+    @property
+    def branches(self) -> DataFrame:
+        """``(program, branch_at, number, id, kind, title, parent, group, rule, credits)``"""
+        return self._branches[0]
+
+    @property
+    def branch_courses(self) -> DataFrame:
+        """``(program, branch_at, line_no, code, title, credits)``"""
+        return self._branches[1]
+
+    @property
+    def failed(self) -> DataFrame:
+        """``(program, reason)``"""
+        return self._regions[1]
 
 
 def text_lines(texts: DataFrame) -> DataFrame:
@@ -100,8 +148,7 @@ def _prepared(lines: DataFrame) -> DataFrame:
 
     Blank and footer lines stay as ``pause`` rows: they end an open table row.
     """
-    text = F.regexp_replace("line", rf"{S}+\z", "")
-    flagged = lines.select("program", "line_no", text.alias("text")).withColumn("footer", F.col("text").rlike(FOOTER))
+    flagged = lines.select("program", "line_no", T.trim_end("line").alias("text")).withColumn("footer", F.col("text").rlike(FOOTER))
     flagged = flagged.withColumn("pause", F.col("footer") | (F.col("text") == ""))
     seen = carry(flagged, ["program"], "line_no", {"after_footer": F.when(F.col("footer") | ~F.col("pause"), F.col("footer"))})
     header = ~F.col("pause") & F.coalesce("after_footer", F.lit(False))
@@ -383,10 +430,4 @@ def branch_tables(lines: DataFrame, bounds: DataFrame) -> tuple[DataFrame, DataF
 
 def parse_programs(lines: DataFrame) -> ProgramText:
     """All of the above for every program."""
-    lines = stage(lines.select("program", "line_no", "line"))
-    bounds, failed = region_bounds(lines)
-    sections, rows = section_rows(lines, bounds)
-    tree, courses = section_trees(rows)
-    titled = sections.join(section_credits(rows), ["program", "section_at"], "left")
-    branches, branch_courses = branch_tables(lines, bounds)
-    return ProgramText(titled, tree, courses, branches, branch_courses, failed)
+    return ProgramText(lines)
