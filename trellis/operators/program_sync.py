@@ -38,11 +38,11 @@ def relation_groups(req_nodes: DataFrame) -> DataFrame:
     return refs.select("owner", "relation", "ref", "group", (F.row_number().over(per.orderBy("steps")) - 1).alias("position"))
 
 
-def program_relations(program_courses: DataFrame, courses: DataFrame, req_nodes: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(relations(program, source, target, relation, group, position, raw), changes)``."""
+def program_relations(program_courses: DataFrame, courses: DataFrame, req_nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(relations(program, source, target, relation, group, position, raw), changes)``; of ``texts`` owner, relation and raw."""
     wanted = program_courses.select("program", F.col("code").alias("target")).distinct()
     known = courses.select(F.col("code").alias("target"))
-    grouped = relation_groups(req_nodes).join(parsed.select("owner", "relation", "raw"), ["owner", "relation"])
+    grouped = relation_groups(req_nodes).join(texts.select("owner", "relation", "raw"), ["owner", "relation"])
     grouped = grouped.withColumnRenamed("owner", "target").join(known, "target", "left_semi")
     relations = wanted.join(grouped, "target").select("program", F.col("ref").alias("source"), "target", "relation", "group", "position", "raw")
     missing = wanted.join(known, "target", "left_anti")

@@ -271,6 +271,11 @@ def _results(texts: DataFrame, decided: DataFrame) -> DataFrame:
     return joined.select("text_key", status.alias("status"), "warnings")
 
 
+def cleaned_texts(requirements: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``(keys..., raw)`` with the text in the form that is parsed."""
+    return requirements.select(*(keys or ["owner", "relation"]), T.clean_text("raw").alias("raw"))
+
+
 def parse_requirements(requirements: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """``requirements(owner, relation, raw, ...)`` -> ``(req_nodes, parsed requirements)``.
 
@@ -278,8 +283,7 @@ def parse_requirements(requirements: DataFrame, keys: list[str] | None = None) -
     text is parsed once and joined back, so a phrase shared by a third of all rows costs one parse.
     """
     keys = keys or ["owner", "relation"]
-    cleaned = requirements.select(*keys, T.clean_text("raw").alias("raw"))
-    keyed = cleaned.withColumn("text_key", F.sha2("raw", 256))
+    keyed = cleaned_texts(requirements, keys).withColumn("text_key", F.sha2("raw", 256))
     texts = stage(keyed.select("text_key", "raw").distinct())
     nodes, results = parse_texts(texts)
     nodes = stage(nodes)

@@ -59,16 +59,20 @@ class Workspace:
 
     @functools.cached_property
     def _parsed(self):
-        nodes, parsed = requirements.parse_requirements(self.requirements)
-        return stage(nodes), stage(parsed)
+        return requirements.parse_requirements(self.requirements)
 
-    @property
+    @functools.cached_property
     def nodes(self) -> DataFrame:
-        return self._parsed[0]
+        return stage(self._parsed[0])
 
-    @property
+    @functools.cached_property
     def parsed(self) -> DataFrame:
-        return self._parsed[1]
+        return stage(self._parsed[1])
+
+    @property
+    def texts(self) -> DataFrame:
+        """The cleaned texts as ``parsed`` has them, for queries that show no status."""
+        return requirements.cleaned_texts(self.requirements)
 
     @functools.cached_property
     def _levels(self):
