@@ -156,3 +156,23 @@ def test_texts_together_and_alone(docs):
     for together, window in ((1, 5), (40, 7), (1 << 14, 1 << 18)):
         pieces = Pieces(lambda t: [tuple(i) for i in encode(t)], 60)
         assert [[i for v in values for i in v] for values in pieces.each(texts, together, window)] == [encode([t])[0] if t else [] for t in texts]
+
+
+def test_encoder_asks_for_ids_alone(monkeypatch):
+    import public_tokenizers
+
+    from trellis.llm import library
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        real = library.tokenizer(path)
+
+        class IdsOnly:
+            def __getattr__(self, name):
+                assert name != "encode_batch"
+                return getattr(real, name)
+
+        monkeypatch.setattr(library, "tokenizer", lambda _: IdsOnly())
+        texts = ["", " a1-b2", "x\n\ny  <|endoftext|> e\u0301 \u65e5\u672c", " plain", "\nword", " \U0001f600!"]
+        assert library.encoder(path)(texts) == [real.encode(t, add_special_tokens=False).ids for t in texts]
+        monkeypatch.undo()

@@ -67,9 +67,13 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
 
     merge = merge or merged
 
+    def whole(texts: list[str]) -> list[list[int]]:
+        """The library's ids; where the characters of a token lie, which takes it longer, is not asked."""
+        return [e.ids for e in loaded.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(texts: list[str]) -> list[list[int]]:
         if not byte_level:
-            return [e.ids for e in loaded.encode_batch(texts, add_special_tokens=False)]
+            return whole(texts)
         out: list = [None] * len(texts)
         rest = []
         for k, text in enumerate(texts):
@@ -78,8 +82,8 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
                 out[k] = merge(text.encode()) if text[0] == " " else feed + merge(word.encode())
             else:
                 rest.append(k)
-        for k, e in zip(rest, loaded.encode_batch([texts[k] for k in rest], add_special_tokens=False) if rest else []):
-            out[k] = e.ids
+        for k, ids in zip(rest, whole([texts[k] for k in rest]) if rest else []):
+            out[k] = ids
         return out
 
     return encode
