@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from trellis.functions import text as T
 from trellis.operators import catalog, requirements, search_index
+from trellis.plans.queries import QUERIES
+from trellis.plans.workspace import Workspace
 
 
 def test_text_functions(spark):
@@ -59,6 +61,21 @@ def show(nodes):
     return draw("0")
 
 
+def test_line_ends_close_no_code(spark):
+    """Java's $ matches before a line end that closes the text; a code ends with its last sign."""
+    df = spark.createDataFrame([("COMP 1023\n",), ("COMP 1023\x85",), ("2026-27\n",)], "c string")
+    got = df.select(T.valid_code("c"), T.strict_code("c"), T.loose_code("c"), T.is_year("c")).collect()
+    assert [tuple(x) for x in got] == [
+        ("COMP 1023", "COMP 1023", "COMP 1023", False), (None, None, "COMP 1023\x85", False), (None, None, "2026-27", False)
+    ]
+
+
+def test_scope_of_a_subject_that_ends_in_a_line_end(spark, tmp_path):
+    parts = spark.createDataFrame([(612000, "Brand#20", "x"), (0, "Brand#10", "y")], "p_partkey long, p_brand string, p_name string")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    assert rows(QUERIES["h_manifest"](Workspace(spark, str(tmp_path)))) == [("ABAA", 9), ("ACA\x85", 1)]
+
+
 def test_expressions(spark):
     df = spark.createDataFrame([(str(i), "prerequisite", raw) for i, raw in enumerate(CASES)], "owner string, relation string, raw string")
     nodes, parsed = requirements.parse_requirements(df)

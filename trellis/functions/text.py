@@ -17,13 +17,14 @@ SPACE = r"[\t-\r \xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 _SPACES = "\t\n\x0B\f\r " + "".join(map(chr, _OTHER_SPACES))
 # Typographic dashes U+2010..U+2015 and the minus sign, read as "-".
 DASHES = "".join(map(chr, [*range(0x2010, 0x2016), 0x2212]))
+# Whole-string patterns end in \z: Java's $ also matches before a line end, such as U+0085, that closes the text.
 # A course reference inside text: four letters, optional - or _, four digits, optional letter.
 COURSE = rf"(?<![A-Za-z0-9])([A-Za-z]{{4}}){SPACE}*[-_]?{SPACE}*(\d{{4}}[A-Za-z]?)(?![A-Za-z0-9])"
-STRICT_CODE = rf"^{SPACE}*([A-Za-z]{{4}}){SPACE}*[-_]?{SPACE}*(\d{{4}}[A-Za-z]?){SPACE}*$"
-LOOSE_CODE = rf"^([A-Z]{{2,5}}){SPACE}*([0-9]{{4}}[A-Z]?)$"
-VALID_CODE = r"^[A-Z]{2,5} \d{4}[A-Z]?$"
-CREDITS = r"^(\d+(?:\.\d+)?)(?:-(\d+(?:\.\d+)?))?$"
-YEAR = r"^\d{4}-\d{2}$"
+STRICT_CODE = rf"^{SPACE}*([A-Za-z]{{4}}){SPACE}*[-_]?{SPACE}*(\d{{4}}[A-Za-z]?){SPACE}*\z"
+LOOSE_CODE = rf"^([A-Z]{{2,5}}){SPACE}*([0-9]{{4}}[A-Z]?)\z"
+VALID_CODE = r"^[A-Z]{2,5} \d{4}[A-Z]?\z"
+CREDITS = r"^(\d+(?:\.\d+)?)(?:-(\d+(?:\.\d+)?))?\z"
+YEAR = r"^\d{4}-\d{2}\z"
 # Entities in decoding order; "&amp;" comes first, so "&amp;lt;" ends up as "<".
 ENTITIES = [
     (r"&amp;", "&"),
